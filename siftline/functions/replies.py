@@ -140,7 +140,9 @@ def decode_object(span: Column) -> Column:
     members = F.transform(
         F.map_entries(F.from_json(span, "MAP<STRING, VARIANT>", _JSON_OPTIONS)),
         lambda e: F.struct(
-            F.lower(F.upper(e["key"])).alias("field"),
+            F.when(e["key"].rlike(r"(?iu)\Amatch\z"), "match")
+            .when(e["key"].rlike(r"(?iu)\Areason\z"), "reason")
+            .alias("field"),
             F.schema_of_variant(e["value"]).alias("type"),
             F.try_variant_get(e["value"], "$", "string").alias("text"),
         ),
@@ -166,27 +168,26 @@ def json_verdict(raw: Column) -> Column:
     return _let(
         first_object(raw),
         lambda found: F.when(found["span"].isNotNull(), decode_object(found["span"])).otherwise(
-            _verdict(F.lit(None), F.lit(None), found["error"])
+            _failed(found["error"])
         ),
     )
 
 
 def reply_verdict(model: Column, raw: Column, call_error: Column) -> Column:
     """Verdict of one reply by model family; every failure becomes an error class."""
-    early = (
-        F.when(call_error.isNotNull(), call_error)
-        .when(raw.isNull(), K.ERR_EMPTY_RESPONSE)
-        .when(is_blank(raw), K.ERR_NO_TEXT)
-    )
     return (
-        F.when(early.isNotNull(), _verdict(F.lit(None), F.lit(None), early))
+        F.when(call_error.isNotNull(), _failed(call_error))
+        .when(raw.isNull(), _failed(F.lit(K.ERR_EMPTY_RESPONSE)))
+        .when(is_blank(raw), _failed(F.lit(K.ERR_NO_TEXT)))
         .when(model_family(model) == "text", two_line_verdict(raw))
         .otherwise(json_verdict(raw))
     )
 
 
-def parse_replies(replies: DataFrame) -> DataFrame:
-    """Replies plus ``match``, ``reason`` and ``error``; a bad row never fails the job.
+def parse_replies(replies: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Replies to ``match``, ``reason`` and ``error``; a bad row never fails the job.
+
+    The raw reply and its call log are left out unless named in ``keep``.
 
     The verdict comes out of a one-element ``inline``. Filters on its fields
     stay above it, so each reply is parsed once, not again for every filter.
@@ -195,15 +196,29 @@ def parse_replies(replies: DataFrame) -> DataFrame:
     replies.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")
     call_error = F.col("error") if "error" in replies.columns else F.lit(None).cast("string")
     verdict = reply_verdict(F.col("model"), F.col("raw"), call_error)
-    kept = [c for c in replies.columns if c not in ("raw", "error", "calls")]
+    dropped = {"raw", "calls"} - set(keep) | {"error"}
+    kept = [c for c in replies.columns if c not in dropped]
     return replies.select(*kept, F.inline(F.array(verdict)))
 
 
-def _verdict(match: Column, reason: Column, error: Column) -> Column:
-    """Match and reason are null exactly where there is an error."""
-    good = error.isNull()
+def _failed(error: Column) -> Column:
     return F.struct(
-        F.when(good, F.coalesce(match.cast("boolean"), F.lit(False))).alias("match"),
-        F.when(good, F.coalesce(reason.cast("string"), F.lit(""))).alias("reason"),
+        F.lit(None).cast("boolean").alias("match"),
+        F.lit(None).cast("string").alias("reason"),
         error.cast("string").alias("error"),
     )
+
+
+def _verdict(match: Column, reason: Column, error: Column) -> Column:
+    """Match and reason are null exactly where there is an error."""
+
+    def fields(found: Column) -> Column:
+        return F.when(found.isNotNull(), _failed(found)).otherwise(
+            F.struct(
+                F.coalesce(match, F.lit(False)).alias("match"),
+                F.coalesce(reason, F.lit("")).alias("reason"),
+                F.lit(None).cast("string").alias("error"),
+            )
+        )
+
+    return _let(error.cast("string"), fields)

@@ -20,6 +20,7 @@ from siftline.operators.lexicon import DEFAULT_LEXICON, Term
 WORD = r"[\p{L}\p{N}+#]+"
 SEGMENT_END = r"[\n,;•|]"
 _BAR = "|"
+HEAD = 3
 
 REJECTIONS = ("R-A", "R-B", "R-C", "R-D", "R-E", "R-F")
 INCLUSIONS = ("I-1", "I-2", "I-3")
@@ -48,9 +49,8 @@ def needle(term: Term) -> str:
     return f" {text[:-1]}" if text.endswith("*") else f" {text} "
 
 
-def mentions(own: Column, terms: Iterable[Term]) -> Column:
-    """True where the segmented text holds one of the terms."""
-    folded = F.lower(own)
+def mentions(own: Column, folded: Column, terms: Iterable[Term]) -> Column:
+    """True where segmented text holds a term; ``folded`` is the text in lower case."""
     tests = [F.contains(own if t.case_sensitive else folded, F.lit(needle(t))) for t in terms]
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
@@ -62,14 +62,43 @@ def _by_group(lexicon: Iterable[Term]) -> dict[str, list[Term]]:
     return groups
 
 
+def _head(term: Term) -> str | None:
+    """First letters a word must share with the term's first word; None if too few."""
+    first = needle(term).lower().split()[0]
+    if term.text.endswith("*") and " " not in term.text and len(first) < HEAD:
+        return None
+    return first[:HEAD]
+
+
+def _flagged(posts: DataFrame, groups: dict[str, list[Term]]) -> DataFrame:
+    """Post keys, the segmented text in both cases, and one flag per group.
+
+    ``_heads`` holds the word beginnings the post shares with the lexicon: a
+    term is only searched for in posts that have its beginning.
+    """
+    heads = sorted({_head(t) for terms in groups.values() for t in terms} - {None})
+    cut = posts.select("channel_id", "msg_id", segmented(F.col("message")).alias("_own"))
+    both = cut.withColumn("_folded", F.lower("_own"))
+    words = F.transform(F.split("_folded", rf"[ \{_BAR}]++"), lambda w: F.left(w, F.lit(HEAD)))
+    shared = F.array_intersect(words, F.array(*(F.lit(h) for h in heads)).cast("array<string>"))
+    keyed = both.withColumn("_heads", shared)
+
+    def flag(terms: list[Term]) -> Column:
+        tests = []
+        for term in terms:
+            test = mentions(F.col("_own"), F.col("_folded"), [term])
+            head = _head(term)
+            tests.append(test if head is None else F.array_contains("_heads", head) & test)
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    return keyed.select("*", *(flag(terms).alias(f"_{group}") for group, terms in groups.items()))
+
+
 def rule_hits(posts: DataFrame, lexicon: Iterable[Term]) -> DataFrame:
     """One row per post and lexicon group that the post mentions."""
     groups = _by_group(lexicon)
-    own = F.col("_own")
-    hits = F.array_compact(
-        F.array(*(F.when(mentions(own, terms), group) for group, terms in groups.items()))
-    )
-    return posts.select("channel_id", "msg_id", segmented(F.col("message")).alias("_own")).select(
+    hits = F.array_compact(F.array(*(F.when(F.col(f"_{g}"), g) for g in groups)))
+    return _flagged(posts, groups).select(
         "channel_id", "msg_id", F.explode(hits).alias("rule_id")
     )
 
@@ -79,45 +108,57 @@ def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) ->
 
     Roles and bonus phrases are judged per segment, so a post with several
     roles passes when one of them does; the rest looks at the whole post.
+    Segments are only taken apart where a whole-post flag makes it matter.
     """
-    groups = _by_group(lexicon)
-
-    def has(text: Column, group: str) -> Column:
-        return mentions(text, groups.get(group, ()))
-
-    base = posts.select("channel_id", "msg_id", segmented(F.col("message")).alias("_own"))
-    flagged = base.select("*", *(has(F.col("_own"), g).alias(f"_{g}") for g in L.GROUPS))
+    given = _by_group(lexicon)
+    groups = {g: given.get(g, []) for g in L.GROUPS}
+    flagged = _flagged(posts, groups)
     f = {g: F.col(f"_{g}") for g in L.GROUPS}
-    parts = F.split(F.col("_own"), rf"\{_BAR}")
+    segments = F.arrays_zip(
+        F.split("_own", rf"\{_BAR}").alias("own"), F.split("_folded", rf"\{_BAR}").alias("folded")
+    )
+
+    def has(segment: Column, group: str) -> Column:
+        return mentions(segment["own"], segment["folded"], groups[group])
 
     engineer_segment = F.exists(
-        parts,
+        segments,
         lambda s: (has(s, L.ROLE_ENGINEER) | has(s, L.GO)) & ~has(s, L.ROLE_OTHER),
     )
-    plain_go_segment = F.exists(parts, lambda s: has(s, L.GO) & ~has(s, L.BONUS))
+    plain_go_segment = F.exists(segments, lambda s: has(s, L.GO) & ~has(s, L.BONUS))
 
     def only_if(cheap: Column, costly: Column) -> Column:
         return F.when(cheap, costly).otherwise(F.lit(False))
 
+    roles = flagged.select(
+        "channel_id",
+        "msg_id",
+        *(f[g] for g in L.GROUPS),
+        only_if(f[L.ROLE_OTHER], ~engineer_segment).alias("_a"),
+        only_if(f[L.GO] & f[L.BONUS] & f[L.OTHER_LANGUAGE], ~plain_go_segment).alias("_c"),
+    )
     rejected = {
-        "R-A": only_if(f[L.ROLE_OTHER], ~engineer_segment),
+        "R-A": F.col("_a"),
         "R-B": ~f[L.GO],
-        "R-C": only_if(f[L.GO] & f[L.BONUS] & f[L.OTHER_LANGUAGE], ~plain_go_segment),
+        "R-C": F.col("_c"),
         "R-D": (f[L.SENIOR] & ~f[L.JUNIOR]) | f[L.YEARS],
         "R-E": f[L.OTHER_CITY] & ~f[L.ASTANA] & ~f[L.REMOTE],
         "R-F": f[L.NOT_VACANCY] & ~f[L.ROLE_ENGINEER],
     }
     included = {
         "I-1": f[L.JUNIOR] | ~f[L.SENIOR],
-        "I-2": f[L.GO] & ~rejected["R-C"],
+        "I-2": f[L.GO] & ~F.col("_c"),
         "I-3": f[L.REMOTE]
         | f[L.ASTANA]
         | (f[L.KAZAKHSTAN] & ~f[L.OTHER_CITY])
         | ~(f[L.KAZAKHSTAN] | f[L.OTHER_CITY]),
     }
     trigger = F.coalesce(*(F.when(rejected[r], r) for r in REJECTIONS))
-    checks = {r: included[r].alias(r.replace("-", "").lower()) for r in INCLUSIONS}
-    return (
-        flagged.select("channel_id", "msg_id", trigger.alias("first_trigger"), *checks.values())
-        .withColumn("match", F.col("first_trigger").isNull() & F.expr("i1 AND i2 AND i3"))
+    judged = roles.select(
+        "channel_id",
+        "msg_id",
+        trigger.alias("first_trigger"),
+        *(included[r].alias(r.replace("-", "").lower()) for r in INCLUSIONS),
     )
+    match = F.col("first_trigger").isNull() & F.col("i1") & F.col("i2") & F.col("i3")
+    return judged.withColumn("match", match)

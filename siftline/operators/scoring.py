@@ -92,8 +92,9 @@ def score_posts(
     model: str = K.DEFAULT_MODEL,
     policy: CallPolicy = CallPolicy(),
     rules: str | None = None,
+    keep_post: bool = False,
 ) -> DataFrame:
-    """One reply or error per post (schema ``SCORED``).
+    """One reply or error per post (schema ``SCORED``, plus the trimmed ``post`` if kept).
 
     Put every filter before this call: Spark moves none past it. With a rate
     limit the posts are spread over ``tasks`` tasks that each take an equal
@@ -118,7 +119,7 @@ def score_posts(
                 else (None, K.ERR_EMPTY_POST, [])
                 for post in batch["post"]
             ]
-            yield pd.DataFrame(
+            scored = pd.DataFrame(
                 {
                     "channel_id": batch["channel_id"],
                     "msg_id": batch["msg_id"],
@@ -134,8 +135,10 @@ def score_posts(
                     ],
                 }
             )
+            yield scored.assign(post=batch["post"]) if keep_post else scored
 
-    return narrow.mapInPandas(score, schemas.SCORED)
+    schema = f"{schemas.SCORED}, post STRING" if keep_post else schemas.SCORED
+    return narrow.mapInPandas(score, schema)
 
 
 def call_log(scored: DataFrame) -> DataFrame:

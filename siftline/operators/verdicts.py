@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline import constants as K
+from siftline import schemas
 from siftline.functions.replies import parse_replies
 
 KEY = ["channel_id", "msg_id"]
@@ -23,6 +24,23 @@ def with_verdicts(posts: DataFrame, replies: DataFrame) -> DataFrame:
     return joined.withColumn("error", error).drop("_error", "_hit")
 
 
+def store_verdicts(scored: DataFrame, path: str) -> DataFrame:
+    """Write scored posts with their verdicts once, and read them back.
+
+    Takes rows scored with ``keep_post``. The text stays with the matches, so
+    what follows needs no second scan of the posts and no join with them.
+    """
+    parsed = parse_replies(scored, keep=("raw", "calls"))
+    text = F.when(F.col("match"), F.col("post"))
+    parsed.withColumn("message", text).drop("post").write.mode("overwrite").parquet(path)
+    return read_verdicts(scored.sparkSession, path)
+
+
+def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    reader = spark.read.schema(schemas.VERDICTS).option("recursiveFileLookup", "true")
+    return reader.parquet(path)
+
+
 def matches_only(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(F.col("match"))
 

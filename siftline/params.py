@@ -25,6 +25,6 @@ class SinkPaths:
 
     match_log: str | None
     outbox: str
-    replies: str
+    verdicts: str
     quarantine: str
     state: str

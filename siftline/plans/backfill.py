@@ -8,25 +8,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline import constants as K
-from siftline.functions.replies import parse_replies
-from siftline.functions.text import is_blank
 from siftline.operators.reports import high_water
-from siftline.operators.scoring import CallPolicy, Scorer, score_posts, store_replies
+from siftline.operators.scoring import CallPolicy, Scorer, score_posts
 from siftline.operators.screen import (
     after_high_water,
     date_range,
-    non_blank,
     ordinary_only,
     resolve_channels,
     resolved_history,
     whole_second,
 )
+from siftline.operators.verdicts import read_verdicts, store_verdicts
 from siftline.params import ScreeningParams, SinkPaths
+from siftline.session import cut_lineage, path_exists
 from siftline.sinks.deliver import deliver
-from siftline.sinks.tables import read_scored
 from siftline.sources.channels import watch_list
 from siftline.sources.progress import Span, Sweep, SweepState
-from siftline.session import path_exists
 
 
 def time_slices(since: dt.date, until: dt.datetime, days: int | None) -> list[Span]:
@@ -65,9 +62,9 @@ def backfill(
     """Run or resume the sweep from ``params.since``; None where no sweep is set.
 
     Each slice is one parallel job over all channels and is committed when its
-    outputs stand: replies, log, outbox, then marks. A finished sweep with the
+    outputs stand: verdicts, log, outbox, then marks. A finished sweep with the
     same cut-off is left alone; another cut-off starts over. A post that fails
-    is an error value in the replies and stops nothing.
+    is an error value in the verdicts and stops nothing.
     """
     if params.since is None:
         return None
@@ -77,39 +74,36 @@ def backfill(
     if sweep.done:
         return sweep
     watch = watch_list(spark, params.watch_csv) if watch is None else watch
-    resolved = resolve_channels(watch, channels)
+    # Used by every slice: resolved once.
+    resolved = cut_lineage(resolve_channels(watch, channels))
     policy = policy or CallPolicy(rpm=params.rpm)
 
     for span in time_slices(sweep.since, sweep.until, slice_days):
         if span in sweep.committed:
             continue
         part = slice_part(sweep, span)
-        history = resolved_history(date_range(ordinary_only(posts), *span), resolved)
-        pending = after_high_water(history, state.marks(sweep))
-        to_score = non_blank(pending)
-        replies_path = f"{sinks.replies}/{part}"
-        if path_exists(spark, f"{replies_path}/_SUCCESS"):
-            replies = read_scored(spark, replies_path)
+        path = f"{sinks.verdicts}/{part}"
+        if path_exists(spark, f"{path}/_SUCCESS"):
+            verdicts = read_verdicts(spark, path)
         else:
-            scored = score_posts(to_score, make_scorer, params.model, policy, params.rules)
-            replies = store_replies(scored, replies_path)
-        deliver(to_score, replies, resolved, params, sinks, K.SOURCE_BACKFILL, part, time)
-        state.commit(sweep, span, high_water(processed(pending, replies)))
+            history = resolved_history(date_range(ordinary_only(posts), *span), resolved)
+            pending = after_high_water(history, state.marks(sweep))
+            scored = score_posts(
+                pending, make_scorer, params.model, policy, params.rules, keep_post=True
+            )
+            verdicts = store_verdicts(scored, path)
+        deliver(verdicts, resolved, params, sinks, K.SOURCE_BACKFILL, part, time)
+        state.commit(sweep, span, high_water(processed(verdicts)))
     state.finish(sweep)
     return state.newest()
 
 
-def processed(pending: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rows that decide the marks: scored posts with their error, and blank posts."""
-    scored = parse_replies(replies).select(
-        "channel_id", "msg_id", F.lit(False).alias("blank"), "error"
-    )
-    blank = pending.where(is_blank(F.col("message"))).select(
-        "channel_id", "msg_id", F.lit(True).alias("blank"), F.lit(None).cast("string").alias("error")
-    )
-    return scored.unionByName(blank)
+def processed(verdicts: DataFrame) -> DataFrame:
+    """Verdicts as the marks need them: blank posts are done, failed ones are not."""
+    blank = F.coalesce(F.col("error") == K.ERR_EMPTY_POST, F.lit(False))
+    return verdicts.select("channel_id", "msg_id", "error", blank.alias("blank"))
 
 
 def sweep_verdicts(spark: SparkSession, sinks: SinkPaths, sweep: Sweep) -> DataFrame:
     """Verdicts of all slices of a sweep, for the run summaries."""
-    return parse_replies(read_scored(spark, f"{sinks.replies}/sweep={sweep.generation}"))
+    return read_verdicts(spark, f"{sinks.verdicts}/sweep={sweep.generation}")

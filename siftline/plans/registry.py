@@ -169,7 +169,7 @@ def log_sql(matched: str, source: str) -> str:
 @query(
     """SELECT DISTINCT id AS channel_id FROM (
       SELECT unnest([o_custkey,
-        CASE WHEN starts_with(CAST(o_orderkey AS VARCHAR), '100') AND o_orderkey > 1000
+        CASE WHEN starts_with(CAST(o_orderkey AS VARCHAR), '100') AND o_orderkey >= 1000
           THEN CAST(substr(CAST(o_orderkey AS VARCHAR), 4) AS BIGINT) ELSE o_orderkey END]) AS id
       FROM orders) AS o"""
 )
@@ -972,7 +972,7 @@ def retry_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _sinks(spark: SparkSession, name: str) -> SinkPaths:
     root = scratch_path(spark, name)
     return SinkPaths(
-        f"{root}/log", f"{root}/outbox", f"{root}/replies", f"{root}/quarantine", f"{root}/state"
+        f"{root}/log", f"{root}/outbox", f"{root}/verdicts", f"{root}/quarantine", f"{root}/state"
     )
 
 

@@ -121,7 +121,9 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sql(spark, sf_dir, REPLIES_SQL, "documents")
+    """Stands in for a stored table: built once per row, whatever is filtered later."""
+    built = _sql(spark, sf_dir, REPLIES_SQL, "documents")
+    return built.select(F.inline(F.array(F.struct(*built.columns))))
 
 
 def label_replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,10 @@ WATCH = "channel_id BIGINT"
 CALLS = "ARRAY<STRUCT<attempt: INT, code: INT, message: STRING, wait_us: BIGINT>>"
 REPLIES = "channel_id BIGINT, msg_id BIGINT, model STRING, raw STRING, error STRING"
 SCORED = f"{REPLIES}, calls {CALLS}"
+VERDICTS = (
+    f"channel_id BIGINT, msg_id BIGINT, model STRING, raw STRING, calls {CALLS}, "
+    "match BOOLEAN, reason STRING, error STRING, message STRING"
+)
 MATCHES = (
     "time TIMESTAMP, channel_id BIGINT, channel STRING, msg_id BIGINT, "
     "reason STRING, link STRING, source STRING"

@@ -1,20 +1,18 @@
-"""From posts and stored replies to the output tables, in the order that matters."""
+"""From stored verdicts to the output tables, in the order that matters."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.operators.lookup import BroadcastBound
 from siftline.operators.matches import match_records, outbox_messages, quarantine, with_channel
-from siftline.operators.verdicts import matched_posts
+from siftline.operators.verdicts import matches_only
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.tables import write_match_log, write_part
 
 
 def deliver(
-    posts: DataFrame,
-    replies: DataFrame,
+    verdicts: DataFrame,
     channels: DataFrame,
     params: ScreeningParams,
     sinks: SinkPaths,
@@ -23,14 +21,12 @@ def deliver(
     time: Column | None = None,
     bound: BroadcastBound = BroadcastBound(),
 ) -> None:
-    """Log first, then the outbox: a match is on record before it is announced."""
-    posts = posts.select("channel_id", "msg_id", "message")
-    hits = with_channel(matched_posts(posts, replies), channels, bound)
-    hits.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        found = hits.where(F.col("channel_found"))
-        write_match_log(match_records(found, source, time), sinks.match_log, part)
-        write_part(outbox_messages(found, params.destination), sinks.outbox, part)
-        write_part(quarantine(hits, source), sinks.quarantine, part)
-    finally:
-        hits.unpersist()
+    """Log first, then the outbox: a match is on record before it is announced.
+
+    Each writer reads the matches of the stored table with its own columns only.
+    """
+    hits = with_channel(matches_only(verdicts), channels, bound)
+    found = hits.where(F.col("channel_found"))
+    write_match_log(match_records(found, source, time), sinks.match_log, part)
+    write_part(outbox_messages(found, params.destination), sinks.outbox, part)
+    write_part(quarantine(hits, source), sinks.quarantine, part)

@@ -34,8 +34,3 @@ def write_part(rows: DataFrame, path: str, part: str) -> None:
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(schemas.OUTBOX).option("recursiveFileLookup", "true")
     return reader.parquet(path)
-
-
-def read_scored(spark: SparkSession, path: str) -> DataFrame:
-    reader = spark.read.schema(schemas.SCORED).option("recursiveFileLookup", "true")
-    return reader.parquet(path)

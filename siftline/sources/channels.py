@@ -33,8 +33,8 @@ def watch_ids(lists: DataFrame, column: str = "csv") -> DataFrame:
 
 
 def watch_list(spark: SparkSession, csv: str | None) -> DataFrame:
-    """Watch list of one setting; an empty result fails."""
+    """Watch list of one setting, checked in full at once; an empty result fails."""
     watch = watch_ids(spark.createDataFrame([(csv or "",)], "csv STRING"))
-    if watch.isEmpty():
+    if watch.count() == 0:
         raise ValueError("the watch list is empty")
     return watch

@@ -11,7 +11,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline import schemas
 from siftline.session import path_exists
@@ -47,8 +47,21 @@ class SweepState:
 
     def _event(self, sweep: Sweep, event: str, span: Span | tuple[None, None]) -> None:
         now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-        row = (sweep.generation, sweep.since, sweep.until, event, *span, now)
-        self._append("runs", self._spark.createDataFrame([row], schemas.RUNS))
+
+        def time(moment: dt.datetime | None) -> Column:
+            text = None if moment is None else moment.isoformat(sep=" ")
+            return F.lit(text).cast("timestamp_ntz")
+
+        row = self._spark.range(1).select(
+            F.lit(sweep.generation).alias("generation"),
+            F.lit(sweep.since).alias("since"),
+            time(sweep.until).alias("until"),
+            F.lit(event).alias("event"),
+            time(span[0]).alias("slice_from"),
+            time(span[1]).alias("slice_to"),
+            time(now).alias("at"),
+        )
+        self._append("runs", row)
 
     def newest(self) -> Sweep | None:
         """The sweep started last. Its events are few: one per slice."""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline import constants as K
-from siftline.operators.scoring import CallPolicy, Scorer, score_posts, store_replies
+from siftline.operators.scoring import CallPolicy, Scorer, score_posts
 from siftline.operators.screen import (
     channel_peer_only,
     cutover,
@@ -19,6 +19,7 @@ from siftline.operators.screen import (
     utc_now,
     watched_only,
 )
+from siftline.operators.verdicts import store_verdicts
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
 
@@ -59,16 +60,18 @@ def start_live(
 ) -> StreamingQuery:
     """Start the stream. ``name`` identifies it in the outputs and belongs to ``checkpoint``.
 
-    Each batch scores its posts once into the replies table and reads them
+    Each batch scores its posts once into the verdict table and reads them
     back; a batch repeated after a failure replaces its own parts.
     """
     policy = policy or CallPolicy(rpm=params.rpm)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
         part = f"stream={name}/batch={batch_id}"
-        scored = score_posts(batch, make_scorer, params.model, policy, params.rules)
-        replies = store_replies(scored, f"{sinks.replies}/{part}")
-        deliver(batch, replies, channels, params, sinks, K.SOURCE_LIVE, part, time)
+        scored = score_posts(
+            batch, make_scorer, params.model, policy, params.rules, keep_post=True
+        )
+        verdicts = store_verdicts(scored, f"{sinks.verdicts}/{part}")
+        deliver(verdicts, channels, params, sinks, K.SOURCE_LIVE, part, time)
 
     writer = (
         live_posts(posts, watch, params, as_of, until)
