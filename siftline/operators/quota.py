@@ -172,31 +172,34 @@ def retry_plan(call_log: DataFrame, max_retries: int = K.MAX_RETRIES) -> DataFra
 
     The log has one row per post and attempt. Calls end at the first attempt
     that is no quota error, or after ``max_retries`` retries. Attempts fold
-    into one column each before the shuffle, so no list of calls is built.
+    into plain number columns before the shuffle: no list of calls is built
+    and the aggregation stays a hash aggregation.
     """
     attempt = F.col("attempt")
     quota = is_quota_error(F.col("code"), F.col("message"))
     ok = F.coalesce("code", F.lit(0)) == 0
     outcome = F.when(quota, 2).when(ok, 0).otherwise(1)
-    step = F.struct(
+    attempts = range(max_retries + 1)
+    judged = call_log.where(attempt <= max_retries).select(
+        "channel_id",
+        "msg_id",
+        "attempt",
         outcome.alias("outcome"),
         F.when(quota, retry_wait_us(attempt, F.col("message"))).otherwise(0).alias("wait_us"),
     )
-    attempts = range(max_retries + 1)
-    folded = (
-        call_log.where(attempt <= max_retries)
-        .groupBy("channel_id", "msg_id")
-        .agg(*(F.max(F.when(attempt == i, step)).alias(f"a{i}") for i in attempts))
+    folded = judged.groupBy("channel_id", "msg_id").agg(
+        *(F.max(F.when(attempt == i, F.col("outcome"))).alias(f"o{i}") for i in attempts),
+        *(F.max(F.when(attempt == i, F.col("wait_us"))).alias(f"w{i}") for i in attempts),
     )
     going = F.lit(True)
     made, wait, last = F.lit(0), F.lit(0).cast("bigint"), F.lit(None).cast("int")
     for i in attempts:
-        here = going & F.col(f"a{i}").isNotNull()
+        here = going & F.col(f"o{i}").isNotNull()
         made = made + here.cast("int")
-        retried = here & (F.col(f"a{i}.outcome") == 2)
+        retried = here & (F.col(f"o{i}") == 2)
         if i < max_retries:
-            wait = wait + F.when(retried, F.col(f"a{i}.wait_us")).otherwise(0)
-        last = F.when(here, F.col(f"a{i}.outcome")).otherwise(last)
+            wait = wait + F.when(retried, F.col(f"w{i}")).otherwise(0)
+        last = F.when(here, F.col(f"o{i}")).otherwise(last)
         going = retried
     status = F.when(last == 0, "ok").when(last == 2, K.ERR_QUOTA).otherwise(K.ERR_CALL_FAILED)
     return folded.select(

@@ -2,8 +2,8 @@
 
 A stand-in for the model, not its equal. All work is local to the post: no
 token is exploded and nothing is shuffled. Posts are cut into segments (lines
-and list items), each reduced to its words with single blanks around them, so
-a term is found by a plain substring test.
+and list items), each reduced to its words with blanks around them, so a term
+is found by a plain substring test.
 """
 
 from __future__ import annotations
@@ -13,11 +13,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.functions.text import utrim
 from siftline.operators import lexicon as L
 from siftline.operators.lexicon import DEFAULT_LEXICON, Term
 
-WORD = r"[\p{L}\p{N}+#]+"
+# Runs of characters that neither belong to a word nor end a segment.
+GAP = r"[^\p{L}\p{N}+#\n,;•|]++"
 SEGMENT_END = r"[\n,;•|]"
 _BAR = "|"
 HEAD = 3
@@ -27,21 +27,12 @@ INCLUSIONS = ("I-1", "I-2", "I-3")
 
 
 def segmented(message: Column) -> Column:
-    """Segments as ``' word word '`` joined by bars, in their own case.
+    """Words with one blank between them and a bar between segments, in their own case.
 
     A bar is no word character, so no term spans two segments.
     """
-    return F.array_join(
-        F.transform(
-            F.split(utrim(message), SEGMENT_END),
-            lambda s: F.concat(
-                F.lit(" "),
-                F.array_join(F.regexp_extract_all(s, F.lit(WORD), F.lit(0)), " "),
-                F.lit(" "),
-            ),
-        ),
-        _BAR,
-    )
+    words = F.regexp_replace(message, GAP, " ")
+    return F.concat(F.lit(" "), F.regexp_replace(words, SEGMENT_END, f" {_BAR} "), F.lit(" "))
 
 
 def needle(term: Term) -> str:
@@ -79,8 +70,8 @@ def _flagged(posts: DataFrame, groups: dict[str, list[Term]]) -> DataFrame:
     heads = sorted({_head(t) for terms in groups.values() for t in terms} - {None})
     cut = posts.select("channel_id", "msg_id", segmented(F.col("message")).alias("_own"))
     both = cut.withColumn("_folded", F.lower("_own"))
-    words = F.transform(F.split("_folded", rf"[ \{_BAR}]++"), lambda w: F.left(w, F.lit(HEAD)))
-    shared = F.array_intersect(words, F.array(*(F.lit(h) for h in heads)).cast("array<string>"))
+    starts = F.transform(F.split("_folded", " "), lambda word: F.left(word, F.lit(HEAD)))
+    shared = F.array_intersect(starts, F.array(*(F.lit(h) for h in heads)).cast("array<string>"))
     keyed = both.withColumn("_heads", shared)
 
     def flag(terms: list[Term]) -> Column:

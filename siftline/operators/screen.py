@@ -47,10 +47,16 @@ def non_blank(posts: DataFrame) -> DataFrame:
     return posts.where(~is_blank(F.col("message")))
 
 
-def max_age(posts: DataFrame, as_of: Column, seconds: int) -> DataFrame:
+def max_age(
+    posts: DataFrame,
+    as_of: Column,
+    seconds: int,
+    exempt: tuple[dt.datetime, dt.datetime] | None = None,
+) -> DataFrame:
     """Drop posts older than ``seconds`` at ``as_of``; 0 is off, undated posts stay.
 
-    ``floor(date) >= limit`` is ``date >= ceil(limit)``.
+    Posts dated within ``exempt`` (half-open) are never late. ``floor(date) >=
+    limit`` is written as ``date >= ceil(limit)``.
     """
     if seconds == 0:
         return posts
@@ -59,7 +65,11 @@ def max_age(posts: DataFrame, as_of: Column, seconds: int) -> DataFrame:
     oldest = F.when(limit > whole, whole + F.make_dt_interval(secs=F.lit(1))).otherwise(whole)
     date = F.col("date")
     undated = date.isNull() | (date < ntz(EPOCH + dt.timedelta(seconds=1)))
-    return posts.where(undated | (date >= oldest))
+    kept = undated | (date >= oldest)
+    if exempt is not None:
+        first, last = exempt
+        kept = kept | ((date >= ntz(first)) & (date < ntz(last)))
+    return posts.where(kept)
 
 
 def date_range(

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import re
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from siftline import constants as K
@@ -18,6 +20,30 @@ class ScreeningParams:
     since: dt.date | None = None
     rules: str | None = None
 
+    @classmethod
+    def from_settings(cls, settings: Mapping[str, str]) -> ScreeningParams:
+        """Parameters from text settings named like the fields.
+
+        ``watch_csv`` and ``destination`` are required, ``since`` is a strict
+        date, numbers that are no whole number >= 0 fall back to the default.
+        """
+        given = {k: v.strip(K.WHITE_SPACE) for k, v in settings.items()}
+        for name in ("watch_csv", "destination"):
+            if not given.get(name):
+                raise ValueError(f"{name} is required")
+        since = given.get("since") or None
+        if since and not re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", since):
+            raise ValueError(f"since must be YYYY-MM-DD: {since}")
+        return cls(
+            watch_csv=given["watch_csv"],
+            destination=given["destination"].removeprefix("@"),
+            model=given.get("model") or K.DEFAULT_MODEL,
+            rpm=_nonneg_int(given.get("rpm"), K.DEFAULT_RPM),
+            max_age_s=_nonneg_int(given.get("max_age_s"), K.DEFAULT_MAX_AGE_S),
+            since=dt.date.fromisoformat(since) if since else None,
+            rules=settings.get("rules"),
+        )
+
 
 @dataclass(frozen=True)
 class SinkPaths:
@@ -28,3 +54,9 @@ class SinkPaths:
     verdicts: str
     quarantine: str
     state: str
+
+
+def _nonneg_int(text: str | None, default: int) -> int:
+    if text and re.fullmatch("[+-]?[0-9]+", text) and int(text) >= 0:
+        return int(text)
+    return default

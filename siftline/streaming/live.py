@@ -22,6 +22,7 @@ from siftline.operators.screen import (
 from siftline.operators.verdicts import store_verdicts
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
+from siftline.sources.progress import Span
 
 
 def live_posts(
@@ -30,16 +31,18 @@ def live_posts(
     params: ScreeningParams,
     as_of: Column | None = None,
     until: dt.datetime | None = None,
+    catch_up: Span | None = None,
 ) -> DataFrame:
     """Posts the live flow scores. Works on a stream or a table.
 
     Lateness is measured against processing time, post by post: no watermark.
     ``until`` is where a sweep over history ended; older posts belong to it.
+    Posts dated within ``catch_up``, while the sweep ran, are not late.
     """
     fresh = channel_peer_only(ordinary_only(posts))
     if until is not None:
         _, fresh = cutover(fresh, until)
-    fresh = max_age(fresh, utc_now() if as_of is None else as_of, params.max_age_s)
+    fresh = max_age(fresh, utc_now() if as_of is None else as_of, params.max_age_s, catch_up)
     return non_blank(watched_only(fresh, watch))
 
 
@@ -57,6 +60,7 @@ def start_live(
     as_of: Column | None = None,
     until: dt.datetime | None = None,
     time: Column | None = None,
+    catch_up: Span | None = None,
 ) -> StreamingQuery:
     """Start the stream. ``name`` identifies it in the outputs and belongs to ``checkpoint``.
 
@@ -74,7 +78,7 @@ def start_live(
         deliver(verdicts, channels, params, sinks, K.SOURCE_LIVE, part, time)
 
     writer = (
-        live_posts(posts, watch, params, as_of, until)
+        live_posts(posts, watch, params, as_of, until, catch_up)
         .writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(sink)

@@ -17,6 +17,7 @@ from siftline.operators.scoring import CallFailed, CallPolicy
 from siftline.operators.verdicts import read_verdicts
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.plans import backfill as B
+from siftline.plans.job import run_job
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log
 from siftline.sources.posts import read_history, read_live, write_posts_by_day
 from siftline.sources.progress import SweepState
@@ -334,3 +335,52 @@ def test_match_log_lines(spark, tmp_path):
     assert [tuple(r) for r in read_match_log(spark, str(tmp_path / "log")).collect()] == [tuple(r) for r in log.collect()]
     lost = quarantine(named, K.SOURCE_LIVE).collect()
     assert [(r.channel_id, r.reason, r.cause) for r in lost] == [(77, "", "channel_missing")]
+
+
+def test_job_sweeps_then_goes_live_and_loses_nothing(spark, tmp_path):
+    source, sinks = str(tmp_path / "posts"), sinks_at(tmp_path)
+    make_posts(spark).write.parquet(source)
+    times = [DAY + dt.timedelta(hours=40), DAY + dt.timedelta(hours=60)] * 2
+    params = ScreeningParams(**{**PARAMS.__dict__, "max_age_s": 3600})
+
+    def go(name):
+        running = run_job(
+            spark, spark.read.parquet(source), read_live(spark, source), make_channels(spark),
+            params, sinks, scorer, str(tmp_path / name), name, UNPACED, {"availableNow": True},
+            clock=lambda: times.pop(0), as_of=C.ntz(DAY + dt.timedelta(hours=61)),
+        )
+        running.live.awaitTermination()
+        return running
+
+    first = go("one")
+    assert (first.watched, first.missing) == (4, 2)
+    posts = make_posts(spark).where(
+        (F.col("kind") == "message") & F.col("channel_id").isin(10, 11, 12)
+        & F.col("message").isin("yes", "yes 2")
+    )
+    rows = posts.collect()
+    until = DAY + dt.timedelta(hours=40)
+    # A left channel is not swept; should it still post, the live flow takes it.
+    history = [
+        (r.channel_id, r.msg_id, "backfill") for r in rows if r.date < until and r.channel_id != 12
+    ]
+    live = [
+        (r.channel_id, r.msg_id, "live") for r in rows if r.date >= until and r.peer_kind == "channel"
+    ]
+    assert log_rows(spark, sinks) == sorted(history + live) and live
+    # A later start finds the sweep finished, so the age limit holds for its stream.
+    second = go("two")
+    assert second.sweep == first.sweep
+    late = {r.msg_id for r in rows if r.date < DAY + dt.timedelta(hours=60)}
+    again = [r for r in live if r[1] not in late]
+    assert log_rows(spark, sinks) == sorted(history + live + again)
+
+
+def test_settings():
+    given = {"watch_csv": " 1,2 ", "destination": " @jobs", "rpm": "-3", "max_age_s": " 0 ", "since": "2026-04-17"}
+    params = ScreeningParams.from_settings(given)
+    assert (params.destination, params.rpm, params.max_age_s) == ("jobs", 25, 0)
+    assert params.since == dt.date(2026, 4, 17)
+    for bad in ({"destination": "me"}, {"watch_csv": "1"}, {**given, "since": "17.4.2026"}):
+        with pytest.raises(ValueError):
+            ScreeningParams.from_settings(bad)
