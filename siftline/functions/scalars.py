@@ -80,7 +80,7 @@ def parse_since(text: Column) -> Column:
 
 def since_key(ts: Column) -> Column:
     """UTC day of a zone-less UTC timestamp, as text."""
-    return F.date_format(ts.cast("date"), "yyyy-MM-dd")
+    return ts.cast("date").cast("string")
 
 
 def nonneg_int_or(text: Column, default: int) -> Column:

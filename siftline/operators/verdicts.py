@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline import constants as K
 from siftline import schemas
 from siftline.functions.replies import parse_replies
+from siftline.session import path_exists
 
 KEY = ["channel_id", "msg_id"]
 
@@ -36,6 +39,16 @@ def store_verdicts(scored: DataFrame, path: str) -> DataFrame:
     return read_verdicts(scored.sparkSession, path)
 
 
+def verdicts_once(spark: SparkSession, path: str, score: Callable[[], DataFrame]) -> DataFrame:
+    """Stored verdicts if ``path`` is complete, else score and store.
+
+    Work repeated after a failure so makes no model call twice.
+    """
+    if path_exists(spark, f"{path}/_SUCCESS"):
+        return read_verdicts(spark, path)
+    return store_verdicts(score(), path)
+
+
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     reader = spark.read.schema(schemas.VERDICTS).option("recursiveFileLookup", "true")
     return reader.parquet(path)

@@ -18,9 +18,9 @@ from siftline.operators.screen import (
     resolved_history,
     whole_second,
 )
-from siftline.operators.verdicts import read_verdicts, store_verdicts
+from siftline.operators.verdicts import read_verdicts, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
-from siftline.session import cut_lineage, path_exists
+from siftline.session import cut_lineage
 from siftline.sinks.deliver import deliver
 from siftline.sources.channels import watch_list
 from siftline.sources.progress import Span, Sweep, SweepState
@@ -82,16 +82,15 @@ def backfill(
         if span in sweep.committed:
             continue
         part = slice_part(sweep, span)
-        path = f"{sinks.verdicts}/{part}"
-        if path_exists(spark, f"{path}/_SUCCESS"):
-            verdicts = read_verdicts(spark, path)
-        else:
+
+        def score() -> DataFrame:
             history = resolved_history(date_range(ordinary_only(posts), *span), resolved)
             pending = after_high_water(history, state.marks(sweep))
-            scored = score_posts(
+            return score_posts(
                 pending, make_scorer, params.model, policy, params.rules, keep_post=True
             )
-            verdicts = store_verdicts(scored, path)
+
+        verdicts = verdicts_once(spark, f"{sinks.verdicts}/{part}", score)
         deliver(verdicts, resolved, params, sinks, K.SOURCE_BACKFILL, part, time)
         state.commit(sweep, span, high_water(processed(verdicts)))
     state.finish(sweep)

@@ -473,7 +473,7 @@ def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def since_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded dates; one status gives a blank setting."""
-    text = F.concat(F.lit(" "), F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("\n"))
+    text = F.concat(F.lit(" "), F.col("o_orderdate").cast("date").cast("string"), F.lit("\n"))
     setting = F.when(F.col("o_orderstatus") == "P", "  ").otherwise(text)
     return T.table(spark, sf_dir, "orders").select(
         "o_orderkey", S.parse_since(setting).alias("since")
@@ -1036,13 +1036,13 @@ def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _zoneless(read_match_log(spark, sinks.match_log))
 
 
+# A channel without a mark starts at 0, so only ids above 0 are taken.
 HISTORY_SQL = f"""SELECT p.* FROM ({T.POSTS_SQL}) AS p JOIN ({RESOLVED_SQL}) AS r USING (channel_id)
-  WHERE kind = 'message' AND date < TIMESTAMP '2024-01-03' AND date >= TIMESTAMP '2024-01-01'
-  AND msg_id > 0"""
+  WHERE kind = 'message' AND msg_id > 0"""
 
 
 def _sweep(spark: SparkSession, sf_dir: str, name: str):
-    """A sweep over two days, one slice a day."""
+    """A sweep over the whole month of the tables, in two slices."""
     sinks = _sinks(spark, name)
     params = ScreeningParams(
         model=OFFLINE_MODEL, rpm=0, destination=DESTINATION, since=dt.date(2024, 1, 1)
@@ -1054,7 +1054,8 @@ def _sweep(spark: SparkSession, sf_dir: str, name: str):
         params,
         sinks,
         length_scorer,
-        now=UNTIL,
+        now=dt.datetime(2024, 2, 1),
+        slice_days=16,
         time=_utc_time(),
         watch=T.watch(spark, sf_dir),
     )
@@ -1070,7 +1071,7 @@ def _sweep(spark: SparkSession, sf_dir: str, name: str):
     )
 )
 def backfill_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """T5: a sweep over two days, day by day; the match log read back."""
+    """T5: a sweep over all posts; the match log read back."""
     sinks, _ = _sweep(spark, sf_dir, "backfill")
     return _zoneless(read_match_log(spark, sinks.match_log))
 

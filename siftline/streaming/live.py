@@ -19,7 +19,7 @@ from siftline.operators.screen import (
     utc_now,
     watched_only,
 )
-from siftline.operators.verdicts import store_verdicts
+from siftline.operators.verdicts import verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
 from siftline.sources.progress import Span
@@ -62,7 +62,7 @@ def start_live(
     time: Column | None = None,
     catch_up: Span | None = None,
 ) -> StreamingQuery:
-    """Start the stream. ``name`` identifies it in the outputs and belongs to ``checkpoint``.
+    """Start the stream, to be restarted from the same ``checkpoint``.
 
     Each batch scores its posts once into the verdict table and reads them
     back; a batch repeated after a failure replaces its own parts.
@@ -70,11 +70,17 @@ def start_live(
     policy = policy or CallPolicy(rpm=params.rpm)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        part = f"stream={name}/batch={batch_id}"
-        scored = score_posts(
-            batch, make_scorer, params.model, policy, params.rules, keep_post=True
-        )
-        verdicts = store_verdicts(scored, f"{sinks.verdicts}/{part}")
+        session = batch.sparkSession
+        # Spark's id of the query: the same after a restart from one checkpoint.
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        part = f"stream={stream}/batch={batch_id}"
+
+        def score() -> DataFrame:
+            return score_posts(
+                batch, make_scorer, params.model, policy, params.rules, keep_post=True
+            )
+
+        verdicts = verdicts_once(session, f"{sinks.verdicts}/{part}", score)
         deliver(verdicts, channels, params, sinks, K.SOURCE_LIVE, part, time)
 
     writer = (

@@ -1,11 +1,14 @@
 """Run registered queries next to their SQL twins. Also a command line tool:
 
 python tests/oracle.py SF_DIR [name ...]
+
+TEST_CONF=key=value,... sets session options for a run.
 """
 
 from __future__ import annotations
 
 import math
+import os
 import sys
 import tempfile
 import time
@@ -30,6 +33,8 @@ def make_session(shared: str, cores: int = 8) -> SparkSession:
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
+    for setting in filter(None, os.environ.get("TEST_CONF", "").split(",")):
+        spark.conf.set(*setting.split("="))
     return spark
 
 

@@ -21,6 +21,7 @@ from siftline.plans.job import run_job
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log
 from siftline.sources.posts import read_history, read_live, write_posts_by_day
 from siftline.sources.progress import SweepState
+from siftline.streaming import live as live_module
 from siftline.streaming.live import live_posts, start_live
 
 # The workers do not have the tests on their path.
@@ -132,7 +133,7 @@ def test_rerun_after_a_cut_equals_one_clean_run(spark, tmp_path, monkeypatch, cu
 
     with monkeypatch.context() as patch:
         if cut_at == "score":
-            patch.setattr(B, "store_verdicts", cut(B.store_verdicts))
+            patch.setattr(B, "verdicts_once", cut(B.verdicts_once))
         elif cut_at == "deliver":
             patch.setattr(B, "deliver", cut(B.deliver))
         elif cut_at == "commit":
@@ -384,3 +385,36 @@ def test_settings():
     for bad in ({"destination": "me"}, {"watch_csv": "1"}, {**given, "since": "17.4.2026"}):
         with pytest.raises(ValueError):
             ScreeningParams.from_settings(bad)
+
+
+def test_batch_cut_off_after_scoring_makes_no_call_twice(spark, tmp_path, monkeypatch):
+    source, sinks = str(tmp_path / "posts"), sinks_at(tmp_path)
+    make_posts(spark).write.parquet(source)
+    watch = spark.createDataFrame([(10,), (11,)], schemas.WATCH)
+    params = ScreeningParams(model=MODEL, rpm=0, max_age_s=0)
+
+    def drain(make, checkpoint="checkpoint"):
+        start_live(
+            read_live(spark, source), make_channels(spark), watch, params, sinks, make,
+            str(tmp_path / checkpoint), "t", UNPACED, {"availableNow": True},
+        ).awaitTermination()
+
+    with monkeypatch.context() as patch:
+        patch.setattr(live_module, "deliver", lambda *a, **k: (_ for _ in ()).throw(RuntimeError("cut")))
+        with pytest.raises(Exception, match="cut"):
+            drain(scorer)
+    assert not (tmp_path / "log").exists()
+
+    def never():
+        def reply(text):
+            raise AssertionError("called again")
+
+        return reply
+
+    drain(never)
+    kept = live_posts(make_posts(spark), watch, params).where(F.col("message").isin("yes", "yes 2"))
+    want = sorted((r.channel_id, r.msg_id, "live") for r in kept.collect())
+    assert log_rows(spark, sinks) == want
+    # Another checkpoint is another stream: its batch 0 is its own.
+    drain(scorer, "other")
+    assert log_rows(spark, sinks) == sorted(want * 2)
