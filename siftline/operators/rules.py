@@ -61,37 +61,40 @@ def _head(term: Term) -> str | None:
     return first[:HEAD]
 
 
-def _flagged(posts: DataFrame, groups: dict[str, list[Term]]) -> DataFrame:
-    """Post keys, the segmented text in both cases, and one flag per group.
+def _cut(posts: DataFrame, lexicon: Iterable[Term]) -> DataFrame:
+    """Post keys, the segmented text in both cases, and ``_heads``.
 
     ``_heads`` holds the word beginnings the post shares with the lexicon: a
     term is only searched for in posts that have its beginning.
     """
-    heads = sorted({_head(t) for terms in groups.values() for t in terms} - {None})
-    cut = posts.select("channel_id", "msg_id", segmented(F.col("message")).alias("_own"))
-    both = cut.withColumn("_folded", F.lower("_own"))
+    message = F.coalesce("message", F.lit(""))
+    own = posts.select("channel_id", "msg_id", segmented(message).alias("_own"))
+    both = own.withColumn("_folded", F.lower("_own"))
+    heads = sorted({_head(t) for t in lexicon} - {None})
     starts = F.transform(F.split("_folded", " "), lambda word: F.left(word, F.lit(HEAD)))
     shared = F.array_intersect(starts, F.array(*(F.lit(h) for h in heads)).cast("array<string>"))
-    keyed = both.withColumn("_heads", shared)
+    return both.withColumn("_heads", shared)
 
-    def flag(terms: list[Term]) -> Column:
-        tests = []
-        for term in terms:
-            test = mentions(F.col("_own"), F.col("_folded"), [term])
-            head = _head(term)
-            tests.append(test if head is None else F.array_contains("_heads", head) & test)
-        return reduce(lambda a, b: a | b, tests, F.lit(False))
 
-    return keyed.select("*", *(flag(terms).alias(f"_{group}") for group, terms in groups.items()))
+def _whole(terms: Iterable[Term]) -> Column:
+    """True where the cut post holds one of the terms."""
+    tests = []
+    for term in terms:
+        test = mentions(F.col("_own"), F.col("_folded"), [term])
+        head = _head(term)
+        tests.append(test if head is None else F.array_contains("_heads", head) & test)
+    return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+
+def _only_if(gate: Column, costly: Column) -> Column:
+    return F.when(gate, costly).otherwise(F.lit(False))
 
 
 def rule_hits(posts: DataFrame, lexicon: Iterable[Term]) -> DataFrame:
     """One row per post and lexicon group that the post mentions."""
     groups = _by_group(lexicon)
-    hits = F.array_compact(F.array(*(F.when(F.col(f"_{g}"), g) for g in groups)))
-    return _flagged(posts, groups).select(
-        "channel_id", "msg_id", F.explode(hits).alias("rule_id")
-    )
+    hits = F.array_compact(F.array(*(F.when(_whole(terms), g) for g, terms in groups.items())))
+    return _cut(posts, lexicon).select("channel_id", "msg_id", F.explode(hits).alias("rule_id"))
 
 
 def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) -> DataFrame:
@@ -99,11 +102,12 @@ def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) ->
 
     Roles and bonus phrases are judged per segment, so a post with several
     roles passes when one of them does; the rest looks at the whole post.
-    Segments are only taken apart where a whole-post flag makes it matter.
+    The first two rules settle most posts, and only the others are searched
+    for more. The inclusion checks are null for rejected posts, since the
+    rules do not reach them.
     """
     given = _by_group(lexicon)
     groups = {g: given.get(g, []) for g in L.GROUPS}
-    flagged = _flagged(posts, groups)
     f = {g: F.col(f"_{g}") for g in L.GROUPS}
     segments = F.arrays_zip(
         F.split("_own", rf"\{_BAR}").alias("own"), F.split("_folded", rf"\{_BAR}").alias("folded")
@@ -118,16 +122,17 @@ def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) ->
     )
     plain_go_segment = F.exists(segments, lambda s: has(s, L.GO) & ~has(s, L.BONUS))
 
-    def only_if(cheap: Column, costly: Column) -> Column:
-        return F.when(cheap, costly).otherwise(F.lit(False))
-
-    roles = flagged.select(
-        "channel_id",
-        "msg_id",
-        *(f[g] for g in L.GROUPS),
-        only_if(f[L.ROLE_OTHER], ~engineer_segment).alias("_a"),
-        only_if(f[L.GO] & f[L.BONUS] & f[L.OTHER_LANGUAGE], ~plain_go_segment).alias("_c"),
+    first = (L.ROLE_OTHER, L.GO)
+    rest = [g for g in L.GROUPS if g not in first]
+    roles = (
+        _cut(posts, [t for terms in groups.values() for t in terms])
+        .select("*", *(_whole(groups[g]).alias(f"_{g}") for g in first))
+        .withColumn("_a", _only_if(f[L.ROLE_OTHER], ~engineer_segment))
     )
+    still_open = f[L.GO] & ~F.col("_a")
+    flagged = roles.select(
+        "*", *(_only_if(still_open, _whole(groups[g])).alias(f"_{g}") for g in rest)
+    ).withColumn("_c", _only_if(f[L.BONUS] & f[L.OTHER_LANGUAGE], ~plain_go_segment))
     rejected = {
         "R-A": F.col("_a"),
         "R-B": ~f[L.GO],
@@ -144,12 +149,11 @@ def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) ->
         | (f[L.KAZAKHSTAN] & ~f[L.OTHER_CITY])
         | ~(f[L.KAZAKHSTAN] | f[L.OTHER_CITY]),
     }
-    trigger = F.coalesce(*(F.when(rejected[r], r) for r in REJECTIONS))
-    judged = roles.select(
-        "channel_id",
-        "msg_id",
-        trigger.alias("first_trigger"),
-        *(included[r].alias(r.replace("-", "").lower()) for r in INCLUSIONS),
-    )
-    match = F.col("first_trigger").isNull() & F.col("i1") & F.col("i2") & F.col("i3")
-    return judged.withColumn("match", match)
+    passed = F.col("first_trigger").isNull()
+    names = [r.replace("-", "").lower() for r in INCLUSIONS]
+    checks = [F.when(passed, included[r]).alias(n) for r, n in zip(INCLUSIONS, names)]
+    judged = flagged.withColumn(
+        "first_trigger", F.coalesce(*(F.when(rejected[r], r) for r in REJECTIONS))
+    ).select("channel_id", "msg_id", "first_trigger", *checks)
+    match = reduce(lambda a, b: a & b, (F.col(n) for n in names))
+    return judged.withColumn("match", F.coalesce(match, F.lit(False)))

@@ -868,7 +868,8 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT channel_id, msg_id, first_trigger, i1, i2, i3,
+    f"""SELECT channel_id, msg_id, first_trigger, {", ".join(
+        f"CASE WHEN first_trigger IS NULL THEN i{n} END AS i{n}" for n in (1, 2, 3))},
       first_trigger IS NULL AND i1 AND i2 AND i3 AS "match" FROM (
       SELECT *, CASE WHEN role_other AND NOT engineer_seg THEN 'R-A' WHEN NOT go THEN 'R-B'
           WHEN rc THEN 'R-C' WHEN (senior AND NOT junior) OR years THEN 'R-D'

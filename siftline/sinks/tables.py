@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siftline import schemas
+from siftline.session import path_exists
 
 _TIME = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timeZone": "UTC"}
 
@@ -23,6 +24,9 @@ def write_match_log(records: DataFrame, path: str | None, part: str) -> None:
 
 
 def read_match_log(spark: SparkSession, path: str) -> DataFrame:
+    """All parts of the log; empty while nothing was logged."""
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schemas.MATCHES)
     reader = spark.read.schema(schemas.MATCHES).options(**_TIME)
     return reader.option("recursiveFileLookup", "true").json(path)
 
@@ -32,5 +36,7 @@ def write_part(rows: DataFrame, path: str, part: str) -> None:
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:
+    if not path_exists(spark, path):
+        return spark.createDataFrame([], schemas.OUTBOX)
     reader = spark.read.schema(schemas.OUTBOX).option("recursiveFileLookup", "true")
     return reader.parquet(path)
