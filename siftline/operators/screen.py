@@ -88,10 +88,15 @@ def whole_second(moment: dt.datetime | dt.date) -> dt.datetime:
     return moment.replace(microsecond=0)
 
 
+def before_cutover(until: dt.datetime) -> Column:
+    return F.coalesce(F.col("date") < ntz(whole_second(until)), F.lit(False))
+
+
 def cutover(posts: DataFrame, until: dt.datetime) -> tuple[DataFrame, DataFrame]:
-    """Split once: history takes ``date < until``, live takes the rest."""
+    """Split once: history takes ``date < until``, live the rest, undated posts included."""
     limit = ntz(whole_second(until))
-    return posts.where(F.col("date") < limit), posts.where(F.col("date") >= limit)
+    date = F.col("date")
+    return posts.where(date < limit), posts.where((date >= limit) | date.isNull())
 
 
 def after_high_water(

@@ -163,6 +163,16 @@ def log_sql(matched: str, source: str) -> str:
       reason, {LINK} AS link, '{source}' AS source FROM ({matched}) AS m"""
 
 
+def as_text(frame: DataFrame, *columns: str) -> DataFrame:
+    """Nullable flags and dates as text, which both engines print alike."""
+    return frame.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
+def as_text_sql(sql: str, *columns: str) -> str:
+    casts = ", ".join(f'CAST("{c}" AS VARCHAR) AS "{c}"' for c in columns)
+    return f"SELECT * REPLACE ({casts}) FROM ({sql}) AS plain"
+
+
 # --- Sources, watch list, filters -------------------------------------------
 
 
@@ -261,10 +271,9 @@ def after_high_water(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One pass, each post on exactly one side."""
-    history, live = C.cutover(T.narrow_posts(spark, sf_dir), SINCE)
-    columns = ["channel_id", "msg_id", "date"]
-    return history.select(F.lit("history").alias("side"), *columns).unionByName(
-        live.select(F.lit("live").alias("side"), *columns)
+    side = F.when(C.before_cutover(SINCE), "history").otherwise("live")
+    return T.narrow_posts(spark, sf_dir).select(
+        side.alias("side"), "channel_id", "msg_id", "date"
     )
 
 
@@ -468,16 +477,20 @@ def response_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END AS since
-    FROM orders"""
+    as_text_sql(
+        """SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN CAST(o_orderdate AS DATE) END
+        AS since FROM orders""",
+        "since",
+    )
 )
 def since_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Padded dates; one status gives a blank setting."""
     text = F.concat(F.lit(" "), F.col("o_orderdate").cast("date").cast("string"), F.lit("\n"))
     setting = F.when(F.col("o_orderstatus") == "P", "  ").otherwise(text)
-    return T.table(spark, sf_dir, "orders").select(
+    days = T.table(spark, sf_dir, "orders").select(
         "o_orderkey", S.parse_since(setting).alias("since")
     )
+    return as_text(days, "since")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS since, count(*) AS n FROM events GROUP BY 1")
@@ -561,10 +574,10 @@ def _family(spark: SparkSession, sf_dir: str, family: str) -> DataFrame:
     )
 
 
-@query(two_line_sql(TEXT_WHERE))
+@query(as_text_sql(two_line_sql(TEXT_WHERE), "match"))
 def two_line_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L1, L2, L3."""
-    return R.parse_replies(_family(spark, sf_dir, "text"))
+    return as_text(R.parse_replies(_family(spark, sf_dir, "text")), "match")
 
 
 @query(
@@ -576,16 +589,16 @@ def page_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.table(spark, sf_dir, "pages").select("page_id", found["span"].alias("span"))
 
 
-@query(json_sql(JSON_WHERE))
+@query(as_text_sql(json_sql(JSON_WHERE), "match"))
 def json_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L4, L5."""
-    return R.parse_replies(_family(spark, sf_dir, "json"))
+    return as_text(R.parse_replies(_family(spark, sf_dir, "json")), "match")
 
 
-@query(VERDICTS_SQL)
+@query(as_text_sql(VERDICTS_SQL, "match"))
 def verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every reply, by family."""
-    return R.parse_replies(T.replies(spark, sf_dir))
+    return as_text(R.parse_replies(T.replies(spark, sf_dir)), "match")
 
 
 @query(
@@ -609,10 +622,11 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return V.with_verdicts(keys, T.label_replies(spark, sf_dir))
 
 
-@query(LABELLED_SQL)
+@query(as_text_sql(LABELLED_SQL, "match"))
 def offline_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Replies from the labels; posts without one get ``no_reply``."""
-    return _labelled(spark, sf_dir).select("channel_id", "msg_id", "match", "reason", "error")
+    columns = ["channel_id", "msg_id", "match", "reason", "error"]
+    return as_text(_labelled(spark, sf_dir).select(*columns), "match")
 
 
 @query(f"""SELECT channel_id, msg_id, reason FROM ({LABELLED_SQL}) AS v WHERE "match" """)
@@ -804,11 +818,11 @@ def scored_sql(posts: str) -> str:
       CASE WHEN {fails} THEN 'call_failed' END AS error FROM ({posts}) AS p"""
 
 
-@query(scored_sql(T.TEXTS_SQL))
+@query(as_text_sql(scored_sql(T.TEXTS_SQL), "match"))
 def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M1: a scorer called once per post inside the tasks."""
     scored = score_posts(T.texts(spark, sf_dir), length_scorer, OFFLINE_MODEL, UNPACED)
-    return R.parse_replies(scored).drop("model")
+    return as_text(R.parse_replies(scored).drop("model"), "match")
 
 
 @query(
@@ -869,7 +883,8 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT channel_id, msg_id, first_trigger, {", ".join(
-        f"CASE WHEN first_trigger IS NULL THEN i{n} END AS i{n}" for n in (1, 2, 3))},
+        f"CASE WHEN first_trigger IS NULL THEN CAST(i{n} AS VARCHAR) END AS i{n}"
+        for n in (1, 2, 3))},
       first_trigger IS NULL AND i1 AND i2 AND i3 AS "match" FROM (
       SELECT *, CASE WHEN role_other AND NOT engineer_seg THEN 'R-A' WHEN NOT go THEN 'R-B'
           WHEN rc THEN 'R-C' WHEN (senior AND NOT junior) OR years THEN 'R-D'
@@ -890,7 +905,7 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def rule_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2."""
-    return rule_screen(T.texts(spark, sf_dir), STAND_IN)
+    return as_text(rule_screen(T.texts(spark, sf_dir), STAND_IN), "i1", "i2", "i3")
 
 
 # --- Quota -----------------------------------------------------------------------------

@@ -270,6 +270,11 @@ def test_cutover_loses_and_doubles_nothing(spark):
         history, live = C.cutover(posts, DAY + dt.timedelta(hours=hours, seconds=0.5))
         ids = [r.msg_id for r in history.unionByName(live).collect()]
         assert sorted(ids) == list(range(1, 41))
+        until = DAY + dt.timedelta(hours=hours, seconds=0.5)
+        assert posts.where(C.before_cutover(until)).count() == history.count()
+    undated = posts.withColumn("date", F.lit(None).cast("timestamp_ntz"))
+    history, live = C.cutover(undated, DAY)
+    assert (history.count(), live.count()) == (0, 40)
 
 
 @pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
