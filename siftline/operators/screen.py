@@ -75,10 +75,12 @@ def max_age(
 def date_range(
     posts: DataFrame, since: dt.datetime | dt.date, until: dt.datetime | dt.date
 ) -> DataFrame:
-    """Half-open range in whole seconds."""
+    """Half-open range in whole seconds; a ``day`` column prunes partitions."""
     start, end = whole_second(since), whole_second(until)
     if end < start:
         raise ValueError(f"history range: until ({end}) before since ({start})")
+    if "day" in posts.columns:
+        posts = posts.where(F.col("day").between(F.lit(start.date()), F.lit(end.date())))
     return posts.where((F.col("date") >= ntz(start)) & (F.col("date") < ntz(end)))
 
 

@@ -793,10 +793,10 @@ def _zoneless(log: DataFrame) -> DataFrame:
 
 
 def length_scorer():
-    """A stand-in model: matches posts with a common word, fails on a rare one."""
+    """A stand-in model: matches posts with a common word, fails on two others."""
 
     def reply(text: str) -> str:
-        if " with " in text and " que " in text:
+        if " dans " in text and " qui " in text:
             raise CallFailed(503, "service unavailable")
         flag = "true" if " the " in text or " der " in text else "false"
         return f'{{"match": {flag}, "reason": "{len(text)} characters"}}'
@@ -810,7 +810,7 @@ UNPACED = CallPolicy(rpm=0)
 
 def scored_sql(posts: str) -> str:
     clean = trimmed("message")
-    fails = f"(contains({clean}, ' with ') AND contains({clean}, ' que '))"
+    fails = f"(contains({clean}, ' dans ') AND contains({clean}, ' qui '))"
     return f"""SELECT channel_id, msg_id,
       CASE WHEN NOT {fails} THEN contains({clean}, ' the ') OR contains({clean}, ' der ') END
         AS "match",

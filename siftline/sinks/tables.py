@@ -2,7 +2,8 @@
 
 Each writer replaces one part folder below the table's path. A part belongs
 to one slice of a sweep or one batch of a stream, so repeating that work after
-a crash replaces its rows and never doubles or drops others.
+a crash replaces its rows and never doubles or drops others. Rows are few next
+to the posts they come from, so they are rebalanced into files of a fair size.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def write_match_log(records: DataFrame, path: str | None, part: str) -> None:
     """One JSON object per line, in field order, no field left out. No path, no log."""
     if path is None:
         return
-    writer = records.write.mode("overwrite").options(**_TIME)
+    writer = records.hint("rebalance").write.mode("overwrite").options(**_TIME)
     writer.option("ignoreNullFields", "false").json(f"{path}/{part}")
 
 
@@ -32,7 +33,7 @@ def read_match_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_part(rows: DataFrame, path: str, part: str) -> None:
-    rows.write.mode("overwrite").parquet(f"{path}/{part}")
+    rows.hint("rebalance").write.mode("overwrite").parquet(f"{path}/{part}")
 
 
 def read_outbox(spark: SparkSession, path: str) -> DataFrame:

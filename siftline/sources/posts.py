@@ -7,7 +7,7 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline import schemas
-from siftline.operators.screen import date_range, ordinary_only, whole_second
+from siftline.operators.screen import date_range, ordinary_only
 
 
 def read_history(
@@ -17,11 +17,7 @@ def read_history(
 
     A table stored by ``day`` is pruned to the days of the range.
     """
-    posts = spark.read.parquet(path)
-    if "day" in posts.columns:
-        first, last = whole_second(since).date(), whole_second(until).date()
-        posts = posts.where(F.col("day").between(F.lit(first), F.lit(last))).drop("day")
-    return date_range(ordinary_only(posts), since, until)
+    return date_range(ordinary_only(spark.read.parquet(path)), since, until)
 
 
 def write_posts_by_day(posts: DataFrame, path: str) -> None:
