@@ -62,9 +62,12 @@ def backfill(
     """Run or resume the sweep from ``params.since``; None where no sweep is set.
 
     Each slice is one parallel job over all channels and is committed when its
-    outputs stand: verdicts, log, outbox, then marks. A finished sweep with the
-    same cut-off is left alone; another cut-off starts over. A post that fails
-    is an error value in the verdicts and stops nothing.
+    outputs stand: verdicts, log, outbox, then marks. A resumed sweep goes on
+    with the slices that are not committed. Posts are held against the marks
+    the sweep started with, not those of its own slices, so ids need not rise
+    with dates. A finished sweep with the same cut-off is left alone; another
+    cut-off starts over. A post that fails is an error value in the verdicts
+    and stops nothing.
     """
     if params.since is None:
         return None
@@ -76,6 +79,7 @@ def backfill(
     watch = watch_list(spark, params.watch_csv) if watch is None else watch
     # Used by every slice: resolved once.
     resolved = cut_lineage(resolve_channels(watch, channels))
+    start_marks = state.start_marks(sweep)
     policy = policy or CallPolicy(rpm=params.rpm)
 
     for span in time_slices(sweep.since, sweep.until, slice_days):
@@ -85,7 +89,7 @@ def backfill(
 
         def score() -> DataFrame:
             history = resolved_history(date_range(ordinary_only(posts), *span), resolved)
-            pending = after_high_water(history, state.marks(sweep))
+            pending = after_high_water(history, start_marks)
             return score_posts(
                 pending, make_scorer, params.model, policy, params.rules, keep_post=True
             )

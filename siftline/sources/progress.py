@@ -90,8 +90,17 @@ class SweepState:
         self._event(sweep, "start", (None, None))
         return sweep
 
+    def start_marks(self, sweep: Sweep) -> DataFrame:
+        """Marks the sweep began with: none, unless it took over a state file."""
+        if not any(first == last for first, last in sweep.committed):
+            return self._spark.createDataFrame([], schemas.MARKS)
+        return self._marks(sweep, F.col("slice_from") == F.col("slice_to"))
+
     def marks(self, sweep: Sweep) -> DataFrame:
         """High-water marks of the sweep's committed slices."""
+        return self._marks(sweep, F.lit(True))
+
+    def _marks(self, sweep: Sweep, which: Column) -> DataFrame:
         mine = F.col("generation") == sweep.generation
         committed = (
             self._read("runs", schemas.RUNS)
@@ -102,7 +111,7 @@ class SweepState:
         schema = f"{schemas.PROGRESS}, slice_from TIMESTAMP_NTZ, slice_to TIMESTAMP_NTZ"
         return (
             self._read("progress", schema)
-            .where(mine)
+            .where(mine & which)
             .join(committed, ["slice_from", "slice_to"], "left_semi")
             .groupBy("channel_id")
             .agg(F.max("last_msg_id").alias("last_msg_id"))

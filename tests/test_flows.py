@@ -117,6 +117,19 @@ def test_finished_sweep_is_left_alone_and_new_date_starts_over(spark, tmp_path):
     assert run(spark, sinks, now).generation == 3
 
 
+def test_ids_need_not_rise_with_dates(spark, tmp_path):
+    sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=4)
+    posts = make_posts(spark).withColumn("msg_id", F.lit(41) - F.col("msg_id"))
+    channels = make_channels(spark)
+    B.backfill(spark, posts, channels, PARAMS, sinks, scorer, UNPACED, now)
+    kept = posts.where(
+        (F.col("kind") == "message") & F.col("channel_id").isin(10, 11)
+        & F.col("message").isin("yes", "yes 2")
+    )
+    want = sorted((r.channel_id, r.msg_id, "backfill") for r in kept.collect())
+    assert log_rows(spark, sinks) == want
+
+
 @pytest.mark.parametrize("cut_at", ["score", "deliver", "commit", "event"])
 def test_rerun_after_a_cut_equals_one_clean_run(spark, tmp_path, monkeypatch, cut_at):
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=3)
