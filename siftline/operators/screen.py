@@ -26,7 +26,8 @@ def ntz(moment: dt.datetime | dt.date | str) -> Column:
 
 def utc_now() -> Column:
     """Current UTC time without zone, whatever the session zone is."""
-    return F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()).cast("timestamp_ntz")
+    seconds = F.unix_micros(F.current_timestamp()).cast("decimal(24,0)") / F.lit(1_000_000)
+    return ntz(EPOCH) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def ordinary_only(posts: DataFrame) -> DataFrame:
@@ -61,8 +62,9 @@ def max_age(
     if seconds == 0:
         return posts
     limit = as_of - F.make_dt_interval(secs=F.lit(seconds))
-    whole = F.date_trunc("SECOND", limit).cast("timestamp_ntz")
-    oldest = F.when(limit > whole, whole + F.make_dt_interval(secs=F.lit(1))).otherwise(whole)
+    past = F.extract(F.lit("SECOND"), limit) % F.lit(1)
+    rest = F.when(past > 0, F.lit(1) - past).otherwise(F.lit(0))
+    oldest = limit + F.make_dt_interval(secs=rest.cast("decimal(18,6)"))
     date = F.col("date")
     undated = date.isNull() | (date < ntz(EPOCH + dt.timedelta(seconds=1)))
     kept = undated | (date >= oldest)

@@ -19,6 +19,7 @@ from siftline.params import ScreeningParams, SinkPaths
 from siftline.plans import backfill as B
 from siftline.plans.job import run_job
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log
+from siftline.sources.channels import read_channels
 from siftline.sources.posts import read_history, read_live, write_posts_by_day
 from siftline.sources.progress import SweepState
 from siftline.streaming import live as live_module
@@ -204,7 +205,9 @@ def test_no_date_no_sweep_and_range_error(spark, tmp_path):
 
 def test_state_file_is_taken_over(spark, tmp_path):
     path = tmp_path / "state.json"
-    path.write_text('{\n  "since": "2024-01-01",\n  "channels": {"10": 12, "11": 7},\n  "done": false\n}')
+    path.write_text(
+        '{\n  "since": "2024-01-01",\n  "channels": {"10": 12, "11": 7},\n  "done": false\n}'
+    )
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=3)
     state = SweepState(spark, sinks.state)
     sweep = state.adopt_state_file(str(path), now)
@@ -270,6 +273,33 @@ def test_max_age_boundaries(spark):
     assert C.max_age(posts, C.ntz(as_of), 0).count() == len(rows)
 
 
+def test_time_does_not_depend_on_the_session_zone(spark):
+    # 02:30 on that day does not exist in the zone.
+    as_of = dt.datetime(2024, 3, 10, 2, 30, 0, 400_000)
+    rows = [(i, as_of - dt.timedelta(seconds=s)) for i, s in enumerate([899, 900.4, 901])]
+    posts = spark.createDataFrame(rows, "msg_id INT, date TIMESTAMP_NTZ")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    for other in ("America/New_York", "Asia/Almaty", "UTC"):
+        spark.conf.set("spark.sql.session.timeZone", other)
+        try:
+            kept = C.max_age(posts, C.ntz(as_of), 900).collect()
+            now = spark.range(1).select(C.utc_now()).first()[0]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", zone)
+        # The limit is 02:15:00.4, so the first whole second that is young enough is 02:15:01.
+        assert [r.msg_id for r in kept] == [0]
+        utc = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+        assert abs(utc - now) < dt.timedelta(seconds=30)
+
+
+def test_channels_of_the_watch_list(spark, tmp_path):
+    path = str(tmp_path / "channels")
+    make_channels(spark).write.parquet(path)
+    watch = spark.createDataFrame([(10,), (99,)], schemas.WATCH)
+    assert read_channels(spark, path).count() == 3
+    assert [r.channel_id for r in read_channels(spark, path, watch).collect()] == [10]
+
+
 def test_date_range_in_whole_seconds(spark):
     rows = [(0, DAY), (1, DAY + dt.timedelta(hours=1)), (2, DAY + dt.timedelta(minutes=59, seconds=59.9))]
     posts = spark.createDataFrame(rows, "msg_id INT, date TIMESTAMP_NTZ")

@@ -1,7 +1,6 @@
 import json
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from rows import apply
