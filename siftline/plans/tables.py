@@ -147,17 +147,23 @@ WATCH_SQL = "SELECT CAST(n_nationkey AS BIGINT) AS channel_id FROM nation WHERE
 
 
 def marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A mark half way through each even channel; odd channels are new."""
+    """A mark half way through each channel swept before; the other channels are new."""
+    swept = table(spark, sf_dir, "nation").where(F.col("n_regionkey") < 3)
     return (
         texts(spark, sf_dir)
         .groupBy("channel_id")
         .agg(F.floor((F.min("msg_id") + F.max("msg_id")) / 2).alias("last_msg_id"))
-        .where(F.col("channel_id") % 2 == 0)
+        .join(
+            swept.select(F.col("n_nationkey").cast("bigint").alias("channel_id")),
+            "channel_id",
+            "left_semi",
+        )
     )
 
 
 MARKS_SQL = f"""SELECT channel_id, (min(msg_id) + max(msg_id)) // 2 AS last_msg_id
-  FROM ({TEXTS_SQL}) AS t GROUP BY channel_id HAVING channel_id % 2 = 0"""
+  FROM ({TEXTS_SQL}) AS t
+  WHERE channel_id IN (SELECT n_nationkey FROM nation WHERE n_regionkey < 3) GROUP BY channel_id"""
 
 POSTS_SQL = f"""SELECT t.channel_id, t.msg_id, t.message, u.date, u.kind, u.peer_kind
   FROM ({TEXTS_SQL}) AS t JOIN ({UPDATES_SQL}) AS u ON t.msg_id = u.msg_id"""

@@ -14,6 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline import schemas
+from siftline.operators.lookup import fits_broadcast
 from siftline.session import path_exists
 
 Span = tuple[dt.datetime, dt.datetime]
@@ -133,6 +134,23 @@ class SweepState:
     def finish(self, sweep: Sweep) -> None:
         self._event(sweep, "done", (None, None))
 
+    def write_state_file(self, sweep: Sweep, path: str) -> None:
+        """The sweep as one JSON object ``{since, channels, done}``, empty parts left out.
+
+        All marks go into one row, so their number is checked first.
+        """
+        marks = self.marks(sweep)
+        if not fits_broadcast(marks):
+            raise ValueError("too many channels for one state object")
+        entries = F.collect_list(F.struct(F.col("channel_id").cast("string"), "last_msg_id"))
+        channels = F.when(F.count("*") > 0, F.map_from_entries(entries))
+        state = marks.agg(channels.alias("channels")).select(
+            F.lit(sweep.since.isoformat()).alias("since"),
+            "channels",
+            F.lit(True if sweep.done else None).cast("boolean").alias("done"),
+        )
+        state.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
     def adopt_state_file(self, path: str, until: dt.datetime) -> Sweep | None:
         """Take over a state file ``{since, channels, done}`` as a new sweep."""
         state = self._spark.read.schema(schemas.STATE_FILE).json(path, multiLine=True)

@@ -1,6 +1,7 @@
 """Sweeps, streams and sinks: resume, stream = batch, and repeated work."""
 
 import datetime as dt
+import json
 import sys
 
 import pytest
@@ -218,6 +219,18 @@ def test_state_file_is_taken_over(spark, tmp_path):
     assert log_rows(spark, sinks) == want
 
 
+def test_state_file_round_trip(spark, tmp_path):
+    sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=2)
+    sweep = run(spark, sinks, now)
+    state, path = SweepState(spark, sinks.state), str(tmp_path / "exported")
+    state.write_state_file(sweep, path)
+    (line,) = [f.read_text() for f in (tmp_path / "exported").glob("*.json") if f.read_text()]
+    marks = {str(r.channel_id): r.last_msg_id for r in state.marks(sweep).collect()}
+    assert json.loads(line) == {"since": "2024-01-01", "channels": marks, "done": True}
+    taken = SweepState(spark, str(tmp_path / "other")).adopt_state_file(path, now)
+    assert taken.done and taken.since == sweep.since
+
+
 def test_stream_equals_batch_over_several_triggers(spark, tmp_path):
     source, sinks = str(tmp_path / "posts"), sinks_at(tmp_path)
     make_posts(spark).repartition(5).write.parquet(source)
