@@ -2,10 +2,9 @@
 
 import pytest
 
-import __spark_entry__ as contract
 from siftline.plans import tables as T
 from siftline.operators import screen as C
-from siftline.plans.registry import SINCE, UNTIL
+from siftline.plans.registry import QUERIES, SINCE, UNTIL
 
 SF_DIR = "/root/testdata/sf0.001"
 WRITERS = {"outbox", "match_log", "stream_matches", "backfill_matches", "progress_marks", "sweep_summary"}
@@ -27,9 +26,9 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", [n for n in contract.queries() if n not in WRITERS])
+@pytest.mark.parametrize("name", [n for n in QUERIES if n not in WRITERS])
 def test_no_cross_join_and_no_single_task(spark, name):
-    text = plan(contract.queries()[name](spark, SF_DIR))
+    text = plan(QUERIES[name](spark, SF_DIR))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     if name not in ("run_summary", "watch_coverage"):
         assert "SinglePartition" not in text
@@ -37,7 +36,7 @@ def test_no_cross_join_and_no_single_task(spark, name):
 
 @pytest.mark.parametrize("name", ROW_LOCAL)
 def test_row_local_work_moves_nothing(spark, name):
-    assert "Exchange" not in plan(contract.queries()[name](spark, SF_DIR))
+    assert "Exchange" not in plan(QUERIES[name](spark, SF_DIR))
 
 
 def test_date_bounds_reach_the_reader(spark):
@@ -48,7 +47,7 @@ def test_date_bounds_reach_the_reader(spark):
 
 
 def test_matches_join_small_tables_only(spark):
-    text = plan(contract.queries()["match_records"](spark, SF_DIR))
+    text = plan(QUERIES["match_records"](spark, SF_DIR))
     scan = "FileScan parquet [doc_id"
     assert text.count(scan) == 1
     # From the scan of the texts up to the top there is a broadcast join and no exchange.
@@ -58,5 +57,5 @@ def test_matches_join_small_tables_only(spark):
 
 def test_reports_aggregate_before_the_shuffle(spark):
     for name in ("backlog_by_channel", "reply_errors", "retry_plans", "high_water"):
-        text = plan(contract.queries()[name](spark, SF_DIR))
+        text = plan(QUERIES[name](spark, SF_DIR))
         assert "partial_" in text and "SortAggregate" not in text
