@@ -7,7 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from siftline.llm import mixing, packing
+from siftline.llm import (
+    embeddings,
+    fingerprints,
+    licenses,
+    mixing,
+    packing,
+    quality,
+    simhash,
+    substrings,
+    url_lists,
+    warc,
+)
 from siftline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +77,135 @@ SELECT doc_id, source, size, source_size, target,
 @query(MIXING_SQL)
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.removal_report(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op1_warc_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_pages(table(spark, sf_dir, "pages"))
+
+
+@query()
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query()
+def op6_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_edits(table(spark, sf_dir, "documents"))
+
+
+# --- Files with paths: every document lies in a tree below its source ------------------------
+
+FILES_SQL = """SELECT doc_id, text, source || CASE WHEN doc_id % 512 = 0 THEN ''
+    WHEN doc_id % 64 = 0 THEN '/d' || CAST(floor(doc_id / 512) AS BIGINT)
+    ELSE '/d' || CAST(floor(doc_id / 512) AS BIGINT) || '/e' || CAST(floor(doc_id % 512 / 64) AS BIGINT) END
+  || CASE WHEN doc_id % 8 = 0 THEN '/LICENSE' ELSE '/f' || doc_id || '.txt' END AS path FROM documents"""
+
+_TEMPLATE_ROWS = ", ".join(f"('{n}', '{t}')" for n, t in licenses.TEMPLATES.items())
+_TERMS = f"regexp_extract_all(lower({{}}), '{licenses.TERM}')"
+
+LICENSES_SQL = f"""
+WITH files AS ({FILES_SQL}),
+templates AS (SELECT * FROM (VALUES {_TEMPLATE_ROWS}) AS t(name, body)),
+tt AS (SELECT name, term, count(*) AS c FROM
+  (SELECT name, unnest({_TERMS.format("body")}) AS term FROM templates) GROUP BY name, term),
+lines AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+  unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS i FROM files),
+found AS (SELECT doc_id, i, term, count(*) AS tf FROM
+  (SELECT doc_id, i, unnest({_TERMS.format("line")}) AS term FROM lines) GROUP BY doc_id, i, term),
+held AS (SELECT term, count(DISTINCT doc_id) AS d FROM found WHERE term IN (SELECT term FROM tt) GROUP BY term),
+n AS (SELECT count(*) AS n FROM files),
+w AS (SELECT term, ln((1.0::DOUBLE + n) / (1 + coalesce(d, 0))) + 1 AS w
+  FROM (SELECT DISTINCT term FROM tt) LEFT JOIN held USING (term), n),
+rare AS (SELECT ln(1.0::DOUBLE + n) + 1 AS r FROM n),
+lengths AS (SELECT name, sqrt(sum((c * w) ** 2)) AS length FROM tt JOIN w USING (term) GROUP BY name),
+own AS (SELECT doc_id, i, sqrt(sum(CASE WHEN w IS NULL THEN tf * r * r ELSE (tf * w) ** 2 END)) AS length
+  FROM found LEFT JOIN w USING (term), rare GROUP BY doc_id, i),
+scores AS (SELECT f.doc_id, f.i, tt.name, round(sum(f.tf * tt.c * w.w * w.w) / any_value(l.length) / any_value(own.length), 6) AS score
+  FROM found AS f JOIN tt USING (term) JOIN w USING (term) JOIN lengths AS l USING (name)
+  JOIN own ON own.doc_id = f.doc_id AND own.i = f.i GROUP BY f.doc_id, f.i, tt.name),
+per_line AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY doc_id, i ORDER BY score DESC, name) = 1),
+best AS (SELECT * FROM per_line QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, name DESC) = 1),
+scanned AS (SELECT doc_id, path, name AS own_license, score AS own_score,
+  regexp_replace(path, '/[^/]*$', '') AS directory
+  FROM files LEFT JOIN (SELECT * FROM best WHERE score >= {licenses.THRESHOLD}) USING (doc_id)),
+dirs AS (SELECT directory, own_license AS license FROM scanned
+  WHERE own_license IS NOT NULL AND path LIKE '%/LICENSE'
+  QUALIFY row_number() OVER (PARTITION BY directory ORDER BY own_score DESC, own_license) = 1),
+nearest AS (SELECT s.doc_id, d.directory, d.license FROM scanned AS s
+  JOIN dirs AS d ON s.directory = d.directory OR starts_with(s.directory, d.directory || '/')
+  QUALIFY row_number() OVER (PARTITION BY s.doc_id ORDER BY length(d.directory) DESC) = 1)
+SELECT s.doc_id, s.path, own_license, own_score, coalesce(own_license, n.license) AS license,
+  CASE WHEN own_license IS NOT NULL THEN s.path ELSE n.directory END AS license_from
+FROM scanned AS s LEFT JOIN nearest AS n USING (doc_id)"""
+
+
+@query(LICENSES_SQL)
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = spark.sql(FILES_SQL.replace("FROM documents", "FROM {docs}"), docs=table(spark, sf_dir, "documents"))
+    return licenses.scan_licenses(files)
+
+
+# --- Captures with a day, and a list whose entries come and go -------------------------------
+
+DAY = "date_add(DATE'2024-01-01', CAST({} % 365 AS INT))"
+_ENTRY_KINDS = {
+    0: "host",
+    1: "concat(host, '/en/')",
+    2: "regexp_replace(host, '^[^.]*[.]', '')",
+    3: "host",
+    4: "concat(host, '/fr/')",
+    5: "host",
+}
+_ENTRY_ROWS = " UNION ALL ".join(
+    f"SELECT {pattern} AS pattern, {DAY.format(f'(length(host) * 37 + {k} * 61)')} AS since, "
+    f"CASE (length(host) + {k}) % 4 WHEN 0 THEN 'allow' WHEN 3 THEN 'remove' ELSE 'block' END AS action FROM hosts"
+    for k, pattern in _ENTRY_KINDS.items()
+)
+
+
+def _duck(sql: str) -> str:
+    return sql.replace("date_add(DATE'2024-01-01', ", "(DATE '2024-01-01' + ")
+
+
+URL_LISTS_SQL = _duck(f"""
+WITH captures AS (SELECT page_id, url, {DAY.format("(page_id * 7919)")} AS fetched,
+  regexp_replace(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '[.]$', '') AS host,
+  regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+hosts AS (SELECT DISTINCT host FROM captures WHERE host <> ''),
+entries AS (SELECT pattern, since, max(CASE action WHEN 'block' THEN 2 WHEN 'allow' THEN 1 ELSE 0 END) AS rank
+  FROM ({_ENTRY_ROWS}) GROUP BY pattern, since),
+spans AS (SELECT *, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until,
+  regexp_extract(pattern, '^([^/]*)', 1) AS phost, regexp_extract(pattern, '^[^/]*(.*)$', 1) AS ppath FROM entries),
+hits AS (SELECT page_id, pattern, CASE rank WHEN 2 THEN 'block' ELSE 'allow' END AS action
+  FROM captures JOIN spans ON (host = phost OR ends_with(host, '.' || phost))
+    AND (ppath = '' OR path = ppath OR (ends_with(ppath, '/') AND starts_with(path, ppath)))
+    AND since <= fetched AND (until IS NULL OR until > fetched)
+  WHERE rank > 0
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY length(pattern) DESC, action DESC, pattern DESC) = 1)
+SELECT page_id, fetched, pattern, action, coalesce(action = 'block', false) AS blocked
+FROM captures LEFT JOIN hits USING (page_id)""")
+
+
+@query(URL_LISTS_SQL)
+def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched", F.expr(DAY.format("(page_id * 7919)")))
+    hosts = pages.select(url_lists.url_host(F.col("url")).alias("host")).where("host <> ''").distinct()
+    entries = spark.sql(_ENTRY_ROWS.replace("FROM hosts", "FROM {hosts}"), hosts=hosts)
+    return url_lists.judge(captures, entries, "page_id")
