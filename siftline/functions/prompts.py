@@ -32,13 +32,13 @@ I-3: remote, or Astana among the cities, or Kazakhstan without a city, or no pla
 
 If a post passed the rejections and is still unclear, answer yes."""
 
-JSON_OUTPUT = """Answer with one JSON object and nothing else. Key "match" is true or
-false. Key "reason" is one short sentence in Russian, 140 characters at most:
+JSON_OUTPUT = f"""Answer with one JSON object and nothing else. Key "match" is true or
+false. Key "reason" is one {K.REASON_ASK}:
 for true the role, level or place that fits, for false the rule that failed."""
 
-TEXT_OUTPUT = """Answer with two lines and nothing else: no JSON, no Markdown.
+TEXT_OUTPUT = f"""Answer with two lines and nothing else: no JSON, no Markdown.
 The first line is MATCH: and yes or no. The second line is REASON: and one
-short sentence in Russian, 140 characters at most, with the actual reason.
+{K.REASON_ASK}, with the actual reason.
 
 A fitting post:
 MATCH: yes

@@ -17,9 +17,7 @@ from siftline.functions.text import is_blank, utrim
 
 _WS = r"[\t\n\f\r ]"
 _LEAD = r"(?iumd)^[\t\f\r >*\-]*+"
-_ANSWERS = "|".join(
-    word for pair in zip(K.YES_WORDS, K.NO_WORDS) for word in pair
-)
+_ANSWERS = "|".join(K.YES_WORDS + K.NO_WORDS)
 MATCH_LINE = rf'{_LEAD}MATCH{_WS}*+[:=]{_WS}*+"?+({_ANSWERS})'
 REASON_LINE = rf"{_LEAD}REASON{_WS}*+[:=]{_WS}*+([^\n]*+)"
 ECHO = (

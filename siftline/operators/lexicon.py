@@ -40,8 +40,8 @@ _WORDS = {
     ROLE_OTHER: (
         "аналитик*", "business analyst", "data analyst", "редактор*", "ux writer",
         "copywriter", "копирайтер*", "журналист*", "designer", "дизайнер*",
-        "project manager", "product manager", "scrum master", "hr", "recruiter",
-        "рекрутер*", "sourcer", "sales", "маркетолог*", "smm", "контент менеджер*",
+        "manager", "менеджер*", "scrum master", "hr", "recruiter", "support",
+        "рекрутер*", "sourcer", "sales", "маркетолог*", "smm",
         "accountant", "бухгалтер*", "lawyer", "юрист*", "финансист*",
         "customer service", "call centre", "оператор*", "manual qa", "qa manual",
         "ручной тестировщик", "тестировщик ручной", "teacher", "tutor", "преподавател*",
@@ -76,19 +76,19 @@ _WORDS = {
     ),
 }
 
-_YEARS_FROM, _YEARS_TO = 3, 15
-
-
-def _years() -> list[str]:
-    forms = ("{n}+ years", "{n} years of commercial", "от {n} лет", "{n}+ лет")
-    return [f.format(n=n) for n in range(_YEARS_FROM, _YEARS_TO + 1) for f in forms] + [
-        "от трёх лет", "от трех лет",
-    ]
-
+# Years of experience that are too many, and how posts put them; of a span the first number counts.
+YEARS_FROM = 3
+YEARS_FORMS = (
+    r" ([0-9]+)\+ (?:years|лет)(?= )",
+    r" ([0-9]+) (?:[0-9]+\+? )?years of (?:commercial|experience)(?= )",
+    r" от ([0-9]+) лет(?= )",
+    r" (?:minimum|min|at least) ([0-9]+) years(?= )",
+)
 
 DEFAULT_LEXICON = (
     *(Term(group, word) for group, words in _WORDS.items() for word in words),
-    *(Term(YEARS, word) for word in _years()),
+    Term(YEARS, "от трёх лет"),
+    Term(YEARS, "от трех лет"),
     Term(GO, "Go", True),
     Term(GO, "golang"),
 )

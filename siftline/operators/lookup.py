@@ -4,30 +4,37 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 @dataclass(frozen=True)
 class BroadcastBound:
-    rows: int = 200_000
     bytes: int = 64 << 20
 
 
+def _width(field: T.StructField) -> Column:
+    """Bytes of a value, close enough for a bound."""
+    column = F.col(field.name)
+    if isinstance(field.dataType, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0))
+    if isinstance(field.dataType, (T.ArrayType, T.MapType, T.StructType)):
+        return F.octet_length(F.to_json(F.struct(column)))
+    return F.lit(8)
+
+
 def fits_broadcast(dim: DataFrame, bound: BroadcastBound = BroadcastBound()) -> bool:
-    """Count rows and bytes, reading no more than one row over the bound."""
-    width = sum(
-        (
-            F.coalesce(F.octet_length(F.col(f.name)), F.lit(0))
-            if f.dataType.typeName() == "string"
-            else F.lit(8)
-            for f in dim.schema.fields
-        ),
-        F.lit(0),
-    )
-    rows, size = (
-        dim.limit(bound.rows + 1).agg(F.count("*"), F.coalesce(F.sum(width), F.lit(0))).first()
-    )
-    return rows <= bound.rows and size <= bound.bytes
+    """Sum up the bytes of ``dim``; it should be stored, as this reads all of it."""
+    width = sum(map(_width, dim.schema.fields), F.lit(0))
+    return (dim.agg(F.sum(width)).first()[0] or 0) <= bound.bytes
+
+
+def one_per_key(dim: DataFrame, key: str = "channel_id") -> DataFrame:
+    """One row per key that is not null; of several the greatest, so that reruns agree."""
+    others = [c for c in dim.columns if c != key]
+    known = dim.where(F.col(key).isNotNull())
+    if not others:
+        return known.distinct()
+    return known.groupBy(key).agg(F.max(F.struct(*others)).alias("_v")).select(key, "_v.*")
 
 
 def lookup_join(

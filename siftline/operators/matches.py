@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.functions.scalars import notification_text, post_link
-from siftline.operators.lookup import BroadcastBound, lookup_join
+from siftline.operators.lookup import BroadcastBound, lookup_join, one_per_key
 
 
 def with_channel(
     matches: DataFrame, channels: DataFrame, bound: BroadcastBound = BroadcastBound()
 ) -> DataFrame:
-    """Left join with the channel dimension; ``channel_found`` tells the two sides apart."""
-    dim = channels.select("channel_id", "title", "username", F.lit(True).alias("_found"))
+    """Left join with the channel dimension; ``channel_found`` tells the two sides apart.
+
+    A channel that has several rows counts once.
+    """
+    dim = one_per_key(channels.select("channel_id", "title", "username")).withColumn("_found", F.lit(True))
     joined = lookup_join(matches, dim, "left", bound=bound)
     return joined.withColumn("channel_found", F.coalesce("_found", F.lit(False))).drop("_found")
 

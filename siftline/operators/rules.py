@@ -86,6 +86,22 @@ def _whole(terms: Iterable[Term]) -> Column:
     return reduce(lambda a, b: a | b, tests, F.lit(False))
 
 
+def enough_years(folded: Column) -> Column:
+    """True where segmented text in lower case asks for ``YEARS_FROM`` years or more, however many."""
+
+    def too_many(number: Column) -> Column:
+        # Beyond 64 bits is more than enough.
+        return F.coalesce(number.try_cast("bigint"), F.lit(L.YEARS_FROM)) >= L.YEARS_FROM
+
+    found = [F.exists(F.regexp_extract_all(folded, F.lit(form), F.lit(1)), too_many) for form in L.YEARS_FORMS]
+    return reduce(lambda a, b: a | b, found)
+
+
+def _group_hit(group: str, terms: Iterable[Term]) -> Column:
+    hit = _whole(terms)
+    return hit | enough_years(F.col("_folded")) if group == L.YEARS else hit
+
+
 def _only_if(gate: Column, costly: Column) -> Column:
     return F.when(gate, costly).otherwise(F.lit(False))
 
@@ -93,7 +109,7 @@ def _only_if(gate: Column, costly: Column) -> Column:
 def rule_hits(posts: DataFrame, lexicon: Iterable[Term]) -> DataFrame:
     """One row per post and lexicon group that the post mentions."""
     groups = _by_group(lexicon)
-    hits = F.array_compact(F.array(*(F.when(_whole(terms), g) for g, terms in groups.items())))
+    hits = F.array_compact(F.array(*(F.when(_group_hit(g, terms), g) for g, terms in groups.items())))
     return _cut(posts, lexicon).select("channel_id", "msg_id", F.explode(hits).alias("rule_id"))
 
 
@@ -131,7 +147,7 @@ def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) ->
     )
     still_open = f[L.GO] & ~F.col("_a")
     flagged = roles.select(
-        "*", *(_only_if(still_open, _whole(groups[g])).alias(f"_{g}") for g in rest)
+        "*", *(_only_if(still_open, _group_hit(g, groups[g])).alias(f"_{g}") for g in rest)
     ).withColumn("_c", _only_if(f[L.BONUS] & f[L.OTHER_LANGUAGE], ~plain_go_segment))
     rejected = {
         "R-A": F.col("_a"),

@@ -1,7 +1,8 @@
 """The model call as a distributed scorer.
 
 A scorer is any callable ``scorer(text) -> str`` that raises ``CallFailed``.
-It is built once per task. Every row ends as a reply or an error class.
+It is built once per task, by a factory that gets the system text (empty for
+models with one text input). Every row ends as a reply or an error class.
 """
 
 from __future__ import annotations
@@ -12,14 +13,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from siftline import constants as K
 from siftline import schemas
-from siftline.functions.prompts import text_frame
+from siftline.functions.prompts import system_text, text_frame
 from siftline.functions.text import utrim
 
 Scorer = Callable[[str], str | None]
+MINUTE_US = 60_000_000
 
 
 class CallFailed(Exception):
@@ -33,34 +36,47 @@ class CallFailed(Exception):
 
 @dataclass(frozen=True)
 class CallPolicy:
-    """Request rate over all tasks together (0 = off), and the retry limit."""
+    """Request rate over all tasks together (0 = off), and the retry limit.
+
+    ``clock`` is the time all machines share, in seconds.
+    """
 
     rpm: int = K.DEFAULT_RPM
     tasks: int | None = None
     max_retries: int = K.MAX_RETRIES
     sleep: Callable[[float], None] = time.sleep
-    clock: Callable[[], float] = time.monotonic
+    clock: Callable[[], float] = time.time
 
 
 class _Pacer:
-    """Even spacing of the calls of one task."""
+    """Slots of one task on a grid that all tasks share.
+
+    The grid has a slot every ``step_us`` since the epoch, and lane ``i`` of
+    ``lanes`` owns every ``lanes``-th of them. So no two calls share a slot,
+    whichever task, batch, sweep, stream or restart they belong to, and nothing has
+    to be carried from one to the next.
+    """
 
-    def __init__(self, spacing_s: float, policy: CallPolicy) -> None:
-        self._spacing, self._policy, self._free_at = spacing_s, policy, None
+    def __init__(self, step_us: int, lane: int, lanes: int, policy: CallPolicy) -> None:
+        self._step, self._lane, self._lanes, self._policy = step_us, lane, lanes, policy
+        self._next = 0
 
     def wait(self) -> None:
-        if not self._spacing:
+        if not self._step:
             return
-        now = self._policy.clock()
-        start = now if self._free_at is None else max(now, self._free_at)
-        self._free_at = start + self._spacing
-        if start > now:
-            self._policy.sleep(start - now)
+        now = int(self._policy.clock() * 1e6)
+        slot = max(self._next, -(-now // self._step))
+        slot += (self._lane - slot) % self._lanes
+        self._next = slot + 1
+        if slot * self._step > now:
+            self._policy.sleep((slot * self._step - now) / 1e6)
 
 
 def _hint_seconds(message: str) -> float:
+    """Seconds a hint asks for; 0 without one, or for more than 64 bits of nanoseconds."""
     hint = re.search(K.RETRY_HINT, message)
-    return float(hint.group(1)) if hint else 0.0
+    seconds = float(hint.group(1)) if hint else 0.0
+    return seconds if seconds * 1e9 < 1 << 63 else 0.0
 
 
 def _call(scorer: Scorer, text: str, pacer: _Pacer, policy: CallPolicy):
@@ -88,7 +104,7 @@ def _call(scorer: Scorer, text: str, pacer: _Pacer, policy: CallPolicy):
 
 def score_posts(
     posts: DataFrame,
-    make_scorer: Callable[[], Scorer],
+    make_scorer: Callable[[str], Scorer],
     model: str = K.DEFAULT_MODEL,
     policy: CallPolicy = CallPolicy(),
     rules: str | None = None,
@@ -97,21 +113,24 @@ def score_posts(
     """One reply or error per post (schema ``SCORED``, plus the trimmed ``post`` if kept).
 
     Put every filter before this call: Spark moves none past it. With a rate
-    limit the posts are spread over ``tasks`` tasks that each take an equal
-    share of the rate, so the sum stays at or under it. Without one nothing
-    is shuffled. Blank posts become ``empty_post`` and are not sent.
+    limit the posts are spread over ``tasks`` tasks that each own an equal
+    share of the slots of one grid, so the rate is a ceiling over all of them
+    and over whatever runs before or after. Without one nothing is shuffled.
+    Blank posts become ``empty_post`` and are not sent.
     """
     is_text = model.lower().startswith(K.TEXT_FAMILY_PREFIX)
     before, after = text_frame(rules) if is_text else ("", "")
+    system = "" if is_text else system_text(rules)
     narrow = posts.select("channel_id", "msg_id", utrim(F.col("message")).alias("post"))
-    spacing_s = 0.0
+    step_us, tasks = 0, 1
     if policy.rpm > 0:
         tasks = policy.tasks or min(posts.sparkSession.sparkContext.defaultParallelism, policy.rpm)
         narrow = narrow.repartition(tasks)
-        spacing_s = tasks * 60.0 / policy.rpm
+        step_us = -(-MINUTE_US // policy.rpm)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer, pacer = make_scorer(), _Pacer(spacing_s, policy)
+        scorer = make_scorer(system)
+        pacer = _Pacer(step_us, TaskContext.get().partitionId() % tasks, tasks, policy)
         for batch in batches:
             outcomes = [
                 _call(scorer, f"{before}{post}{after}", pacer, policy)

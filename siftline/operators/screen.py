@@ -12,14 +12,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline import constants as K
 from siftline.functions.text import is_blank
-from siftline.operators.lookup import BroadcastBound, lookup_join
+from siftline.operators.lookup import BroadcastBound, lookup_join, one_per_key
 
 EPOCH = dt.datetime(1970, 1, 1)
 
 
 def ntz(moment: dt.datetime | dt.date | str) -> Column:
-    """UTC literal without zone."""
+    """UTC literal without zone; a moment with a zone is converted."""
     if isinstance(moment, dt.datetime):
+        if moment.tzinfo is not None:
+            moment = moment.astimezone(dt.timezone.utc).replace(tzinfo=None)
         moment = moment.isoformat(sep=" ")
     return F.lit(str(moment)).cast("timestamp_ntz")
 
@@ -131,9 +133,8 @@ def resolved_history(
     history: DataFrame, resolved: DataFrame, bound: BroadcastBound = BroadcastBound()
 ) -> DataFrame:
     """History of resolved channels only, with the channel's names."""
-    return lookup_join(
-        history, resolved.select("channel_id", "title", "username"), "inner", bound=bound
-    )
+    dim = one_per_key(resolved.select("channel_id", "title", "username"))
+    return lookup_join(history, dim, "inner", bound=bound)
 
 
 def oldest_first(posts: DataFrame, partitions: int | None = None) -> DataFrame:

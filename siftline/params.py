@@ -19,6 +19,8 @@ class ScreeningParams:
     max_age_s: int = K.DEFAULT_MAX_AGE_S
     since: dt.date | None = None
     rules: str | None = None
+    overlap_s: int = 3600
+    """Live also takes posts dated up to so long before a sweep's end that the sweep did not see."""
 
     @classmethod
     def from_settings(cls, settings: Mapping[str, str]) -> ScreeningParams:
@@ -57,6 +59,7 @@ class SinkPaths:
 
 
 def _nonneg_int(text: str | None, default: int) -> int:
-    if text and re.fullmatch("[+-]?[0-9]+", text) and int(text) >= 0:
+    """The rule of ``nonneg_int_or``: beyond 64 bits is no number either."""
+    if text and re.fullmatch("[+-]?[0-9]+", text) and 0 <= int(text) < 1 << 63:
         return int(text)
     return default

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from siftline import constants as K
+from siftline import constants as K, schemas
 from siftline.operators.reports import high_water
 from siftline.operators.scoring import CallPolicy, Scorer, score_posts
 from siftline.operators.screen import (
@@ -20,7 +20,7 @@ from siftline.operators.screen import (
 )
 from siftline.operators.verdicts import read_verdicts, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
-from siftline.session import cut_lineage
+from siftline.session import cut_lineage, path_exists
 from siftline.sinks.deliver import deliver
 from siftline.sources.channels import watch_list
 from siftline.sources.progress import Span, Sweep, SweepState
@@ -52,12 +52,13 @@ def backfill(
     channels: DataFrame,
     params: ScreeningParams,
     sinks: SinkPaths,
-    make_scorer: Callable[[], Scorer],
+    make_scorer: Callable[[str], Scorer],
     policy: CallPolicy | None = None,
     now: dt.datetime | None = None,
     slice_days: int | None = 1,
     time: Column | None = None,
     watch: DataFrame | None = None,
+    clock: Callable[[], dt.datetime] | None = None,
 ) -> Sweep | None:
     """Run or resume the sweep from ``params.since``; None where no sweep is set.
 
@@ -97,10 +98,19 @@ def backfill(
         verdicts = verdicts_once(spark, f"{sinks.verdicts}/{part}", score)
         deliver(verdicts, resolved, params, sinks, K.SOURCE_BACKFILL, part, time)
         state.commit(sweep, span, high_water(processed(verdicts)))
-    state.finish(sweep)
+    state.finish(sweep, clock() if clock else None)
     return state.newest()
 
 
+def swept_since(spark: SparkSession, sinks: SinkPaths, sweep: Sweep, since: dt.datetime) -> DataFrame:
+    """Keys of the posts that the sweep's slices from ``since`` on have verdicts for."""
+    parts = [f"{sinks.verdicts}/{slice_part(sweep, s)}" for s in sorted(sweep.committed) if s[1] > since]
+    stored = [p for p in parts if path_exists(spark, p)]
+    if not stored:
+        return spark.createDataFrame([], "channel_id BIGINT, msg_id BIGINT")
+    return spark.read.schema(schemas.VERDICTS).parquet(*stored).select("channel_id", "msg_id")
+
+
 def processed(verdicts: DataFrame) -> DataFrame:
     """Verdicts as the marks need them: blank posts are done, failed ones are not."""
     blank = F.coalesce(F.col("error") == K.ERR_EMPTY_POST, F.lit(False))

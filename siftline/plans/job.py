@@ -13,9 +13,9 @@ from siftline.operators.reports import watch_coverage
 from siftline.operators.scoring import CallPolicy, Scorer
 from siftline.operators.screen import missing_channels
 from siftline.params import ScreeningParams, SinkPaths
-from siftline.plans.backfill import backfill
+from siftline.plans.backfill import backfill, swept_since
 from siftline.sources.channels import watch_list
-from siftline.sources.progress import Sweep, SweepState
+from siftline.sources.progress import Sweep
 from siftline.streaming.live import start_live
 
 
@@ -36,7 +36,7 @@ def run_job(
     channels: DataFrame,
     params: ScreeningParams,
     sinks: SinkPaths,
-    make_scorer: Callable[[], Scorer],
+    make_scorer: Callable[[str], Scorer],
     checkpoint: str,
     name: str,
     policy: CallPolicy | None = None,
@@ -46,21 +46,25 @@ def run_job(
 ) -> Running:
     """Sweep ``history`` up to now if a cut-off date is set, then screen ``stream``.
 
-    Both flows split the posts at the end of the sweep, so none is lost or
-    taken twice, and never run at the same time, so they share one quota.
-    Missing channels are reported, not fatal.
+    The sweep takes posts dated before its end, the stream those after it, and
+    those from ``overlap_s`` before it that the sweep has no verdict for, as
+    their file came late. Both share one quota. Missing channels are reported,
+    not fatal.
     """
     clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     watch = watch_list(spark, params.watch_csv)
     coverage = watch_coverage(watch, missing_channels(watch, channels)).first()
-    earlier = SweepState(spark, sinks.state).newest()
-    finished = earlier is not None and earlier.done and earlier.since == params.since
     sweep = backfill(
-        spark, history, channels, params, sinks, make_scorer, policy, clock(), watch=watch
+        spark, history, channels, params, sinks, make_scorer, policy, clock(), watch=watch, clock=clock
     )
     until = sweep.until if sweep else None
-    # What arrived during this run's sweep is no old backlog.
-    catch_up = (until, clock()) if sweep and not finished else None
+    overlap = catch_up = swept = None
+    if sweep:
+        # What arrived while the sweep ran is no old backlog, also after a restart; nor are
+        # files that came too late for the sweep.
+        overlap = until - dt.timedelta(seconds=params.overlap_s)
+        catch_up = (overlap, sweep.finished)
+        swept = swept_since(spark, sinks, sweep, overlap)
     live = start_live(
         stream,
         channels,
@@ -73,7 +77,9 @@ def run_job(
         policy,
         trigger,
         as_of,
-        until,
+        overlap,
         catch_up=catch_up,
+        swept=swept,
+        swept_until=until,
     )
     return Running(coverage.watched, coverage.missing, sweep, live)

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from siftline import constants as K
+from siftline.functions import prompts as P
 from siftline.functions import replies as R
 from siftline.functions import scalars as S
-from siftline.functions.prompts import requests, text_frame
 from siftline.functions.quota import is_quota_error, retry_wait_us
 from siftline.functions.text import diag_truncate, excerpt, utrim
 from siftline.operators import matches as M
@@ -122,7 +123,7 @@ def two_line_sql(where: str) -> str:
       CASE WHEN error IS NULL THEN yes END AS "match",
       CASE WHEN error IS NULL THEN said END AS reason, error
     FROM (SELECT *, CASE WHEN answer = '' THEN 'no_match_line'
-        WHEN yes AND regexp_matches(said, '(?i)<[^>]*>|short russian sentence|max 140 chars|^(?:string|reason|placeholder|tbd|n/a)\.?$')
+        WHEN yes AND regexp_matches(said, '(?i)<[^>]*>|short russian sentence|max 140 chars|short sentence in russian, 140 characters at most|with the actual reason|^(?:string|reason|placeholder|tbd|n/a)\.?$')
         THEN 'template_echo' END AS error
       FROM (SELECT *, answer IN ('yes', 'true', 'да') AS yes FROM ({inner}) AS a) AS b) AS c"""
 
@@ -278,24 +279,18 @@ def cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""SELECT channel_id, msg_id, CAST(0 AS BIGINT) AS out_of_order FROM ({T.TEXTS_SQL}) AS t"""
+    f"""SELECT channel_id, msg_id, row_number() OVER (PARTITION BY channel_id ORDER BY msg_id) AS place
+    FROM ({T.TEXTS_SQL}) AS t"""
 )
 def oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1: flags rows with a lower id than the row before them in their partition and channel."""
-    ordered = C.oldest_first(T.texts(spark, sf_dir).select("channel_id", "msg_id"))
-
-    def check(batches):
-        last = (None, None)
-        for batch in batches:
-            keys = list(zip(batch["channel_id"], batch["msg_id"]))
-            batch["out_of_order"] = [
-                int(before[0] == now[0] and before[1] > now[1])
-                for before, now in zip([last, *keys[:-1]], keys)
-            ]
-            last = keys[-1] if keys else last
-            yield batch
+    """O1: each post's place in its channel, from where the operator puts it.
 
-    return ordered.mapInPandas(check, "channel_id BIGINT, msg_id BIGINT, out_of_order BIGINT")
+    The id of a row is its partition and its row there, so it rises in the operator's order.
+    """
+    ordered = C.oldest_first(T.texts(spark, sf_dir).select("channel_id", "msg_id"))
+    placed = ordered.withColumn("_at", F.monotonically_increasing_id())
+    by_place = Window.partitionBy("channel_id").orderBy("_at")
+    return placed.withColumn("place", F.row_number().over(by_place).cast("bigint")).drop("_at")
 
 
 # --- Channel dimension ---------------------------------------------------------
@@ -426,12 +421,17 @@ def model_families(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""SELECT channel_id, msg_id, 'gemma-4' AS model, CAST(NULL AS VARCHAR) AS system,
-      {quoted(text_frame()[0])} || {trimmed('message')} || {quoted(text_frame()[1])} AS input
+      {quoted(P.DEFAULT_RULES)} || chr(10) || chr(10) || {quoted(P.TEXT_OUTPUT)} || {quoted(K.POST_OPEN)}
+        || {trimmed('message')} || {quoted(K.POST_CLOSE)} AS input
+    FROM ({T.TEXTS_SQL}) AS t WHERE {trimmed('message')} <> ''
+    UNION ALL SELECT channel_id, msg_id, 'json-1',
+      {quoted(P.DEFAULT_RULES)} || chr(10) || chr(10) || {quoted(P.JSON_OUTPUT)}, {trimmed('message')}
     FROM ({T.TEXTS_SQL}) AS t WHERE {trimmed('message')} <> ''"""
 )
 def prompt_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P10."""
-    return requests(T.texts(spark, sf_dir), "gemma-4")
+    """P10: the brief goes as system text where the model takes one, else around the post."""
+    posts = T.texts(spark, sf_dir)
+    return P.requests(posts, "gemma-4").unionByName(P.requests(posts, "json-1"))
 
 
 @query(
@@ -762,12 +762,17 @@ def notification_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _matched_texts(spark, sf_dir).select("channel_id", "msg_id", text.alias("text"))
 
 
-@query(f"SELECT '{DESTINATION}' AS destination, text FROM ({NOTES_SQL}) AS n")
+@query(f"SELECT '{DESTINATION}' AS destination, text, CAST(1 AS BIGINT) AS with_its_id FROM ({NOTES_SQL}) AS n")
 def outbox(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """K2, as written and read back, without the dedup id."""
+    """K2, as written and read back; ids that a rerun repeats, each for one message."""
     path = scratch_path(spark, "outbox")
-    write_part(M.outbox_messages(_matched_texts(spark, sf_dir), DESTINATION), path, "all")
-    return read_outbox(spark, path).select("destination", "text")
+    messages = M.outbox_messages(_matched_texts(spark, sf_dir), DESTINATION)
+    write_part(messages, path, "all")
+    again = messages.select("dedup_id", F.lit(True).alias("same"))
+    its_id = F.count("same").over(Window.partitionBy("dedup_id"))
+    return read_outbox(spark, path).join(again, "dedup_id", "left").select(
+        "destination", "text", its_id.alias("with_its_id")
+    )
 
 
 @query(log_sql(f"SELECT * FROM ({MATCHED_SQL}) AS x WHERE found", "backfill"))
@@ -792,7 +797,7 @@ def _zoneless(log: DataFrame) -> DataFrame:
 # --- Scoring, rules -------------------------------------------------------------------
 
 
-def length_scorer():
+def length_scorer(system: str):
     """A stand-in model: matches posts with a common word, fails on two others."""
 
     def reply(text: str) -> str:
@@ -825,14 +830,34 @@ def scored_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(R.parse_replies(scored).drop("model"), "match")
 
 
+def busy_scorer(system: str):
+    """A stand-in model that is down for some posts and over its quota for others."""
+
+    def reply(text: str) -> str:
+        if " dans " in text:
+            raise CallFailed(503, "service unavailable")
+        if " und " in text:
+            raise CallFailed(429, f"retry in {len(text)}s" if len(text) % 2 else "slow down")
+        return "{}"
+
+    return reply
+
+
 @query(
-    f"""SELECT channel_id, msg_id, 0 AS attempt, 503 AS code FROM ({scored_sql(T.TEXTS_SQL)}) AS s
-    WHERE error IS NOT NULL"""
+    f"""SELECT channel_id, msg_id, attempt, code, CASE WHEN code = 503 THEN 'service unavailable'
+        WHEN n % 2 = 1 THEN 'retry in ' || n || 's' ELSE 'slow down' END AS message,
+      CAST(CASE WHEN code = 503 OR attempt = 3 THEN 0 WHEN n % 2 = 1 THEN (n + 1) * 1000000
+        ELSE (10 * 2 ** attempt + 1) * 1000000 END AS BIGINT) AS wait_us
+    FROM (SELECT channel_id, msg_id, n, code, unnest(CASE code WHEN 503 THEN [0] ELSE [0, 1, 2, 3] END) AS attempt
+      FROM (SELECT channel_id, msg_id, length({trimmed('message')}) AS n,
+          CASE WHEN contains({trimmed('message')}, ' dans ') THEN 503
+            WHEN contains({trimmed('message')}, ' und ') THEN 429 END AS code FROM ({T.TEXTS_SQL}) AS t) AS c
+      WHERE code IS NOT NULL) AS a"""
 )
 def failed_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Q4: failed calls of M1 as rows."""
-    scored = score_posts(T.texts(spark, sf_dir), length_scorer, OFFLINE_MODEL, UNPACED)
-    return call_log(scored).select("channel_id", "msg_id", "attempt", "code")
+    """Q4: failed calls of M1 as rows, with retries and their waits."""
+    policy = CallPolicy(rpm=0, sleep=lambda seconds: None)
+    return call_log(score_posts(T.texts(spark, sf_dir), busy_scorer, OFFLINE_MODEL, policy))
 
 
 # Common words of the texts stand in for the terms of the brief.
@@ -908,6 +933,83 @@ def rule_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(rule_screen(T.texts(spark, sf_dir), STAND_IN), "i1", "i2", "i3")
 
 
+@query(
+    """SELECT p_partkey, p_size >= 3 AND p_partkey % 5 <> 4 OR p_size - 1 >= 3 AND p_partkey % 5 = 4
+      AS rejected FROM part"""
+)
+def experience_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2: posts that ask for a number of years, with the default lexicon."""
+    size = F.col("p_size")
+    less = (size - 1).cast("string")
+    n = size.cast("string")
+    forms = (
+        F.concat(n, F.lit("+ years")),
+        F.concat(n, F.lit(" years of commercial experience")),
+        F.concat(F.lit("от "), n, F.lit(" лет")),
+        F.concat(F.lit("minimum "), n, F.lit(" years")),
+        F.concat(less, F.lit("-"), n, F.lit(" years of experience")),
+    )
+    asked = F.get(F.array(*forms), F.pmod("p_partkey", F.lit(5)).cast("int"))
+    posts = T.table(spark, sf_dir, "part").select(
+        F.lit(1).cast("bigint").alias("channel_id"),
+        F.col("p_partkey").cast("bigint").alias("msg_id"),
+        F.concat(F.lit("Go developer, remote, "), asked).alias("message"),
+    )
+    return rule_screen(posts).select(
+        F.col("msg_id").alias("p_partkey"),
+        F.coalesce(F.col("first_trigger") == "R-D", F.lit(False)).alias("rejected"),
+    )
+
+
+class _Watch:
+    """A clock that only sleeping moves on."""
+
+    def __init__(self, now: float) -> None:
+        self.now = now
+
+    def read(self) -> float:
+        return self.now
+
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
+
+
+def _slot_scorer(watch: _Watch):
+    """Replies with the second of the call."""
+    return lambda system: lambda text: str(round(watch.read()))
+
+
+@query(
+    f"""SELECT v AS batch, count(*) AS calls, count(*) AS slots, min(1) AS least_gap,
+      CAST(count(*) >= 4 AS INT) AS lanes_used FROM (SELECT CAST(msg_id % 3 AS INT) AS v
+      FROM ({T.TEXTS_SQL}) AS t WHERE {trimmed('message')} <> '') AS b GROUP BY v"""
+)
+def paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M1, Q1: three batches at 60 calls a minute in four tasks; no two calls share a second."""
+    texts = C.non_blank(T.texts(spark, sf_dir))
+    batches = []
+    for number in range(3):
+        watch = _Watch(number * 1e7)
+        policy = CallPolicy(rpm=60, tasks=4, sleep=watch.sleep, clock=watch.read)
+        batch = texts.where(F.col("msg_id") % 3 == number)
+        scored = score_posts(batch, _slot_scorer(watch), OFFLINE_MODEL, policy)
+        batches.append(
+            scored.select(F.lit(number).alias("batch"), F.col("raw").cast("bigint").alias("slot"))
+        )
+    calls = reduce(DataFrame.unionByName, batches)
+    before = F.lag("slot").over(Window.partitionBy("batch").orderBy("slot"))
+    return (
+        calls.withColumn("gap", F.col("slot") - before)
+        .groupBy("batch")
+        .agg(
+            F.count("*").alias("calls"),
+            F.count_distinct("slot").alias("slots"),
+            F.min("gap").cast("int").alias("least_gap"),
+            (F.count_distinct(F.col("slot") % 4) == 4).cast("int").alias("lanes_used"),
+        )
+    )
+
+
 # --- Quota -----------------------------------------------------------------------------
 
 

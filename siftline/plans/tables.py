@@ -29,7 +29,7 @@ CHANNELS_SQL = """SELECT channel_id,
   channel_id % 7 = 0 AS "left"
   FROM (SELECT DISTINCT CAST(substring(source, 4) AS BIGINT) AS channel_id FROM documents)"""
 
-# Fourteen kinds of reply, each around the whole text of its post.
+# Sixteen kinds of reply, each around the whole text of its post.
 _ESCAPED = (
     "replace(replace(replace(message, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), "
     "chr(10), chr(92) || 'n')"
@@ -49,6 +49,8 @@ _VARIANTS = (
     ("json-1", "message"),
     ("json-1", "'{\"match\":null,\"reason\":null,\"n\":1}' || message"),
     ("json-1", "CAST(NULL AS VARCHAR(1))"),
+    ("gemma-4", "'MATCH: yes' || chr(10) || 'REASON: one Short sentence in Russian, 140 characters at most.'"),
+    ("gemma-4", "'MATCH: no' || chr(10) || 'REASON: the sentence with the actual reason'"),
 )
 REPLIES_SQL = (
     f"SELECT channel_id, msg_id, CASE v "
@@ -56,7 +58,7 @@ REPLIES_SQL = (
     + " END AS model, CASE v "
     + " ".join(f"WHEN {i} THEN {raw}" for i, (_, raw) in enumerate(_VARIANTS))
     + " END AS raw, CASE v WHEN 13 THEN 'quota' END AS error "
-    + f"FROM (SELECT *, {_ESCAPED} AS escaped, CAST(msg_id % 14 AS INT) AS v FROM ({TEXTS_SQL}) AS t) AS r"
+    + f"FROM (SELECT *, {_ESCAPED} AS escaped, CAST(msg_id % 16 AS INT) AS v FROM ({TEXTS_SQL}) AS t) AS r"
 )
 
 LABEL_REPLIES_SQL = """SELECT CAST(substring(source, 4) AS BIGINT) AS channel_id,

@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline import schemas
-from siftline.operators.lookup import fits_broadcast
 from siftline.session import path_exists
 
 Span = tuple[dt.datetime, dt.datetime]
@@ -29,6 +28,7 @@ class Sweep:
     until: dt.datetime
     done: bool = False
     committed: frozenset[Span] = field(default_factory=frozenset)
+    finished: dt.datetime | None = None
 
 
 class SweepState:
@@ -42,12 +42,18 @@ class SweepState:
         return self._spark.createDataFrame([], schema)
 
     def _append(self, table: str, rows: DataFrame) -> None:
-        rows.coalesce(1).write.mode("append").partitionBy("generation").parquet(
+        rows.hint("rebalance").write.mode("append").partitionBy("generation").parquet(
             f"{self._root}/{table}"
         )
 
-    def _event(self, sweep: Sweep, event: str, span: Span | tuple[None, None]) -> None:
-        now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+    def _event(
+        self,
+        sweep: Sweep,
+        event: str,
+        span: Span | tuple[None, None],
+        at: dt.datetime | None = None,
+    ) -> None:
+        now = at or dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
 
         def time(moment: dt.datetime | None) -> Column:
             text = None if moment is None else moment.isoformat(sep=" ")
@@ -77,6 +83,7 @@ class SweepState:
             events[0].until,
             any(e.event == "done" for e in events),
             frozenset((e.slice_from, e.slice_to) for e in events if e.event == "slice"),
+            min((e.at for e in events if e.event == "done"), default=None),
         )
 
     def open(self, since: dt.date, until: dt.datetime) -> Sweep:
@@ -131,17 +138,15 @@ class SweepState:
         self._append("progress", rows)
         self._event(sweep, "slice", span)
 
-    def finish(self, sweep: Sweep) -> None:
-        self._event(sweep, "done", (None, None))
+    def finish(self, sweep: Sweep, at: dt.datetime | None = None) -> None:
+        self._event(sweep, "done", (None, None), at)
 
     def write_state_file(self, sweep: Sweep, path: str) -> None:
         """The sweep as one JSON object ``{since, channels, done}``, empty parts left out.
 
-        All marks go into one row, so their number is checked first.
+        One object is one row in one task; ``write_state_rows`` has no such limit.
         """
         marks = self.marks(sweep)
-        if not fits_broadcast(marks):
-            raise ValueError("too many channels for one state object")
         entries = F.collect_list(F.struct(F.col("channel_id").cast("string"), "last_msg_id"))
         channels = F.when(F.count("*") > 0, F.map_from_entries(entries))
         state = marks.agg(channels.alias("channels")).select(
@@ -151,6 +156,14 @@ class SweepState:
         )
         state.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
 
+    def write_state_rows(self, sweep: Sweep, path: str) -> None:
+        """The sweep as JSON lines: one ``{since, done}``, one ``{channel_id, last_msg_id}`` per channel."""
+        head = self._spark.range(1).select(
+            F.lit(sweep.since.isoformat()).alias("since"), F.lit(sweep.done).alias("done")
+        )
+        rows = head.unionByName(self.marks(sweep), allowMissingColumns=True)
+        rows.write.mode("overwrite").option("ignoreNullFields", "true").json(path)
+
     def adopt_state_file(self, path: str, until: dt.datetime) -> Sweep | None:
         """Take over a state file ``{since, channels, done}`` as a new sweep."""
         state = self._spark.read.schema(schemas.STATE_FILE).json(path, multiLine=True)

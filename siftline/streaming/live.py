@@ -19,7 +19,7 @@ from siftline.operators.screen import (
     utc_now,
     watched_only,
 )
-from siftline.operators.verdicts import verdicts_once
+from siftline.operators.verdicts import KEY, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
 from siftline.sources.progress import Span
@@ -52,7 +52,7 @@ def start_live(
     watch: DataFrame,
     params: ScreeningParams,
     sinks: SinkPaths,
-    make_scorer: Callable[[], Scorer],
+    make_scorer: Callable[[str], Scorer],
     checkpoint: str,
     name: str,
     policy: CallPolicy | None = None,
@@ -61,14 +61,26 @@ def start_live(
     until: dt.datetime | None = None,
     time: Column | None = None,
     catch_up: Span | None = None,
+    swept: DataFrame | None = None,
+    swept_until: dt.datetime | None = None,
 ) -> StreamingQuery:
     """Start the stream, to be restarted from the same ``checkpoint``.
 
+    Posts dated before ``swept_until`` are left out if ``swept`` has their key.
+
     Each batch scores its posts once into the verdict table and reads them
     back; a batch repeated after a failure replaces its own parts.
     """
     policy = policy or CallPolicy(rpm=params.rpm)
 
+    def unswept(batch: DataFrame) -> DataFrame:
+        if swept is None:
+            return batch
+        old, new = cutover(batch, swept_until)
+        if old.isEmpty():
+            return batch
+        return new.unionByName(old.join(swept, KEY, "left_anti"))
+
     def sink(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         # Spark's id of the query: the same after a restart from one checkpoint.
@@ -77,7 +89,7 @@ def start_live(
 
         def score() -> DataFrame:
             return score_posts(
-                batch, make_scorer, params.model, policy, params.rules, keep_post=True
+                unswept(batch), make_scorer, params.model, policy, params.rules, keep_post=True
             )
 
         verdicts = verdicts_once(session, f"{sinks.verdicts}/{part}", score)

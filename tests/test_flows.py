@@ -34,7 +34,7 @@ MODEL = "json-local"
 UNPACED = CallPolicy(rpm=0)
 
 
-def scorer():
+def scorer(system):
     def reply(text):
         if "fail" in text:
             raise CallFailed(503, "down")
@@ -182,7 +182,7 @@ def test_resume_does_not_call_the_model_again_for_stored_verdicts(spark, tmp_pat
         with pytest.raises(RuntimeError):
             run(spark, sinks, now)
 
-    def never():
+    def never(system):
         def reply(text):
             raise AssertionError("called again")
 
@@ -343,7 +343,7 @@ def test_lookup_beyond_the_bound_gives_the_same_rows(spark, how):
     if how in ("left_semi", "left_anti"):
         dim = dim.select("channel_id")
     small = lookup.lookup_join(facts, dim, how)
-    large = lookup.lookup_join(facts, dim, how, bound=lookup.BroadcastBound(rows=10))
+    large = lookup.lookup_join(facts, dim, how, bound=lookup.BroadcastBound(bytes=0))
     wide = lookup.lookup_join(facts, dim, how, bound=lookup.BroadcastBound(bytes=20))
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect())) != []
     assert sorted(map(tuple, small.collect())) == sorted(map(tuple, wide.collect()))
@@ -430,12 +430,63 @@ def test_job_sweeps_then_goes_live_and_loses_nothing(spark, tmp_path):
         (r.channel_id, r.msg_id, "live") for r in rows if r.date >= until and r.peer_kind == "channel"
     ]
     assert log_rows(spark, sinks) == sorted(history + live) and live
-    # A later start finds the sweep finished, so the age limit holds for its stream.
+    # A later start finds the sweep finished; posts that came while it ran are still no backlog.
     second = go("two")
     assert second.sweep == first.sweep
-    late = {r.msg_id for r in rows if r.date < DAY + dt.timedelta(hours=60)}
-    again = [r for r in live if r[1] not in late]
-    assert log_rows(spark, sinks) == sorted(history + live + again)
+    assert log_rows(spark, sinks) == sorted(history + live + live)
+
+
+def test_files_too_late_for_the_sweep_go_live_once(spark, tmp_path):
+    source, sinks = str(tmp_path / "posts"), sinks_at(tmp_path)
+    posts = make_posts(spark)
+    late = F.col("msg_id").isin(18, 19)
+    posts.where(~late).write.parquet(source)
+    now = DAY + dt.timedelta(hours=40)
+    params = ScreeningParams(**{**PARAMS.__dict__, "max_age_s": 600, "overlap_s": 5 * 3600})
+    history = posts.where(~late)  # the listing of the moment the sweep began
+
+    def go(name):
+        run_job(
+            spark, history, read_live(spark, source), make_channels(spark), params, sinks, scorer,
+            str(tmp_path / name), name, UNPACED, {"availableNow": True},
+            clock=lambda: now, as_of=C.ntz(DAY + dt.timedelta(hours=200)),
+        ).live.awaitTermination()
+
+    go("one")
+    posts.where(late).write.mode("append").parquet(source)
+    go("one")
+    before = [r for r in log_rows(spark, sinks) if r[2] == "live" and r[1] < 20]
+    kept = posts.where(late & (F.col("kind") == "message") & (F.col("peer_kind") == "channel"))
+    want = [(r.channel_id, r.msg_id, "live") for r in kept.collect() if r.message in ("yes", "yes 2") and r.channel_id in (10, 11)]
+    assert before == sorted(want) != []
+
+
+def test_repeated_channel_rows_count_once(spark):
+    hits = spark.createDataFrame([(10, 1, "r")], "channel_id BIGINT, msg_id BIGINT, reason STRING")
+    twice = make_channels(spark).unionAll(make_channels(spark).withColumn("title", F.lit("A")))
+    (row,) = with_channel(hits, twice).collect()
+    assert row.title == "Ten"
+
+
+def test_many_watched_ids_do_not_move_the_posts(spark):
+    watch = spark.range(200_001).select(F.col("id").alias("channel_id"))
+    plan = C.watched_only(make_posts(spark), watch)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+
+
+def test_moments_with_a_zone_become_utc(spark):
+    aware = dt.datetime(2024, 1, 1, 5, tzinfo=dt.timezone(dt.timedelta(hours=5)))
+    assert spark.range(1).select(C.ntz(aware)).first()[0] == DAY
+
+
+def test_state_rows(spark, tmp_path):
+    sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=2)
+    sweep = run(spark, sinks, now)
+    SweepState(spark, sinks.state).write_state_rows(sweep, str(tmp_path / "rows"))
+    rows = [json.loads(x) for f in (tmp_path / "rows").glob("*.json") for x in f.read_text().splitlines()]
+    marks = {r.channel_id: r.last_msg_id for r in SweepState(spark, sinks.state).marks(sweep).collect()}
+    assert {r["channel_id"]: r["last_msg_id"] for r in rows if "channel_id" in r} == marks
+    assert [r for r in rows if "since" in r] == [{"since": "2024-01-01", "done": True}]
 
 
 def test_settings():
@@ -466,7 +517,7 @@ def test_batch_cut_off_after_scoring_makes_no_call_twice(spark, tmp_path, monkey
             drain(scorer)
     assert not (tmp_path / "log").exists()
 
-    def never():
+    def never(system):
         def reply(text):
             raise AssertionError("called again")
 

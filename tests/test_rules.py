@@ -17,6 +17,16 @@ CASES = [
     ("Senior Go developer, remote", "R-D"),
     ("Junior Go developer, 3+ years", "R-D"),
     ("Go разработчик, от 5 лет опыта, remote", "R-D"),
+    ("Go developer, 15+ years", "R-D"),
+    ("Go developer, 16+ years", "R-D"),
+    ("Go developer, 2+ years", None),
+    ("Go, от 20 лет", "R-D"),
+    ("Go, от 2 лет", None),
+    ("Go developer, 3-5 years of experience", "R-D"),
+    ("Go developer, 1-3 years of experience", None),
+    ("Go developer, minimum 5 years", "R-D"),
+    ("Go developer, 99999999999999999999+ years", "R-D"),
+    ("Менеджер поддержки", "R-A"),
     ("Go developer, Almaty office", "R-E"),
     ("Go developer, Almaty, Astana", None),
     ("Go developer, Москва или remote", None),
@@ -45,6 +55,12 @@ def _plain_hits(text, lexicon):
     import regex
 
     hits = set()
+    if any(t.group == "years" for t in lexicon):
+        asked = regex.findall(
+            r"(\d+)\+ (?:years|лет)|(\d+)(?:-\d+)? years of (?:commercial|experience)|от (\d+) лет|minimum (\d+) years",
+            text.lower(),
+        )
+        hits |= {"years" for found in asked if int("".join(found)) >= 3}
     for segment in regex.split(r"[\n,;•|]", text):
         words = regex.findall(r"[\p{L}\p{N}+#]+", segment)
         for term in lexicon:

@@ -1,6 +1,8 @@
 import sys
+import time
 
 from pyspark import cloudpickle
+from pyspark.sql import functions as F
 
 from siftline.functions.replies import parse_replies
 from siftline.operators.scoring import (
@@ -23,7 +25,8 @@ def no_sleep(seconds):
     return None
 
 
-def flaky_scorer():
+def flaky_scorer(system):
+    assert system == ""
     seen = {}
 
     def reply(text):
@@ -88,7 +91,7 @@ def test_pacing_takes_a_slot_per_attempt():
         clock[0] += seconds
 
     policy = CallPolicy(rpm=60, sleep=sleep, clock=lambda: clock[0])
-    pacer = _Pacer(1.0, policy)
+    pacer = _Pacer(1_000_000, 0, 1, policy)
     fails = iter([True, False, False])
 
     def scorer(text):
@@ -98,5 +101,56 @@ def test_pacing_takes_a_slot_per_attempt():
 
     assert _call(scorer, "a", pacer, policy)[0] == "ok"
     assert _call(scorer, "b", pacer, policy)[0] == "ok"
-    # The wait after the quota error covers the second slot; the third call waits for its own.
-    assert [round(s, 3) for s in slept] == [1.1, 1.0]
+    # The wait after the quota error passes the second slot; each later call waits for its own.
+    assert [round(s, 3) for s in slept] == [1.1, 0.9, 1.0]
+
+
+def clock_scorer(system):
+    return lambda text: repr(time.time())
+
+
+def test_the_rate_holds_over_tasks_and_batches(spark):
+    posts = spark.range(20).select(
+        F.lit(1).cast("bigint").alias("channel_id"), F.col("id").alias("msg_id"), F.lit("x").alias("message")
+    )
+    policy = CallPolicy(rpm=1200, tasks=5)
+    calls = [float(r.raw) for _ in range(4) for r in score_posts(posts, clock_scorer, "json-1", policy).collect()]
+    assert len(calls) == 80
+    # A slot every 0.05 s, each taken once: 79 gaps at least.
+    assert max(calls) - min(calls) >= 79 * 0.05 - 0.02
+    assert len({round(c / 0.05 - 0.4) for c in calls}) == 80
+
+
+def test_lanes_never_share_a_slot():
+    now, taken = [0.0], []
+    policy = CallPolicy(sleep=lambda s: taken.append(round((now[0] + s) * 1e6)), clock=lambda: now[0])
+    pacers = [_Pacer(100_000, lane, 4, policy) for lane in range(4)]
+    for turn in range(50):
+        now[0] = 0.01 + turn * 0.037
+        pacers[turn * 7 % 4].wait()
+    slots = [round(t / 100_000) for t in taken]
+    assert len(set(slots)) == len(slots) == 50
+    assert all(abs(t - s * 100_000) <= 1 for t, s in zip(taken, slots))
+
+
+def brief_scorer(system):
+    return lambda text: f"{system}|{text}"
+
+
+def test_models_with_system_text_get_the_brief(spark):
+    posts = spark.createDataFrame([(1, 1, " post ")], POSTS)
+    policy = CallPolicy(rpm=0)
+    (row,) = score_posts(posts, brief_scorer, "json-1", policy, rules="A LONG BRIEF").collect()
+    system, text = row.raw.split("|")
+    assert system.startswith("A LONG BRIEF\n") and text == "post"
+    (row,) = score_posts(posts, brief_scorer, "gemma-1", policy, rules="A LONG BRIEF").collect()
+    assert row.raw.startswith("|A LONG BRIEF\n")
+
+
+def test_a_hint_beyond_all_bounds_falls_back():
+    def scorer(text):
+        raise CallFailed(429, "retry in " + "9" * 400 + "s")
+
+    policy = CallPolicy(rpm=0, sleep=no_sleep)
+    _, error, calls = _call(scorer, "a", _Pacer(0, 0, 1, policy), policy)
+    assert error == "quota" and [c[3] for c in calls] == [11_000_000, 21_000_000, 41_000_000, 0]
