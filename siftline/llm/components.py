@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.common import store
+from siftline.operators.lookup import lookup_join
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -15,8 +16,8 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones,
     below its smallest neighbour, until only stars are left. Minima are
-    aggregated before the shuffle, and the join back is a plain equi-join, so
-    Spark splits a node with very many links among tasks.
+    aggregated before the shuffle, and a node with very many links is dealt out
+    by a salt or not shuffled at all.
     """
     tree = store(
         links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
@@ -51,12 +52,16 @@ def _state(tree: DataFrame) -> tuple:
 
 
 def _upper_side(tree: DataFrame) -> DataFrame:
-    """Every node's larger neighbours go to its smallest neighbour or itself."""
+    """Every node's larger neighbours go to its smallest neighbour or itself.
+
+    Only nodes with a smaller neighbour change anything. The root of a large
+    star has none, so a star is a lookup that finds nothing, on any task.
+    """
     both = tree.unionAll(tree.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (
-        both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    ).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("m")).where("m < u")
+    lower = store(least.select(F.col("u").alias("v"), "m"), "least")
+    moved = lookup_join(tree, lower, "left", key="v", spread="u")
+    return moved.select("u", F.coalesce("m", "v").alias("v")).distinct()
 
 
 def _lower_side(tree: DataFrame) -> DataFrame:

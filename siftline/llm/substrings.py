@@ -10,8 +10,8 @@ there are ten times fewer anchors than windows.
 1. Every task sketches the anchors of its rows; sketches are merged by range
    of cells, and one bit per cell (two or more) is all that leaves them.
 2. Texts are read again. Windows whose anchor may repeat are shuffled by
-   anchor, in runs of neighbours; windows that repeat within one batch are
-   settled there, and one of them goes on to tell the others.
+   anchor, in runs of neighbours; windows that repeat within a part of a
+   batch are settled there, and one of them goes on to tell the others.
 3. Groups of equal windows (64-bit hashes of the anchor and of the window, and
    the anchor's place in it) of two or more give word ranges, which join the
    texts by document.
@@ -35,6 +35,9 @@ LENGTH = 35
 SKETCH_ROWS = 2
 CELLS_PER_BYTE = 1 / 8
 MOST_CELLS = 1 << 29
+#: Bytes of text whose hashes a task holds at a time, and suspect windows that it groups before the shuffle.
+HELD_BYTES = 2 << 20
+HELD_WINDOWS = 1 << 18
 #: Cells that one merging step holds.
 SHARD_BITS = 18
 
@@ -83,7 +86,7 @@ def repeat_sketch(texts: DataFrame, length: int = LENGTH) -> np.ndarray | None:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.zeros(0, np.uint64)]
         for batch in batches:
-            for _, held in slices(batch.column("text")):
+            for _, held in slices(batch.column("text"), HELD_BYTES):
                 _, places, hashes = _anchors(WordRuns(held), length)
                 parts.append(hashes[places[np.diff(places, prepend=-1) != 0]])
         hashes = np.concatenate(parts)
@@ -181,8 +184,8 @@ def _suspect_windows(keyed: DataFrame, sketch: np.ndarray, length: int) -> DataF
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for first, held in slices(batch.column("text")):
+            parts, n = [], 0
+            for first, held in slices(batch.column("text"), HELD_BYTES):
                 words = WordRuns(held)
                 starts, places, hashes = _anchors(words, length)
                 anchors = np.flatnonzero(np.diff(places, prepend=-1))
@@ -194,7 +197,11 @@ def _suspect_windows(keyed: DataFrame, sketch: np.ndarray, length: int) -> DataF
                 window = whole.runs(words, whole.prefixes(words), starts, length)
                 text = np.searchsorted(words.first, starts, "right") - 1
                 parts.append((text + first, starts - words.first[text], places - starts, hashes[places], window))
-            if parts and sum(len(p[0]) for p in parts):
+                n += len(starts)
+                if n > HELD_WINDOWS:
+                    yield emitted(batch, *map(np.concatenate, zip(*parts)))
+                    parts, n = [], 0
+            if n:
                 yield emitted(batch, *map(np.concatenate, zip(*parts)))
 
     def emitted(batch, text, start, place, anchor, window) -> pa.RecordBatch:
@@ -315,7 +322,7 @@ def _rewritten(batches: Iterator[pa.RecordBatch], length: int):
     """Batches with first row, and per row: text, words, mask of kept words, kept words."""
     for batch in batches:
         ranges = batch.column("ranges").to_pylist()
-        for first, texts in slices(batch.column("text")):
+        for first, texts in slices(batch.column("text"), HELD_BYTES):
             words = WordRuns(texts)
             counts = np.diff(words.first)
             rows = []
