@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -50,6 +51,11 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` for ``body``: evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def template_terms(templates: dict[str, str] = TEMPLATES) -> dict[str, Counter]:
     return {name: Counter(re.findall(TERM, text.lower())) for name, text in templates.items()}
 
@@ -74,8 +80,6 @@ def best_line(text: Column, weights: dict[str, float], rare: float, vectors: dic
     added = {
         t: [weights[t] ** 2 * vectors[n][t] / lengths[n] for n in names] for t in sorted(weights)
     }
-    known = F.array(*map(F.lit, added))
-
     def literal(values: list[float]) -> Column:
         return F.array(*[F.lit(v) for v in values])
 
@@ -83,12 +87,18 @@ def best_line(text: Column, weights: dict[str, float], rare: float, vectors: dic
     adds = F.create_map(*[x for t, v in added.items() for x in (F.lit(t), literal(v))])
 
     def likeness(line: Column) -> Column:
-        found = terms(line)
-        inside = F.filter(found, lambda t: F.array_contains(known, t))
-        unknown = (F.size(found) - F.size(inside)) * F.lit(rare * rare)
+        return _let(
+            terms(line),
+            lambda found: _let(
+                F.filter(found, lambda t: t.isin(*added)),
+                lambda inside: F.when(F.size(inside) > 0, scored(inside, F.size(found) - F.size(inside))),
+            ),
+        )
+
+    def scored(inside: Column, n_unknown: Column) -> Column:
         own = F.aggregate(
             F.array_distinct(inside),
-            unknown.cast("double"),
+            (n_unknown * F.lit(rare * rare)).cast("double"),
             lambda total, t: total + F.pow(F.size(F.filter(inside, lambda x: x == t)), F.lit(2.0)) * squares[t],
         )
         dots = F.aggregate(
@@ -96,15 +106,20 @@ def best_line(text: Column, weights: dict[str, float], rare: float, vectors: dic
             literal([0.0] * len(names)),
             lambda total, t: F.zip_with(total, adds[t], lambda a, b: a + b),
         )
-        scores = F.transform(
-            dots,
-            lambda d, i: F.struct(
-                F.round(d / F.sqrt(own), 6).alias("score"), F.get(F.array(*map(F.lit, names)), i).alias("license")
+        return _let(
+            F.sqrt(own),
+            lambda length: _let(
+                F.transform(dots, lambda d: F.round(d / length, 6)),
+                # Of equal scores the first name counts.
+                lambda scores: _let(
+                    F.array_max(scores),
+                    lambda top: F.struct(
+                        top.alias("score"),
+                        F.get(F.array(*map(F.lit, names)), (F.array_position(scores, top) - 1).cast("int")).alias("license"),
+                    ),
+                ),
             ),
         )
-        # Of equal scores the first name counts.
-        top = F.array_max(F.transform(scores, lambda s: s["score"]))
-        return F.when(F.size(inside) > 0, F.get(F.filter(scores, lambda s: s["score"] == top), 0))
 
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
     return F.array_max(F.transform(lines, likeness))
