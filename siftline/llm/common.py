@@ -12,7 +12,7 @@ from siftline.session import scratch_path
 #: Words are runs of anything but ASCII white space; ``bytes.split()`` cuts at the same bytes.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python step holds at a time, beside the Arrow batch itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -29,7 +29,7 @@ from siftline.llm.common import slices, store
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a task keeps; beyond it the memory starts anew.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 200_000
 #: Pieces of one length that are ranked in one group.
 GROUP_ROWS = 256
 

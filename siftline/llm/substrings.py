@@ -36,7 +36,7 @@ SKETCH_ROWS = 2
 CELLS_PER_BYTE = 1 / 8
 MOST_CELLS = 1 << 29
 #: Bytes of text whose hashes a task holds at a time, and suspect windows that it groups before the shuffle.
-HELD_BYTES = 2 << 20
+HELD_BYTES = 1 << 20
 HELD_WINDOWS = 1 << 18
 #: Cells that one merging step holds.
 SHARD_BITS = 18
