@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.session import scratch_path
 
@@ -41,6 +41,21 @@ def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, lis
         yield begin, lengths.slice(begin).to_pylist()
 
 
+def packed(docs: DataFrame, *own: str) -> DataFrame:
+    """``docs`` with the columns ``own`` that it has, and all others in one struct ``_others``.
+
+    So a step may add columns of any name; ``unpacked`` brings the others back.
+    """
+    others = [c for c in docs.columns if c not in own]
+    rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.lit(None).cast("int")
+    return docs.select(*[c for c in own if c in docs.columns], rest.alias("_others"))
+
+
+def unpacked(columns: list[str], own: tuple[str, ...]) -> list[Column]:
+    """The columns of a packed table in their first order."""
+    return [F.col(c) if c in own else F.col("_others").getField(c).alias(c) for c in columns]
+
+
 def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
     """``df`` stored with ``rank``: 0, 1, ... by ``order``, nulls last.
 

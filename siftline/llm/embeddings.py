@@ -250,7 +250,8 @@ def near_duplicate_vectors(vectors: DataFrame, threshold: float = THRESHOLD) ->
         .select("label", "embedding", "first_id", "root", "n_links")
     )
     rooted = store(rooted, "rooted")
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Stored, so that both sides of the join are plain shuffles, which Spark splits where skewed.
+    least = store(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     known = rooted.join(least, "root").select("label", "embedding", "n_links", "component_id")
     linked = good.join(known, ["label", "embedding"]).select("vec_id", "n_links", "component_id")
     return linked.unionByName(alone).withColumn(

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from siftline.llm.common import WORD, numbered, store
+from siftline.llm.common import WORD, numbered, packed, store, unpacked
 from siftline.operators.lookup import lookup_join
 
 WEIGHTS = (3, 1, 2)
@@ -149,16 +149,15 @@ def mix_documents(
     """
     keyed = _keyed(docs.select("doc_id", "source", "text"), seed)
     plan = _plan(store(keyed.drop("text"), "sizes"), weights, share, most_epochs)
-    helpers = [c for c in ("source_key", "size", "_order", *plan.columns) if c in docs.columns]
-    if helpers:
-        raise ValueError(f"rename the columns {helpers}")
+    own = ("doc_id", "source", "text", "n_chars")
     rounds = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    copies = _taken(_keyed(docs, seed), plan).where("taken > 0").withColumn("_round", F.explode(rounds))
+    copies = _taken(_keyed(packed(docs, *own), seed), plan).where("taken > 0").withColumn("_round", F.explode(rounds))
     words = (F.col("taken") - (F.col("_round") - 1) * F.col("size")).cast("int")
     part = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})")), 1, words), " ")
     cut = words < F.col("size")
     copies = copies.withColumn("_text", F.when(cut, part).otherwise(F.col("text")))
-    made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        made["n_chars"] = F.when(cut, F.char_length("_text").cast("long")).otherwise(F.col("n_chars"))
-    return copies.select([made[c].alias(c) if c in made else c for c in docs.columns])
+        kind = docs.schema["n_chars"].dataType
+        size = F.when(cut, F.char_length("_text").cast(kind)).otherwise(F.col("n_chars"))
+        copies = copies.withColumn("n_chars", size)
+    return copies.withColumn("text", F.col("_text")).select(unpacked(docs.columns, own))

@@ -266,8 +266,6 @@ def good_documents(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, class_prior: float | None = None
 ) -> DataFrame:
     """``docs`` that score ``threshold`` or more; texts are measured again where they lie, not joined."""
-    if "measures" in docs.columns:
-        raise ValueError("rename the column measures")
     _, model = _learnt(docs, labels, class_prior)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, functions as F
 from siftline.llm.common import slices, store
 from siftline.llm.components import components
 from siftline.llm.words import WordRuns, least_labels
+from siftline.operators.lookup import fits_broadcast
 
 SHINGLE = 3
 RADIUS = 3
@@ -214,7 +215,9 @@ def near_duplicates(
     rooted = values.join(joined.withColumnRenamed("node", "bits"), "bits", "left").select(
         "bits", "first_id", F.coalesce("component", "bits").alias("root")
     )
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # Stored, so that both sides of the joins are plain shuffles, which Spark splits where skewed.
+    rooted = store(rooted, "rooted")
+    least = store(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     by_bits = rooted.join(least, "root").select("bits", "component_id")
     return marked.join(by_bits, "bits").select(
         "doc_id", F.lpad(F.lower(F.hex("bits")), 16, "0").alias("fingerprint"), "component_id"
@@ -236,7 +239,5 @@ def distinct_documents(
 
 def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     """``docs`` less the stored ids of ``dropped``; broadcast only if they are proven few."""
-    from siftline.operators.lookup import fits_broadcast
-
     small = F.broadcast(dropped) if fits_broadcast(dropped) else dropped
-    return docs.join(small, "doc_id", "left_anti")
+    return docs.join(small, "doc_id", "left_anti").select(docs.columns)

@@ -25,9 +25,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm.common import slices
+from siftline.llm.common import packed, slices, unpacked
 from siftline.llm.words import WordRuns, run_hash, sliding_min
 
 LENGTH = 35
@@ -371,10 +371,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     words joined by blanks (and ``n_chars``, if there is one, to match);
     documents that lose all their words go.
     """
-    if clash := {"ref", "ranges", "_kept"} & set(docs.columns):
-        raise ValueError(f"rename the columns {sorted(clash)}")
-    joined = _with_ranges(docs, length).drop("ref")
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    own = ("doc_id", "text", "n_chars")
+    held = packed(docs, *own)
+    joined = _with_ranges(held, length).select(*held.columns, "ranges")
 
     def rewrite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, first, rows in _rewritten(batches, length):
@@ -388,4 +387,4 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 columns["n_chars"] = pa.array([len(t) if r[1] else n for n, t, r in sizes], columns["n_chars"].type)
             yield pa.RecordBatch.from_pydict(columns).filter(pa.array([not r[1] or r[1] < r[0] for r in rows]))
 
-    return joined.select(*docs.columns, "ranges").mapInArrow(rewrite, fields)
+    return joined.mapInArrow(rewrite, held.schema).select(unpacked(docs.columns, own))

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from siftline.llm.common import store
-from siftline.operators.lookup import fits_broadcast
+from siftline.operators.lookup import fits_broadcast, lookup_join
 from siftline.session import scratch_path
 
 # The format's own words.
@@ -61,13 +61,14 @@ def with_revisits(
     digest, size = F.sha1(raw), F.octet_length(raw).cast("long")
     keys = pages.select(F.col(id_column).alias("_id"), digest.alias("_sha"), size.alias("_size"))
     keys = store(keys.where((F.col("_size") >= min_bytes) & F.col("_id").isNotNull()), "digests")
-    repeated = (
-        keys.groupBy("_sha", "_size").agg(F.max("_id").alias("refers_to"), F.min("_id").alias("_least"))
-        .where("_least < refers_to").drop("_least")
-    )
-    revisits = (
-        keys.join(repeated, ["_sha", "_size"]).where("_id < refers_to").select("_id", "refers_to").distinct()
+    repeated = store(
+        keys.groupBy("_sha").agg(F.max("_id").alias("refers_to"), F.min("_id").alias("_least"))
+        .where("_least < refers_to").drop("_least"),
+        "repeated",
     )
+    # One payload may be a third of all: it is dealt out by id, or not shuffled at all.
+    found = lookup_join(keys.select("_id", "_sha"), repeated, "inner", key="_sha", spread="_id")
+    revisits = found.where("_id < refers_to").select("_id", "refers_to").distinct()
     revisits = store(revisits, "revisits")
     small = F.broadcast(revisits) if fits_broadcast(revisits) else revisits
     return (

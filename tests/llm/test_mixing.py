@@ -55,9 +55,11 @@ def test_plan(spark):
 
 def test_documents_come_as_often_as_taken(spark):
     docs = documents()
-    frame = spark.createDataFrame([(i, t, s, len(t or "")) for i, t, s in docs], "doc_id long, text string, source string, n_chars long")
+    schema = "size int, text string, doc_id long, source string, n_chars int, _bucket string, taken double"
+    frame = spark.createDataFrame([(7, t, i, s, len(t or ""), "b", 0.5) for i, t, s in docs], schema)
     mixed = mix_documents(frame)
-    assert mixed.columns == frame.columns
+    assert mixed.dtypes == frame.dtypes
+    assert {(r["size"], r._bucket, r.taken) for r in mixed.collect()} == {(7, "b", 0.5)}
     words = {}
     for r in mixed.collect():
         words[r.doc_id] = words.get(r.doc_id, 0) + len(r.text.split())

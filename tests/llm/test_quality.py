@@ -68,6 +68,7 @@ def test_odd_rows(spark):
 
 def test_kept_documents(spark, scored):
     docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
+    docs = docs.withColumns({"measures": F.lit("m"), "positives": F.lit(1)})
     kept = good_documents(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.select("doc_id").collect()} == set(scored.doc_id[scored.predicted == 1])

@@ -68,7 +68,7 @@ def test_groups_equal_all_pairs(spark):
 
 def test_distinct_documents_keep_one_of_each_group(spark):
     docs = documents()
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    frame = spark.createDataFrame([(t, i, 1, "x") for i, t in docs], "text string, doc_id long, bits int, component_id string")
     marks = {r.doc_id: r.component_id for r in near_duplicates(frame).collect()}
     kept = distinct_documents(frame)
     assert kept.columns == frame.columns

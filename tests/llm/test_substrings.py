@@ -66,9 +66,11 @@ def test_batches_and_crowded_sketches_change_nothing(spark, monkeypatch):
 
 def test_rewritten_documents(spark):
     docs = documents()
-    frame = spark.createDataFrame([(i, "en", t, len(t or "")) for i, t in docs], "doc_id long, lang string, text string, n_chars long")
+    schema = "ranges string, doc_id long, ref int, text string, n_chars int, _doc long"
+    frame = spark.createDataFrame([("en", i, 5, t, len(t or ""), 6) for i, t in docs], schema)
     out = remove_repeats(frame)
-    assert out.columns == frame.columns
+    assert out.dtypes == frame.dtypes
+    assert {(r.ranges, r.ref, r._doc) for r in out.collect()} == {("en", 5, 6)}
     digests = Counter((r.doc_id, hashlib.sha256(b" ".join((r.text or "").encode().split())).hexdigest()) for r in out.collect())
     assert digests == Counter((i, h) for i, n, gone, h in brute(docs, 35) if not gone or gone < n)
     old = {i: t for i, t in docs}
