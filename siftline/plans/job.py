@@ -9,11 +9,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from siftline.operators.reports import watch_coverage
+from siftline.operators.reports import run_summary, run_summary_by_channel, watch_coverage
 from siftline.operators.scoring import CallPolicy, Scorer
 from siftline.operators.screen import missing_channels
 from siftline.params import ScreeningParams, SinkPaths
-from siftline.plans.backfill import backfill, swept_since
+from siftline.plans.backfill import backfill, sweep_verdicts, swept_since
 from siftline.sources.channels import watch_list
 from siftline.sources.progress import Sweep
 from siftline.streaming.live import start_live
@@ -21,19 +21,21 @@ from siftline.streaming.live import start_live
 
 @dataclass(frozen=True)
 class Running:
-    """A started job: counts of watched and missing channels, the sweep, the stream."""
+    """A started job: watched and missing channels, the sweep and its totals, the stream."""
 
     watched: int
     missing: int
     sweep: Sweep | None
     live: StreamingQuery
+    analysed: int = 0
+    matched: int = 0
 
 
 def run_job(
     spark: SparkSession,
     history: DataFrame,
     stream: DataFrame,
-    channels: DataFrame,
+    channels: DataFrame | Callable[[], DataFrame],
     params: ScreeningParams,
     sinks: SinkPaths,
     make_scorer: Callable[[str], Scorer],
@@ -53,13 +55,18 @@ def run_job(
     """
     clock = clock or (lambda: dt.datetime.now(dt.timezone.utc).replace(tzinfo=None))
     watch = watch_list(spark, params.watch_csv)
-    coverage = watch_coverage(watch, missing_channels(watch, channels)).first()
+    known = channels() if callable(channels) else channels
+    coverage = watch_coverage(watch, missing_channels(watch, known)).first()
     sweep = backfill(
-        spark, history, channels, params, sinks, make_scorer, policy, clock(), watch=watch, clock=clock
+        spark, history, known, params, sinks, make_scorer, policy, clock(), watch=watch, clock=clock
     )
     until = sweep.until if sweep else None
     overlap = catch_up = swept = None
+    totals = (0, 0)
     if sweep:
+        scored = run_summary_by_channel(sweep_verdicts(spark, sinks, sweep))
+        total = run_summary(scored).first()
+        totals = (total.analysed or 0, total.matched or 0)
         # What arrived while the sweep ran is no old backlog, also after a restart; nor are
         # files that came too late for the sweep.
         overlap = until - dt.timedelta(seconds=params.overlap_s)
@@ -82,4 +89,4 @@ def run_job(
         swept=swept,
         swept_until=until,
     )
-    return Running(coverage.watched, coverage.missing, sweep, live)
+    return Running(coverage.watched, coverage.missing, sweep, live, *totals)

@@ -28,7 +28,7 @@ from siftline.plans.backfill import backfill, sweep_verdicts
 from siftline.session import scratch_path
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log, write_part
 from siftline.sources.channels import watch_ids
-from siftline.sources.posts import read_live
+from siftline.sources.posts import parse_posts, read_live
 from siftline.sources.progress import SweepState
 from siftline.streaming.live import live_posts, start_live
 
@@ -1084,6 +1084,26 @@ def retry_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retry_plan(T.calls(spark, sf_dir))
 
 
+@query(
+    f"""SELECT CASE WHEN ok THEN channel_id END AS channel_id, CASE WHEN ok THEN msg_id END AS msg_id,
+      CASE WHEN ok THEN message END AS message,
+      CASE WHEN NOT ok THEN CASE msg_id % 5 WHEN 0 THEN '{{' || message WHEN 1 THEN '{{}}' END END AS malformed
+    FROM (SELECT *, msg_id % 5 > 1 AS ok FROM ({T.TEXTS_SQL}) AS t) AS p"""
+)
+def parsed_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Posts as a topic holds them, two fifths of them malformed."""
+    texts = T.texts(spark, sf_dir)
+    fifth = F.col("msg_id") % 5
+    value = (
+        F.when(fifth == 0, F.concat(F.lit("{"), F.col("message")))
+        .when(fifth == 1, "{}")
+        .otherwise(F.to_json(F.struct("channel_id", "msg_id", "message")))
+    )
+    return parse_posts(texts.select(value.alias("value"))).select(
+        "channel_id", "msg_id", "message", "malformed"
+    )
+
+
 # --- Flows -----------------------------------------------------------------------------
 
 

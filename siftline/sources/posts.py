@@ -38,13 +38,43 @@ def read_live(
     )
 
 
-def read_live_kafka(spark: SparkSession, servers: str, topic: str) -> DataFrame:
-    """The same stream from a topic of JSON posts; needs Spark's Kafka package."""
+def parse_posts(raw: DataFrame) -> DataFrame:
+    """``value`` (JSON posts) to posts with ``malformed``: the text of a row without a post key.
+
+    Malformed rows have no ``kind``, so every filter of the flows drops them;
+    keep those with ``malformed`` apart before.
+    """
+    text = F.col("value").cast("string")
+    parsed = raw.select(text.alias("_text"), F.from_json(text, schemas.POSTS).alias("post"))
+    bad = F.col("post.channel_id").isNull() | F.col("post.msg_id").isNull()
+    names = [part.split()[0] for part in schemas.POSTS.split(", ")]
+    return parsed.select(
+        *[F.when(~bad, F.col(f"post.{n}")).alias(n) for n in names],
+        F.when(bad, F.coalesce("_text", F.lit(""))).alias("malformed"),
+    )
+
+
+def read_live_kafka(
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    since: dt.datetime | None = None,
+    per_trigger: int = 100_000,
+) -> DataFrame:
+    """The same stream from a topic, from messages of ``since`` (UTC) or the first on.
+
+    Needs Spark's Kafka package. A batch takes ``per_trigger`` messages at most.
+    """
     raw = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
-        .load()
+        .option("maxOffsetsPerTrigger", per_trigger)
     )
-    post = F.from_json(F.col("value").cast("string"), schemas.POSTS)
-    return raw.select(post.alias("post")).select("post.*")
+    if since is None:
+        raw = raw.option("startingOffsets", "earliest")
+    else:
+        moment = since.replace(tzinfo=since.tzinfo or dt.timezone.utc)
+        raw = raw.option("startingTimestamp", str(int(moment.timestamp() * 1000)))
+        raw = raw.option("startingOffsetsByTimestampStrategy", "latest")
+    return parse_posts(raw.load())

@@ -48,7 +48,7 @@ def live_posts(
 
 def start_live(
     posts: DataFrame,
-    channels: DataFrame,
+    channels: DataFrame | Callable[[], DataFrame],
     watch: DataFrame,
     params: ScreeningParams,
     sinks: SinkPaths,
@@ -67,6 +67,8 @@ def start_live(
     """Start the stream, to be restarted from the same ``checkpoint``.
 
     Posts dated before ``swept_until`` are left out if ``swept`` has their key.
+    ``channels`` may be a function that opens the table, so that a batch sees
+    rows added since the start.
 
     Each batch scores its posts once into the verdict table and reads them
     back; a batch repeated after a failure replaces its own parts.
@@ -93,7 +95,8 @@ def start_live(
             )
 
         verdicts = verdicts_once(session, f"{sinks.verdicts}/{part}", score)
-        deliver(verdicts, channels, params, sinks, K.SOURCE_LIVE, part, time)
+        dim = channels() if callable(channels) else channels
+        deliver(verdicts, dim, params, sinks, K.SOURCE_LIVE, part, time)
 
     writer = (
         live_posts(posts, watch, params, as_of, until, catch_up)

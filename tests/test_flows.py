@@ -416,6 +416,7 @@ def test_job_sweeps_then_goes_live_and_loses_nothing(spark, tmp_path):
 
     first = go("one")
     assert (first.watched, first.missing) == (4, 2)
+    assert first.matched == len([r for r in log_rows(spark, sinks) if r[2] == "backfill"]) < first.analysed
     posts = make_posts(spark).where(
         (F.col("kind") == "message") & F.col("channel_id").isin(10, 11, 12)
         & F.col("message").isin("yes", "yes 2")
@@ -461,6 +462,27 @@ def test_files_too_late_for_the_sweep_go_live_once(spark, tmp_path):
     assert before == sorted(want) != []
 
 
+def test_channels_added_while_the_stream_runs_are_seen(spark, tmp_path):
+    source, sinks, table = str(tmp_path / "posts"), sinks_at(tmp_path), str(tmp_path / "channels")
+    make_posts(spark).write.parquet(source)
+    make_channels(spark).where("channel_id <> 11").write.parquet(table)
+    watch = spark.createDataFrame([(10,), (11,)], schemas.WATCH)
+    params = ScreeningParams(model=MODEL, rpm=0, max_age_s=0)
+
+    def drain():
+        start_live(
+            read_live(spark, source), lambda: read_channels(spark, table), watch, params, sinks, scorer,
+            str(tmp_path / "checkpoint"), "t", UNPACED, {"availableNow": True},
+        ).awaitTermination()
+
+    drain()
+    assert {c for c, _, _ in log_rows(spark, sinks)} == {10}
+    make_channels(spark).where("channel_id = 11").write.mode("append").parquet(table)
+    make_posts(spark).withColumn("msg_id", F.col("msg_id") + 100).write.mode("append").parquet(source)
+    drain()
+    assert {c for c, _, _ in log_rows(spark, sinks)} == {10, 11}
+
+
 def test_repeated_channel_rows_count_once(spark):
     hits = spark.createDataFrame([(10, 1, "r")], "channel_id BIGINT, msg_id BIGINT, reason STRING")
     twice = make_channels(spark).unionAll(make_channels(spark).withColumn("title", F.lit("A")))
