@@ -1,15 +1,18 @@
 """License scans: lines against license templates, then inheritance down the directories.
 
 A line and a template are sparse vectors of terms, weighed by how often a term
-occurs times its inverse document frequency. The frequencies of the templates'
-terms are counted over all files; a word of a line that no template holds is a
-term of its own, as rare as terms can be, so prose around a term costs
-likeness. A file's own license is that of its best line, at ``threshold`` or
-more. A directory's is the best among its licence files, and a file without
-its own inherits that of the nearest directory above it that has one.
-
-All of it is columns and joins. Vocabulary and weights are bounded by the
-templates and travel as literals; the joins on directories carry no text.
+occurs times its inverse document frequency. Frequencies are counted over all
+files for every term, whether a template holds it or not, so prose around a
+template's terms costs likeness by how rare it is. A file's own license is that
+of its best line, at ``threshold`` or more. A directory's is the best among its
+licence files, and a file without its own inherits that of the nearest
+directory above it that has one.
+
+All of it is columns and joins. Vocabulary and weights of the templates are
+bounded and travel as literals. A line that would stay below the threshold even
+if its other words were in every file is left out at once; the others are
+weighed once each, however many files hold them. The joins on directories
+carry no text.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from siftline.llm.common import store
-from siftline.operators.lookup import lookup_join
+from siftline.llm.common import packed, store, unpacked
+from siftline.operators.lookup import fits_broadcast, lookup_join
 
 THRESHOLD = 0.6
 TERM = "[a-z0-9]+(?:[.][0-9]+)*"
+#: More than scores lose by rounding.
+ROUNDING = 1e-5
 
 # Usual one-line statements of public licenses.
 TEMPLATES = {
@@ -60,83 +65,145 @@ def template_terms(templates: dict[str, str] = TEMPLATES) -> dict[str, Counter]:
     return {name: Counter(re.findall(TERM, text.lower())) for name, text in templates.items()}
 
 
-def document_frequencies(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
-    """Number of files, and of those that hold each term; one row per term comes back."""
-    held = F.array_intersect(terms(F.coalesce("text", F.lit(""))), F.array(*map(F.lit, vocabulary)))
-    rows = files.select(F.explode_outer(F.array_append(held, F.lit(""))).alias("term"))
-    counts = {r["term"]: r["count"] for r in rows.groupBy("term").count().collect()}
-    return counts.pop("", 0), counts
+def document_frequencies(files: DataFrame) -> tuple[int, DataFrame]:
+    """Number of files, and ``term, holding``, stored: how many of them hold each term."""
+    held = F.array_distinct(terms(F.coalesce("text", F.lit(""))))
+    # '' is no term: it counts the files.
+    rows = files.select(F.explode(F.array_append(held, F.lit(""))).alias("term"))
+    counts = store(rows.groupBy("term").agg(F.count("*").alias("holding")), "frequencies")
+    n_files = counts.where("term = ''").first()
+    return (n_files["holding"] if n_files else 0), counts.where("term <> ''")
 
 
 def inverse_frequency(n_files: int, holding: int) -> float:
     return math.log((1 + n_files) / (1 + holding)) + 1
 
 
-def best_line(text: Column, weights: dict[str, float], rare: float, vectors: dict[str, Counter]) -> Column:
-    """``struct(score, license)`` of the line most like a template, null if none shares a term."""
-    names = sorted(vectors)
-    lengths = {n: math.sqrt(sum((c * weights[t]) ** 2 for t, c in vectors[n].items())) for n in names}
-    # For every term: its weight, and what one occurrence adds to the product with each template.
-    added = {
-        t: [weights[t] ** 2 * vectors[n][t] / lengths[n] for n in names] for t in sorted(weights)
-    }
-    def literal(values: list[float]) -> Column:
+class Likeness:
+    """Cosines with the templates, as columns over a line's terms."""
+
+    def __init__(self, weights: dict[str, float], vectors: dict[str, Counter]) -> None:
+        self.names = sorted(vectors)
+        lengths = {n: math.sqrt(sum((c * weights[t]) ** 2 for t, c in vectors[n].items())) for n in self.names}
+        # For every term: its weight, and what one occurrence adds to the product with each template.
+        self.terms = sorted(weights)
+        added = {t: [weights[t] ** 2 * vectors[n][t] / lengths[n] for n in self.names] for t in self.terms}
+        self.squares = F.create_map(*[x for t in added for x in (F.lit(t), F.lit(weights[t] ** 2))])
+        self.adds = F.create_map(*[x for t, v in added.items() for x in (F.lit(t), self._literal(v))])
+
+    @staticmethod
+    def _literal(values: list[float]) -> Column:
         return F.array(*[F.lit(v) for v in values])
 
-    squares = F.create_map(*[x for t in added for x in (F.lit(t), F.lit(weights[t] ** 2))])
-    adds = F.create_map(*[x for t, v in added.items() for x in (F.lit(t), literal(v))])
+    def known(self, found: Column) -> Column:
+        return F.filter(found, lambda t: t.isin(*self.terms))
 
-    def likeness(line: Column) -> Column:
-        return _let(
-            terms(line),
-            lambda found: _let(
-                F.filter(found, lambda t: t.isin(*added)),
-                lambda inside: F.when(F.size(inside) > 0, scored(inside, F.size(found) - F.size(inside))),
-            ),
-        )
+    def others(self, found: Column) -> Column:
+        return F.filter(found, lambda t: ~t.isin(*self.terms))
 
-    def scored(inside: Column, n_unknown: Column) -> Column:
-        own = F.aggregate(
-            F.array_distinct(inside),
-            (n_unknown * F.lit(rare * rare)).cast("double"),
-            lambda total, t: total + F.pow(F.size(F.filter(inside, lambda x: x == t)), F.lit(2.0)) * squares[t],
+    def _dots(self, known: Column) -> Column:
+        return F.aggregate(
+            known,
+            self._literal([0.0] * len(self.names)),
+            lambda total, t: F.zip_with(total, self.adds[t], lambda a, b: a + b),
         )
-        dots = F.aggregate(
-            inside,
-            literal([0.0] * len(names)),
-            lambda total, t: F.zip_with(total, adds[t], lambda a, b: a + b),
+
+    def _length(self, known: Column, others: Column) -> Column:
+        """Length of a vector of known terms and ``others``, the sum of the squares of its other terms."""
+        return F.sqrt(
+            F.aggregate(
+                F.array_distinct(known),
+                others.cast("double"),
+                lambda total, t: total + F.pow(F.size(F.filter(known, lambda x: x == t)), F.lit(2.0)) * self.squares[t],
+            )
         )
+
+    def at_most(self, known: Column, n_others: Column) -> Column:
+        """No template's cosine is greater: no term weighs less than 1, nor is a count's square less than the count."""
+        return F.array_max(self._dots(known)) / self._length(known, n_others)
+
+    def best(self, known: Column, others: Column) -> Column:
+        """``struct(score, license)``; of equal scores the first name counts."""
         return _let(
-            F.sqrt(own),
+            self._length(known, others),
             lambda length: _let(
-                F.transform(dots, lambda d: F.round(d / length, 6)),
-                # Of equal scores the first name counts.
+                F.transform(self._dots(known), lambda d: F.round(d / length, 6)),
                 lambda scores: _let(
                     F.array_max(scores),
                     lambda top: F.struct(
                         top.alias("score"),
-                        F.get(F.array(*map(F.lit, names)), (F.array_position(scores, top) - 1).cast("int")).alias("license"),
+                        F.get(F.array(*map(F.lit, self.names)), (F.array_position(scores, top) - 1).cast("int")).alias("license"),
                     ),
                 ),
             ),
         )
 
+
+def possible_lines(text: Column, likeness: Likeness, threshold: float) -> Column:
+    """Terms, joined by blanks, of the lines that may reach ``threshold``; each once."""
+
+    def possible(line: Column) -> Column:
+        return _let(
+            terms(line),
+            lambda found: _let(
+                likeness.known(found),
+                lambda known: F.when(
+                    (F.size(known) > 0)
+                    & (likeness.at_most(known, F.size(found) - F.size(known)) >= threshold - ROUNDING),
+                    F.array_join(found, " "),
+                ),
+            ),
+        )
+
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-    return F.array_max(F.transform(lines, likeness))
+    return F.array_distinct(F.filter(F.transform(lines, possible), lambda line: line.isNotNull()))
+
+
+def scored_lines(lines: DataFrame, frequencies: DataFrame, n_files: int, likeness: Likeness) -> DataFrame:
+    """``line`` to ``line, best``: every term weighed by its own frequency."""
+    lines = store(lines.distinct(), "lines")
+    others = store(
+        lines.select("line", F.explode(likeness.others(F.split("line", " "))).alias("term"))
+        .groupBy("line", "term").agg(F.count("*").alias("n")),
+        "others",
+    )
+    # All terms of the corpus may be too many to repeat per salt; those of these lines are few.
+    needed = store(frequencies.join(others.select("term").distinct(), "term"), "needed")
+    weight = F.log(F.lit(float(1 + n_files)) / (F.col("holding") + 1)) + 1
+    squares = (
+        lookup_join(others, needed, key="term", spread="line")
+        .groupBy("line").agg(F.sum(F.pow(F.col("n") * weight, F.lit(2.0))).alias("squares"))
+    )
+    known = likeness.known(F.split("line", " "))
+    best = _let(known, lambda k: likeness.best(k, F.coalesce("squares", F.lit(0.0))))
+    return lines.join(squares, "line", "left").select("line", best.alias("best"))
 
 
 def scan_lines(files: DataFrame, threshold: float, templates: dict[str, str]) -> DataFrame:
     """``path, text`` to ``path, own_license, own_score``; nulls below ``threshold``."""
     vectors = template_terms(templates)
     vocabulary = sorted(set().union(*vectors.values()))
-    n_files, holding = document_frequencies(files, vocabulary)
-    weights = {t: inverse_frequency(n_files, holding.get(t, 0)) for t in vocabulary}
-    best = best_line(F.col("text"), weights, inverse_frequency(n_files, 0), vectors)
-    enough = F.col("best.score") >= threshold
-    return files.withColumn("best", best).select(
-        *[c for c in files.columns if c != "text"],
-        F.when(enough, F.col("best.license")).alias("own_license"),
-        F.when(enough, F.col("best.score")).alias("own_score"),
+    n_files, frequencies = document_frequencies(files)
+    holding = {r["term"]: r["holding"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
+    likeness = Likeness({t: inverse_frequency(n_files, holding.get(t, 0)) for t in vocabulary}, vectors)
+    columns = [c for c in files.columns if c != "text"]
+    scanned = store(
+        packed(files, "path", "text")
+        .withColumn("lines", possible_lines(F.col("text"), likeness, threshold))
+        .withColumn("_id", F.monotonically_increasing_id()).drop("text"),
+        "scanned",
+    )
+    found = scanned.select("_id", F.explode("lines").alias("line"))
+    scored = scored_lines(found.select("line"), frequencies, n_files, likeness)
+    enough = store(scored.where(F.col("best.score") >= threshold), "scored")
+    own = store(
+        lookup_join(found, enough, key="line", spread="_id").groupBy("_id").agg(F.max("best").alias("best")), "own"
+    )
+    small = F.broadcast(own) if fits_broadcast(own) else own
+    return scanned.join(small, "_id", "left").select(
+        *unpacked(columns, ("path",)),
+        F.col("best.license").alias("own_license"),
+        F.col("best.score").alias("own_score"),
     )
 
 
@@ -195,7 +262,8 @@ def scan_licenses(
 
     Null text holds no license; a null path inherits nothing; repeated paths
     are files of their own. An empty table gives no rows. The texts are read
-    twice (frequencies, then lines) and never shuffled.
+    twice (frequencies, then lines); only counts of terms and lines that may
+    name a license are shuffled.
     """
     names = {"own_license", "own_score", "license", "license_from", "best", "directory", "above_license", "above_directory"}
     kept = [c for c in files.columns if c not in names]

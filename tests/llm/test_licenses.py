@@ -67,3 +67,23 @@ def test_scan_equals_plain_code(spark):
 
 def test_no_files(spark):
     assert scan_licenses(spark.createDataFrame([], "path string, text string")).collect() == []
+
+
+def test_a_header_scores_alike_at_every_size(spark):
+    header = "Copyright 2021 Example Authors. Licensed under the Apache License, Version 2.0."
+    files = [(f"d{i}/x.py", f"Copyright 2021 Example Authors\nline {i % 5}") for i in range(12)] + [("h/x.py", header), ("p/x.py", "prose")]
+    def score(times):
+        rows = [(f"{k}/{p}", t) for k in range(times) for p, t in files]
+        found = scan_licenses(spark.createDataFrame(rows, "path string, text string"), threshold=0.5)
+        return {(r.own_license, r.own_score) for r in found.where("path LIKE '%/h/x.py'").collect()}
+    (small,), (large,) = score(1), score(200)
+    assert small[0] == large[0] == "Apache-2.0" and abs(small[1] - large[1]) < 0.03
+
+
+def test_every_term_is_weighed_by_its_own_frequency(spark):
+    files = [("a.py", "our Released under the MIT License"), ("b.py", "our prose"), ("c.py", "our x"), ("d.py", None)]
+    n, df = len(files), {"our": 3, **dict.fromkeys("released under the mit license".split(), 1)}
+    weight = {t: math.log((1 + n) / (1 + k)) + 1 for t, k in df.items()}
+    square = sum(weight[t] ** 2 for t in weight if t != "our")
+    got = scan_licenses(spark.createDataFrame(files, "path string, text string")).where("path = 'a.py'").first()
+    assert got.own_license == "MIT" and got.own_score == round(math.sqrt(square / (square + weight["our"] ** 2)), 6)
