@@ -1,12 +1,15 @@
-"""License scans: lines against license templates, then inheritance down the directories.
+"""License scans: lines, headers and licence files against templates, then inheritance down the directories.
 
 A line and a template are sparse vectors of terms, weighed by how often a term
 occurs times its inverse document frequency. Frequencies are counted over all
 files for every term, whether a template holds it or not, so prose around a
 template's terms costs likeness by how rare it is. A file's own license is that
-of its best line, at ``threshold`` or more. A directory's is the best among its
-licence files, and a file without its own inherits that of the nearest
-directory above it that has one.
+of its best line, at ``threshold`` or more, or that of its leading comments or,
+if it is a licence file by name, its whole text: each is one vector, compared
+with usual headers and with full texts, at ``TEXT_THRESHOLD`` or more. An SPDX
+tag there names its license outright. The best score counts. A directory's
+license is the best among its licence files, and a file without its own
+inherits that of the nearest directory above it that has one.
 
 All of it is columns and joins. Vocabulary and weights of the templates are
 bounded and travel as literals. A line that would stay below the threshold even
@@ -21,6 +24,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -49,6 +53,36 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
+# Usual headers of source files; full texts lie beside this module.
+_GPL_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
+    "{0}General Public License as published by the Free Software Foundation, either version {1} of the License, "
+    "or (at your option) any later version. This program is distributed in the hope that it will be useful, but "
+    "WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR "
+    "PURPOSE. See the GNU {0}General Public License for more details. You should have received a copy of the GNU "
+    "{0}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."
+)
+HEADERS = {
+    "Apache-2.0": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in '
+    "compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 "
+    "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+    'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for '
+    "the specific language governing permissions and limitations under the License.",
+    "BSD-3-Clause": "Copyright The Authors. All rights reserved. Use of this source code is governed by a BSD-style "
+    "license that can be found in the LICENSE file.",
+    "GPL-2.0": _GPL_HEADER.format("", 2),
+    "GPL-3.0": _GPL_HEADER.format("", 3),
+    "LGPL-3.0": _GPL_HEADER.format("Lesser ", 3),
+    "MIT": "Copyright. Use of this source code is governed by an MIT-style license that can be found in the LICENSE file.",
+    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
+    "was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+}
+FULL_TEXTS = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+#: Long texts share common words, so their cosines are greater than those of lines.
+TEXT_THRESHOLD = 0.8
+# Comments and blanks from the start of a text, piece by piece.
+COMMENTS = r"""\G(\s++|(?:#|//|--|;|%|<\?)[^\n]*+|/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"{3}(?s:.*?)\"{3})"""
+SPDX = r"SPDX-License-Identifier:[ \t]*([A-Za-z0-9.-]+?)(?:-only|-or-later|[+])?(?![A-Za-z0-9.+-])"
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -179,25 +213,83 @@ def scored_lines(lines: DataFrame, frequencies: DataFrame, n_files: int, likenes
     return lines.join(squares, "line", "left").select("line", best.alias("best"))
 
 
-def scan_lines(files: DataFrame, threshold: float, templates: dict[str, str]) -> DataFrame:
-    """``path, text`` to ``path, own_license, own_score``; nulls below ``threshold``."""
+def longer_texts(path: Column, text: Column) -> Column:
+    """``array(struct(key, terms, tag))``: leading comments, and the whole text of a licence file."""
+
+    def entry(part: Column) -> Column:
+        joined = F.array_join(terms(part), " ")
+        tag = F.nullif(F.regexp_extract(part, SPDX, 1), F.lit(""))
+        return F.when(joined != "", F.struct(F.sha2(joined, 256).alias("key"), joined.alias("terms"), tag.alias("tag")))
+
+    comments = F.array_join(F.regexp_extract_all(text, F.lit(COMMENTS)), "\n")
+    whole = F.when(F.regexp_extract(path, "([^/]*)$", 1).rlike(LICENCE_FILE), text)
+    return F.filter(F.array(entry(comments), entry(whole)), lambda e: e.isNotNull())
+
+
+def scored_texts(
+    texts: DataFrame, frequencies: DataFrame, n_files: int, weights: dict[str, float], vectors: list[tuple[str, Counter]]
+) -> DataFrame:
+    """``key, terms`` to ``key, best``; equal texts are weighed once."""
+    spark = texts.sparkSession
+    lengths = [math.sqrt(sum((c * weights[t]) ** 2 for t, c in v.items())) for _, v in vectors]
+    rows = [(t, [w * v[t] / length for (_, v), length in zip(vectors, lengths)]) for t, w in sorted(weights.items())]
+    added = F.broadcast(spark.createDataFrame(rows, "term string, added array<double>"))
+    counts = store(
+        texts.groupBy("key").agg(F.first("terms").alias("terms"))
+        .select("key", F.explode(F.split("terms", " ")).alias("term"))
+        .groupBy("key", "term").agg(F.count("*").alias("n")),
+        "text_terms",
+    )
+    needed = store(frequencies.join(counts.select("term").distinct(), "term"), "text_needed")
+    weight = F.log(F.lit(float(1 + n_files)) / (F.col("holding") + 1)) + 1
+    weighed = lookup_join(counts, needed, key="term", spread="key").withColumn("w", F.col("n") * weight)
+    sums = weighed.join(added, "term", "left").groupBy("key").agg(
+        F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"),
+        *[F.sum(F.col("w") * F.coalesce(F.col("added")[i], F.lit(0.0))).alias(f"d{i}") for i in range(len(vectors))],
+    )
+    # Of equal scores the first template counts.
+    scores = F.array(*[F.struct(F.round(F.col(f"d{i}") / F.col("length"), 6).alias("score"), F.lit(-i).alias("i")) for i in range(len(vectors))])
+    best = F.array_max(scores)
+    names = F.array(*[F.lit(n) for n, _ in vectors])
+    return sums.select("key", best.alias("top")).select(
+        "key", F.struct(F.col("top.score").alias("score"), F.get(names, -F.col("top.i")).alias("license")).alias("best")
+    )
+
+
+def scan_files(
+    files: DataFrame, threshold: float, templates: dict[str, str], text_threshold: float = TEXT_THRESHOLD
+) -> DataFrame:
+    """``path, text`` to ``path, own_license, own_score``; nulls below the thresholds."""
     vectors = template_terms(templates)
     vocabulary = sorted(set().union(*vectors.values()))
+    longer = sorted([*template_terms(HEADERS).items(), *template_terms(FULL_TEXTS).items()], key=lambda v: v[0])
+    longer_vocabulary = sorted(set().union(*(v for _, v in longer)))
     n_files, frequencies = document_frequencies(files)
-    holding = {r["term"]: r["holding"] for r in frequencies.where(F.col("term").isin(vocabulary)).collect()}
-    likeness = Likeness({t: inverse_frequency(n_files, holding.get(t, 0)) for t in vocabulary}, vectors)
+    known = sorted({*vocabulary, *longer_vocabulary})
+    holding = {r["term"]: r["holding"] for r in frequencies.where(F.col("term").isin(known)).collect()}
+    weights = {t: inverse_frequency(n_files, holding.get(t, 0)) for t in known}
+    likeness = Likeness({t: weights[t] for t in vocabulary}, vectors)
     columns = [c for c in files.columns if c != "text"]
     scanned = store(
         packed(files, "path", "text")
         .withColumn("lines", possible_lines(F.col("text"), likeness, threshold))
+        .withColumn("texts", longer_texts(F.col("path"), F.col("text")))
         .withColumn("_id", F.monotonically_increasing_id()).drop("text"),
         "scanned",
     )
     found = scanned.select("_id", F.explode("lines").alias("line"))
     scored = scored_lines(found.select("line"), frequencies, n_files, likeness)
     enough = store(scored.where(F.col("best.score") >= threshold), "scored")
+    texts = scanned.select("_id", F.explode("texts").alias("t")).select("_id", "t.*")
+    alike = scored_texts(texts, frequencies, n_files, {t: weights[t] for t in longer_vocabulary}, longer)
+    like = store(alike.where(F.col("best.score") >= text_threshold), "scored_texts")
+    tags = texts.where(F.col("tag").isin(sorted({*templates, *(n for n, _ in longer)})))
     own = store(
-        lookup_join(found, enough, key="line", spread="_id").groupBy("_id").agg(F.max("best").alias("best")), "own"
+        lookup_join(found, enough, key="line", spread="_id").select("_id", "best")
+        .unionByName(lookup_join(texts.select("_id", "key"), like, key="key", spread="_id").select("_id", "best"))
+        .unionByName(tags.select("_id", F.struct(F.lit(1.0).alias("score"), F.col("tag").alias("license")).alias("best")))
+        .groupBy("_id").agg(F.max("best").alias("best")),
+        "own",
     )
     small = F.broadcast(own) if fits_broadcast(own) else own
     return scanned.join(small, "_id", "left").select(
@@ -262,9 +354,9 @@ def scan_licenses(
 
     Null text holds no license; a null path inherits nothing; repeated paths
     are files of their own. An empty table gives no rows. The texts are read
-    twice (frequencies, then lines); only counts of terms and lines that may
-    name a license are shuffled.
+    twice (frequencies, then lines and longer texts); only counts of terms, lines
+    that may name a license, leading comments and licence files are shuffled.
     """
     names = {"own_license", "own_score", "license", "license_from", "best", "directory", "above_license", "above_directory"}
     kept = [c for c in files.columns if c not in names]
-    return inherited(store(scan_lines(files.select(kept), threshold, templates), "licenses"))
+    return inherited(store(scan_files(files.select(kept), threshold, templates), "licenses"))

@@ -4,7 +4,7 @@ import math
 import re
 from collections import Counter
 
-from siftline.llm.licenses import TEMPLATES, TERM, scan_licenses
+from siftline.llm.licenses import FULL_TEXTS, HEADERS, TEMPLATES, TERM, scan_licenses
 
 
 def brute(files, threshold=0.6):
@@ -87,3 +87,20 @@ def test_every_term_is_weighed_by_its_own_frequency(spark):
     square = sum(weight[t] ** 2 for t in weight if t != "our")
     got = scan_licenses(spark.createDataFrame(files, "path string, text string")).where("path = 'a.py'").first()
     assert got.own_license == "MIT" and got.own_score == round(math.sqrt(square / (square + weight["our"] ** 2)), 6)
+
+
+def test_headers_and_licence_files_are_compared_as_a_whole(spark):
+    other = {"MIT": "Copyright (c) 2020 Jane Doe and others\n", "GPL-3.0": "", "GPL-2.0": "", "ISC": "(c) me\n"}
+    files = [(f"{n}/LICENSE", other.get(n, "") + text) for n, text in FULL_TEXTS.items()]
+    files += [(f"h/{n}.c", "/* -*- C -*- */\n/*\n * Copyright 2021 Someone\n * " + t.replace(". ", ".\n * ") + "\n */\nint x;\n") for n, t in HEADERS.items()]
+    files += [(f"s/{n}.py", f"#!/usr/bin/python\n# SPDX-License-Identifier: {n}\nx = 1") for n in ("MIT", "GPL-2.0-or-later", "Zlib")]
+    files += [(f"{n}/src/a.c", "int x;") for n in FULL_TEXTS]
+    files += [("p/LICENSE", "the and of this is a story of the sea and of the people in it\n" * 50), ("p/x.c", "prose " * 30)]
+    files += [(f"w/{i}.txt", f"some words of the {i}th text, and this is all") for i in range(40)]
+    got = {r.path: r.license for r in scan_licenses(spark.createDataFrame(files, "path string, text string")).collect()}
+    for n in FULL_TEXTS:
+        assert got[f"{n}/LICENSE"] == got[f"{n}/src/a.c"] == n
+    for n in HEADERS:
+        assert got[f"h/{n}.c"] == n
+    assert (got["s/MIT.py"], got["s/GPL-2.0-or-later.py"], got["s/Zlib.py"]) == ("MIT", "GPL-2.0", None)
+    assert got["p/LICENSE"] is None and got["p/x.c"] is None
