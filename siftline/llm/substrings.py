@@ -12,6 +12,8 @@ there are ten times fewer anchors than windows.
 2. Texts are read again. Windows whose anchor may repeat are shuffled by
    anchor, in runs of neighbours; windows that repeat within a part of a
    batch are settled there, and one of them goes on to tell the others.
+   Anchors that many different windows share are counted first; theirs are
+   shuffled window by window, as only equal ones have to meet.
 3. Groups of equal windows (64-bit hashes of the anchor and of the window, and
    the anchor's place in it) of two or more give word ranges, which join the
    texts by document.
@@ -27,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from siftline.llm.common import packed, slices, unpacked
+from siftline.llm.common import packed, slices, store, unpacked
 from siftline.llm.words import WordRuns, run_hash, sliding_min
+from siftline.operators.lookup import lookup_join
 
 LENGTH = 35
 #: Rows of the sketch, its cells per byte of text, and the bound on its cells (bits of memory per task).
@@ -38,6 +41,8 @@ MOST_CELLS = 1 << 29
 #: Bytes of text whose hashes a task holds at a time, and suspect windows that it groups before the shuffle.
 HELD_BYTES = 1 << 20
 HELD_WINDOWS = 1 << 18
+#: Suspect windows of one anchor that a task groups; of anchors above it there are at most all windows over this.
+ANCHOR_WINDOWS = 1 << 18
 #: Cells that one merging step holds.
 SHARD_BITS = 18
 
@@ -153,6 +158,7 @@ def _suspects(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
 
 WINDOWS = "anchor long, doc_id long, ref long, start int, place int, sure boolean, n int, hashes binary"
 RANGES = "doc_id long, ref long, start int, n int"
+SINGLE = "anchor long, window long, place int, doc_id long, ref long, start int, sure boolean"
 
 
 def _same(anchor: np.ndarray, place: np.ndarray, window: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +252,55 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH) -> DataFrame | None:
     sketch = repeat_sketch(keyed, length)
     if sketch is None:
         return None
-    ordered = _suspect_windows(keyed, sketch, length).repartition("anchor").sortWithinPartitions("anchor")
+    suspects = _suspect_windows(keyed, sketch, length)
+    crowded = crowded_anchors(suspects)
+    if crowded.isEmpty():
+        return _by_anchor(suspects)
+    marked = suspects.join(F.broadcast(crowded.withColumn("_crowded", F.lit(True))), "anchor", "left")
+    apart = F.col("_crowded").isNotNull() & F.col("hashes").isNotNull()
+    few, many = marked.where(~apart).select(suspects.columns), marked.where(apart).select(suspects.columns)
+    return _by_anchor(few).unionByName(_by_window(many))
+
+
+def crowded_anchors(suspects: DataFrame) -> DataFrame:
+    """Anchors of more than ``ANCHOR_WINDOWS`` suspect windows, stored."""
+    counts = suspects.where("hashes IS NOT NULL").groupBy("anchor").agg(F.sum("n").alias("windows"))
+    return store(counts.where(F.col("windows") > ANCHOR_WINDOWS).select("anchor"), "crowded")
+
+
+def _by_window(suspects: DataFrame) -> DataFrame:
+    """Repeated windows, each a range of its own; counts are added up before they are shuffled."""
+
+    def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("n").to_numpy().astype(np.int64)
+            within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            row = np.repeat(np.arange(len(n)), n)
+            of = pa.array(row)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("anchor").take(of),
+                    pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)),
+                    pa.array((batch.column("place").to_numpy()[row] - within).astype(np.int32)),
+                    batch.column("doc_id").take(of),
+                    batch.column("ref").take(of),
+                    pa.array((batch.column("start").to_numpy()[row] + within).astype(np.int32)),
+                    batch.column("sure").take(of),
+                ],
+                names=["anchor", "window", "place", "doc_id", "ref", "start", "sure"],
+            )
+
+    group = F.struct("anchor", "window", "place").alias("group")
+    windows = store(suspects.mapInArrow(expand, SINGLE).select(group, "doc_id", "ref", "start", "sure"), "windows")
+    weight = F.sum(F.lit(1) + F.col("sure").cast("int"))
+    repeated = store(windows.groupBy("group").agg(weight.alias("weight")).where("weight > 1").select("group"), "repeated")
+    found = lookup_join(windows.where("NOT sure"), repeated, key="group", spread="ref")
+    return found.select("doc_id", "ref", "start", F.lit(1).alias("n"))
+
+
+def _by_anchor(suspects: DataFrame) -> DataFrame:
+    """Runs of repeated windows; the windows of an anchor meet in one task."""
+    ordered = suspects.repartition("anchor").sortWithinPartitions("anchor")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None

@@ -102,3 +102,22 @@ def test_word_runs_and_hashes():
     x = np.random.default_rng(0).integers(0, 99, 50)
     for width in range(1, 20):
         assert sliding_min(x, width).tolist() == [min(x[i : i + width]) for i in range(50 - width + 1)]
+
+
+@pytest.mark.parametrize("length", [35, 4])
+def test_crowded_anchors_are_dealt_by_window(spark, monkeypatch, length):
+    rng = random.Random(8)
+    shared = " ".join(f"s{i}" for i in range(20))
+    unlike = lambda: " ".join(f"u{rng.randrange(10**9)}" for _ in range(40))
+    docs = documents(7) + [(1000 + i, f"{unlike()} {shared} {unlike()}") for i in range(60)]
+    docs += [(2000 + i, docs[-1 - i][1]) for i in range(3)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    monkeypatch.setattr(substrings, "ANCHOR_WINDOWS", 40)
+    groups, by_anchor = [], substrings._by_anchor
+    def seen(suspects):
+        groups.extend(r[1] for r in suspects.where("hashes IS NOT NULL").groupBy("anchor").agg({"n": "sum"}).collect())
+        return by_anchor(suspects)
+    monkeypatch.setattr(substrings, "_by_anchor", seen)
+    got = sorted((tuple(r) for r in removal_report(frame, length).collect()), key=repr)
+    assert got == sorted(brute(docs, length), key=repr)
+    assert groups and max(groups) <= 40
