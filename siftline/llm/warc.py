@@ -139,6 +139,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         _pieces(spark, path)
         .withColumn("header", F.concat(F.lit(CRLF), header))
         .withColumn("piece_bytes", F.octet_length("value").cast("long"))
+        .withColumn("print", F.xxhash64("value"))
         .withColumn("header_bytes", F.octet_length(header).cast("long") + len(HEADER_END))
         .withColumn("content", F.expr("try_cast(regexp_extract(header, '(?i)\\r\\nContent-Length:[ \\t]*([0-9]{1,18})(?![0-9])', 1) AS BIGINT)"))
         .withColumn("whole", F.col("header_bytes") + F.col("content") <= F.col("piece_bytes"))
@@ -152,7 +153,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     )
     rows = store(
         pieces.select(
-            "file", "block", "at", "piece_bytes", "header_bytes", "content", "whole", "digest",
+            "file", "block", "at", "piece_bytes", "print", "header_bytes", "content", "whole", "digest",
             F.startswith("value", F.lit(MAGIC)).alias("magic"),
             _field(F.col("header"), "WARC-Type").alias("record_type"),
             _field(F.col("header"), "WARC-Record-ID").alias("record_id"),
@@ -238,18 +239,29 @@ def reachable(placed: DataFrame) -> DataFrame:
 
 
 def _cut_payloads(spark: SparkSession, path: str, placed: DataFrame, kept: DataFrame) -> DataFrame:
-    """Digests of records whose payload holds the mark: their pieces are read again and joined up."""
+    """Digests of records whose payload holds the mark: their pieces are read again and joined up.
+
+    The second read may be split otherwise than the first, so nothing that
+    splits give, numbers or blocks, is compared: pieces are told by file,
+    size and hash, and pieces of equal content stand for one another.
+    """
     split = kept.where("NOT whole").select(
         "file", F.col("start").alias("_record"), F.col("piece_start").alias("_from"), "successor", "header_bytes", "content"
     )
+    content = ["file", "piece_bytes", "print"]
     parts = store(
-        placed.select("file", "block", "at", "piece_start").join(split, "file")
+        placed.select(*content, "piece_start").join(split, "file")
         .where("piece_start >= _from AND piece_start < successor"),
         "parts",
     )
     if parts.isEmpty():
         return parts.select("file", F.col("_record").alias("start"), F.lit(None).cast("string").alias("joined"))
-    texts = _pieces(spark, path).join(parts, ["file", "block", "at"])
+    again = _pieces(spark, path).select(
+        "file", F.octet_length("value").cast("long").alias("piece_bytes"), F.xxhash64("value").alias("print"), "value"
+    )
+    needed = again.join(parts.select(content).distinct(), content, "left_semi").groupBy(content).agg(F.first("value").alias("value"))
+    lost = F.raise_error(F.concat(F.lit("archive changed between two reads: "), F.col("file")))
+    texts = parts.join(needed, content, "left").withColumn("value", F.coalesce("value", lost))
     payload = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("piece_start", "value"))), lambda p: p["value"]), MARK)
     whole = texts.groupBy("file", "_record", "header_bytes", "content").agg(payload.alias("text"))
     body = F.substring(F.col("text").cast("binary"), (F.col("header_bytes") + 1).cast("int"), F.col("content").cast("int"))

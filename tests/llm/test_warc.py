@@ -6,6 +6,7 @@ import random
 
 import pytest
 
+from siftline.llm import warc
 from siftline.llm.warc import archive_pages, candidates, reachable, read_archives
 
 FAKE = "WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:page:666>\r\nContent-Length: 4\r\n\r\nevil\r\n\r\n"
@@ -96,3 +97,22 @@ def test_chains_equal_a_plain_walk(spark, monkeypatch):
 def test_no_pages(spark):
     frame = spark.createDataFrame([], "page_id long, url string, html string")
     assert archive_pages(frame).collect() == []
+
+
+def test_the_second_read_may_be_split_otherwise(spark, monkeypatch):
+    rows = pages()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    sizes, read = iter(["40000", "130000"]), warc._pieces
+    def pieces(session, path):
+        session.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return read(session, path)
+    monkeypatch.setattr(warc, "_pieces", pieces)
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = archive_pages(frame).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert next(sizes, None) is None
+    assert sorted((tuple(r)[:5] for r in got), key=repr) == expected(rows)
+    assert all(r.digest_holds for r in got)
