@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline.llm.common import slices, store
-from siftline.llm.words import WordRuns, mixed, run_hash
+from siftline.llm.words import WordDigests, WordRuns, mixed
 
 SAMPLES = 64
 SEED = 11
@@ -38,22 +38,24 @@ def _uniform(bits: np.ndarray) -> np.ndarray:
     return (bits.astype(np.float32) + np.float32(0.5)) * np.float32(2.0**-32) * np.float32(1 - 2.0**-23)
 
 
-def word_weights(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def word_weights(texts: list[bytes], digests: WordDigests) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Distinct words' hashes; then, text by text, each word's number and count; and where texts begin."""
     words = WordRuns(texts)
-    hashing = run_hash(3)
-    starts = np.arange(len(words))
-    hashes = hashing.runs(words, hashing.prefixes(words), starts, 1)
-    vocabulary, number = np.unique(hashes, return_inverse=True)
+    vocabulary, number = np.unique(digests.of(words)[0], return_inverse=True)
     text = np.repeat(np.arange(len(texts)), np.diff(words.first))
     pairs, counts = np.unique(text * max(1, len(vocabulary)) + number, return_counts=True)
     first = np.searchsorted(pairs, np.arange(len(texts) + 1) * max(1, len(vocabulary)))
     return vocabulary, pairs % max(1, len(vocabulary)), counts, first
 
 
-def signatures(texts: list[bytes], samples: int = SAMPLES, seed: int = SEED) -> np.ndarray:
-    """A row of ``samples`` 16-bit numbers per text; texts without words have zeros."""
-    vocabulary, word, counts, first = word_weights(texts)
+def signatures(
+    texts: list[bytes], samples: int = SAMPLES, seed: int = SEED, digests: WordDigests | None = None
+) -> np.ndarray:
+    """A row of ``samples`` 16-bit numbers per text; texts without words have zeros.
+
+    ``digests`` keeps the hashes of words from call to call.
+    """
+    vocabulary, word, counts, first = word_weights(texts, WordDigests() if digests is None else digests)
     out = np.zeros((len(texts), samples), np.uint16)
     full = np.flatnonzero(np.diff(first))
     if not len(full):
@@ -102,9 +104,10 @@ def fingerprint(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED) -> Da
     """``doc_id, text`` to ``doc_id, fingerprint`` (four hex digits a sample); null text is empty."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = WordDigests()
         for batch in batches:
             for first, texts in slices(batch.column("text")):
-                found = pa.array([shown(s) for s in signatures(texts, samples, seed)])
+                found = pa.array([shown(s) for s in signatures(texts, samples, seed, digests)])
                 ids = batch.column("doc_id").slice(first, len(texts))
                 yield pa.RecordBatch.from_arrays([ids, found], names=["doc_id", "fingerprint"])
 
@@ -124,10 +127,10 @@ _RESULT = (
 _FIELDS = [part.split()[0] for part in _RESULT.split(", ")]
 
 
-def _compared(ids: list, texts: list[str], samples: int, seed: int) -> list[tuple]:
+def _compared(ids: list, texts: list[str], samples: int, seed: int, digests: WordDigests) -> list[tuple]:
     """Results for all but the last of some documents in order; each is edited with the next."""
     changed = [edited(a, b).encode() for a, b in zip(texts, texts[1:])]
-    signs = signatures([t.encode() for t in texts] + changed, samples, seed)
+    signs = signatures([t.encode() for t in texts] + changed, samples, seed, digests)
     own, next_, new = signs[: len(changed)], signs[1 : len(texts)], signs[len(texts) :]
     near, far = likeness(own, new), likeness(own, next_)
     return [
@@ -160,6 +163,7 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED) ->
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
+        digests = WordDigests()
         ids, texts, held = [], [], 0
         first = True
         for doc_id, text in rows_of(batches):
@@ -170,10 +174,10 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED) ->
             texts.append(text)
             held += 2 * len(text)
             if held > HELD_BYTES and len(ids) > 1:
-                yield batch_of([r + (None, None, None) for r in _compared(ids, texts, samples, seed)])
+                yield batch_of([r + (None, None, None) for r in _compared(ids, texts, samples, seed, digests)])
                 ids, texts, held = ids[-1:], texts[-1:], 2 * len(text)
         if ids:
-            rows = _compared(ids, texts, samples, seed)
+            rows = _compared(ids, texts, samples, seed, digests)
             waiting = (ids[-1],) + (None,) * (len(_FIELDS) - 1) + (part, None, texts[-1])
             yield batch_of([r + (None, None, None) for r in rows] + [waiting])
 
@@ -198,9 +202,10 @@ def compare_edits(docs: DataFrame, samples: int = SAMPLES, seed: int = SEED) ->
     waiting = walked.where("tail IS NOT NULL").select("part", "doc_id", "tail").join(follows, "part").join(heads, "next")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digests = WordDigests()
         for batch in batches:
             for doc_id, tail, head in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "tail", "head"))):
-                rows = _compared([doc_id, None], [tail, head], samples, seed)
+                rows = _compared([doc_id, None], [tail, head], samples, seed, digests)
                 yield batch_of([r + (None, None, None) for r in rows]).select(_FIELDS)
 
     return done.unionByName(waiting.select("doc_id", "tail", "head").mapInArrow(settle, _RESULT))

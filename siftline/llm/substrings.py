@@ -14,9 +14,8 @@ there are ten times fewer anchors than windows.
    batch are settled there, and one of them goes on to tell the others.
    Anchors that many different windows share are counted first; theirs are
    shuffled window by window, as only equal ones have to meet.
-3. Groups of equal windows (64-bit hashes of the anchor and of the window, and
-   the anchor's place in it) of two or more give word ranges, which join the
-   texts by document.
+3. Groups of equal windows (128-bit hashes made of the digests of their words)
+   of two or more give word ranges, which join the texts by document.
 """
 
 from __future__ import annotations
@@ -30,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from siftline.llm.common import packed, slices, store, unpacked
-from siftline.llm.words import WordRuns, run_hash, sliding_min
+from siftline.llm.words import WordDigests, WordRuns, run_hashes, sliding_min
 from siftline.operators.lookup import lookup_join
 
 LENGTH = 35
@@ -53,17 +52,16 @@ def _anchor_words(length: int) -> int:
     return length // 2 + 1
 
 
-def _anchors(words: WordRuns, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _anchors(words: WordRuns, digests: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Windows' first words, the places of their anchors, and a hash of the run at every place.
 
     Of equal hashes in a window the first counts, so equal windows agree.
     """
     size = _anchor_words(length)
-    hashing = run_hash(1)
     starts = words.run_starts(length)
-    runs = words.run_starts(size)
+    runs = run_hashes(digests, size)
     hashes = np.zeros(len(words), np.uint64)
-    hashes[runs] = hashing.runs(words, hashing.prefixes(words), runs, size)
+    hashes[: len(runs)] = runs
     if not len(starts):
         return starts, starts, hashes
     place = np.arange(len(words), dtype=np.uint64)
@@ -89,10 +87,11 @@ def repeat_sketch(texts: DataFrame, length: int = LENGTH) -> np.ndarray | None:
     shard = min(bits, SHARD_BITS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.zeros(0, np.uint64)]
+        parts, memory = [np.zeros(0, np.uint64)], WordDigests()
         for batch in batches:
             for _, held in slices(batch.column("text"), HELD_BYTES):
-                _, places, hashes = _anchors(WordRuns(held), length)
+                words = WordRuns(held)
+                _, places, hashes = _anchors(words, memory.of(words)[0], length)
                 parts.append(hashes[places[np.diff(places, prepend=-1) != 0]])
         hashes = np.concatenate(parts)
         for row in range(SKETCH_ROWS):
@@ -156,17 +155,17 @@ def _suspects(sketch: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-WINDOWS = "anchor long, doc_id long, ref long, start int, place int, sure boolean, n int, hashes binary"
+WINDOWS = "anchor long, doc_id long, ref long, start int, sure boolean, n int, hashes binary"
 RANGES = "doc_id long, ref long, start int, n int"
-SINGLE = "anchor long, window long, place int, doc_id long, ref long, start int, sure boolean"
+SINGLE = "window1 long, window2 long, doc_id long, ref long, start int, sure boolean"
 
 
-def _same(anchor: np.ndarray, place: np.ndarray, window: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _same(window: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Weight of each row's group of equal windows, and whether the row is its group's first."""
-    order = np.lexsort((place, window, anchor))
-    a, p, w = anchor[order], place[order], window[order]
+    order = np.lexsort((window[:, 1], window[:, 0]))
+    w = window[order]
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (w[1:] != w[:-1]) | (p[1:] != p[:-1])
+    new[1:] = (w[1:] != w[:-1]).any(axis=1)
     group = np.cumsum(new) - 1
     total = np.empty(len(order), np.int64)
     total[order] = np.bincount(group, weight[order], minlength=group[-1] + 1 if len(group) else 0)[group]
@@ -189,18 +188,19 @@ def _suspect_windows(keyed: DataFrame, sketch: np.ndarray, length: int) -> DataF
     shared = keyed.sparkSession.sparkContext.broadcast(sketch)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memory = WordDigests()
         for batch in batches:
             parts, n = [], 0
             for first, held in slices(batch.column("text"), HELD_BYTES):
                 words = WordRuns(held)
-                starts, places, hashes = _anchors(words, length)
+                digests = memory.of(words)
+                starts, places, hashes = _anchors(words, digests[0], length)
                 anchors = np.flatnonzero(np.diff(places, prepend=-1))
                 passes = np.repeat(
                     _suspects(shared.value, hashes[places[anchors]]), np.diff(np.append(anchors, len(places)))
                 )
                 starts, places = starts[passes], places[passes]
-                whole = run_hash(2)
-                window = whole.runs(words, whole.prefixes(words), starts, length)
+                window = np.stack([run_hashes(d, length)[starts] for d in digests], axis=1)
                 text = np.searchsorted(words.first, starts, "right") - 1
                 parts.append((text + first, starts - words.first[text], places - starts, hashes[places], window))
                 n += len(starts)
@@ -211,14 +211,14 @@ def _suspect_windows(keyed: DataFrame, sketch: np.ndarray, length: int) -> DataF
                 yield emitted(batch, *map(np.concatenate, zip(*parts)))
 
     def emitted(batch, text, start, place, anchor, window) -> pa.RecordBatch:
-        total, first = _same(anchor, place, window, np.ones(len(text), np.int64))
+        total, first = _same(window, np.ones(len(text), np.int64))
         settled = total > 1
         ranges = np.flatnonzero(settled)
         begins = _joined_runs(text[ranges], start[ranges])
         ends = np.append(begins[1:], len(ranges))
         kept = np.flatnonzero(~settled | first)
         runs = _joined_runs(text[kept], settled[kept], anchor[kept], (start + place)[kept], start[kept])
-        offsets = np.append(runs, len(kept)) * 8
+        offsets = np.append(runs, len(kept)) * 16
         ids, refs = batch.column("doc_id"), batch.column("ref")
         a, b = ranges[begins], kept[runs]
         rows = pa.array(np.concatenate([text[a], text[b]]))
@@ -233,12 +233,11 @@ def _suspect_windows(keyed: DataFrame, sketch: np.ndarray, length: int) -> DataF
                 ids.take(rows),
                 refs.take(rows),
                 pa.array(np.concatenate([start[a], start[b]]).astype(np.int32)),
-                pa.array(np.concatenate([np.zeros(len(a), np.int64), place[b]]).astype(np.int32)),
                 pa.array(np.concatenate([np.ones(len(a), bool), settled[b]])),
-                pa.array(np.concatenate([ends - begins, np.diff(offsets) // 8]).astype(np.int32)),
+                pa.array(np.concatenate([ends - begins, np.diff(offsets) // 16]).astype(np.int32)),
                 pa.concat_arrays([pa.nulls(len(a), pa.binary()), data]),
             ],
-            names=["anchor", "doc_id", "ref", "start", "place", "sure", "n", "hashes"],
+            names=["anchor", "doc_id", "ref", "start", "sure", "n", "hashes"],
         )
 
     return keyed.mapInArrow(find, WINDOWS)
@@ -256,7 +255,7 @@ def repeated_ranges(keyed: DataFrame, length: int = LENGTH) -> DataFrame | None:
     crowded = crowded_anchors(suspects)
     if crowded.isEmpty():
         return _by_anchor(suspects)
-    marked = suspects.join(F.broadcast(crowded.withColumn("_crowded", F.lit(True))), "anchor", "left")
+    marked = lookup_join(suspects, crowded.withColumn("_crowded", F.lit(True)), "left", key="anchor", spread="ref")
     apart = F.col("_crowded").isNotNull() & F.col("hashes").isNotNull()
     few, many = marked.where(~apart).select(suspects.columns), marked.where(apart).select(suspects.columns)
     return _by_anchor(few).unionByName(_by_window(many))
@@ -277,20 +276,20 @@ def _by_window(suspects: DataFrame) -> DataFrame:
             within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             row = np.repeat(np.arange(len(n)), n)
             of = pa.array(row)
+            window = np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("anchor").take(of),
-                    pa.array(np.frombuffer(b"".join(batch.column("hashes").to_pylist()), np.int64)),
-                    pa.array((batch.column("place").to_numpy()[row] - within).astype(np.int32)),
+                    pa.array(np.ascontiguousarray(window[:, 0])),
+                    pa.array(np.ascontiguousarray(window[:, 1])),
                     batch.column("doc_id").take(of),
                     batch.column("ref").take(of),
                     pa.array((batch.column("start").to_numpy()[row] + within).astype(np.int32)),
                     batch.column("sure").take(of),
                 ],
-                names=["anchor", "window", "place", "doc_id", "ref", "start", "sure"],
+                names=["window1", "window2", "doc_id", "ref", "start", "sure"],
             )
 
-    group = F.struct("anchor", "window", "place").alias("group")
+    group = F.struct("window1", "window2").alias("group")
     windows = store(suspects.mapInArrow(expand, SINGLE).select(group, "doc_id", "ref", "start", "sure"), "windows")
     weight = F.sum(F.lit(1) + F.col("sure").cast("int"))
     repeated = store(windows.groupBy("group").agg(weight.alias("weight")).where("weight > 1").select("group"), "repeated")
@@ -324,9 +323,9 @@ def _by_anchor(suspects: DataFrame) -> DataFrame:
         ends = np.cumsum(n)
         within = np.arange(ends[-1]) - np.repeat(ends - n, n)
         row = np.repeat(np.arange(len(n)), n)
-        window = np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint64)
+        window = np.frombuffer(b"".join(rows["hashes"].to_pylist()), np.uint64).reshape(-1, 2)
         sure = rows["sure"].to_numpy(zero_copy_only=False)[row]
-        total, _ = _same(rows["anchor"].to_numpy()[row], rows["place"].to_numpy()[row] - within, window, 1 + sure)
+        total, _ = _same(window, 1 + sure)
         found = np.flatnonzero((total > 1) & ~sure)
         begins = _joined_runs(row[found], within[found])
         sizes = np.diff(np.append(begins, len(found)))
@@ -356,9 +355,9 @@ def _with_ranges(docs: DataFrame, length: int) -> DataFrame:
     ranges = repeated_ranges(keyed.select(F.col("doc_id").cast("long"), "ref", "text"), length)
     if ranges is None:
         return keyed.withColumn("ranges", F.lit(None).cast("array<struct<start:int,n:int>>"))
-    # At most a few ranges for each word of the document.
+    # A set: equal rows say the same, and a document has few ranges for each of its words.
     by_doc = ranges.groupBy(F.col("doc_id").alias("_doc"), F.col("ref").alias("_ref")).agg(
-        F.collect_list(F.struct("start", "n")).alias("ranges")
+        F.collect_set(F.struct("start", "n")).alias("ranges")
     )
     same = F.col("ref").eqNullSafe(F.col("_ref")) & F.col("doc_id").eqNullSafe(F.col("_doc"))
     return keyed.join(by_doc, same, "left").drop("_doc", "_ref")

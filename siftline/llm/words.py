@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
+from hashlib import blake2b
 
 import numpy as np
 
@@ -40,48 +40,41 @@ class WordRuns:
         return np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[:-1] - (ends - counts), counts)
 
 
-class RunHash:
-    """Rolling 64-bit hash of word runs: a random number per byte, times a power per place."""
+class WordDigests(dict):
+    """128-bit digests of words, each distinct word hashed once; beyond ``limit`` words it starts anew."""
 
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.letter = rng.integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
-        self.letter ^= rng.integers(0, 2, 256, dtype=np.uint64)
-        # Odd and 3 mod 8, so powers repeat as late as they can and there is an inverse.
-        self.base = int(rng.integers(0, 1 << 60)) * 8 + 3
-        self.powers = np.ones(1, np.uint64)
-        self.inverses = np.ones(1, np.uint64)
+    def __init__(self, limit: int = 1 << 17):
+        super().__init__()
+        self.limit = limit
 
-    def _grow(self, size: int) -> None:
-        if len(self.powers) <= size:
-            n = 1 << int(size).bit_length()
-            self.powers = _powers(self.base, n)
-            self.inverses = _powers(pow(self.base, -1, 1 << 64), n)
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = digest = blake2b(word, digest_size=16).digest()
+        return digest
 
-    def prefixes(self, words: WordRuns) -> np.ndarray:
-        """Running sums at word bounds."""
-        self._grow(len(words.letters))
-        with np.errstate(over="ignore"):
-            sums = np.cumsum(self.letter[words.letters] * self.powers[: len(words.letters)])
-        return np.concatenate([np.zeros(1, np.uint64), sums])[words.bounds]
+    def of(self, words: WordRuns) -> np.ndarray:
+        """Two rows of 64-bit numbers, a column per word."""
+        if len(self) > self.limit:
+            self.clear()
+        found = b"".join(map(self.__getitem__, words.letters.tobytes().split(b" ")[:-1]))
+        return np.ascontiguousarray(np.frombuffer(found, np.uint64).reshape(-1, 2).T)
 
-    def runs(self, words: WordRuns, prefixes: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            sums = prefixes[starts + length] - prefixes[starts]
-            return mixed(sums * self.inverses[words.bounds[starts]])
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return mixed(a + mixed(b ^ np.uint64(0x9E3779B97F4A7C15)))
 
-@lru_cache(maxsize=None)
-def run_hash(seed: int) -> RunHash:
-    return RunHash(seed)
 
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hash of ``words[i : i + size]`` for every ``i``: hashes of halves are hashed again, by doubling.
 
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.ones(1, np.uint64)
-    with np.errstate(over="ignore"):
-        while len(out) < n:
-            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
-    return out
+    No step is linear, so texts built to meet in sums or polynomials do not meet here.
+    """
+    have, out = 1, words
+    while have * 2 <= size:
+        out = _joined(out[: max(0, len(out) - have)], out[have:])
+        have *= 2
+    rest = size - have
+    return _joined(out[: max(0, len(out) - rest)], out[rest:]) if rest else out
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

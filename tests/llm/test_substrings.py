@@ -9,7 +9,7 @@ import pytest
 
 from siftline.llm import substrings
 from siftline.llm.substrings import remove_repeats, removal_report
-from siftline.llm.words import WordRuns, run_hash, sliding_min
+from siftline.llm.words import WordDigests, WordRuns, run_hashes, sliding_min
 
 
 def brute(docs, length):
@@ -94,8 +94,7 @@ def test_word_runs_and_hashes():
     assert np.diff(words.first).tolist() == [0, 3, 0, 3, 3]
     assert words.letters.tobytes() == b"a bc d a bc d bc d e "
     starts = words.run_starts(2)
-    hashing = run_hash(1)
-    found = hashing.runs(words, hashing.prefixes(words), starts, 2)
+    found = run_hashes(WordDigests().of(words)[0], 2)[starts]
     spelled = [words.letters[words.bounds[s] : words.bounds[s + 2]].tobytes() for s in starts]
     assert len(set(found.tolist())) == len(set(spelled)) == 3
     assert all((a == b) == (x == y) for a, x in zip(found, spelled) for b, y in zip(found, spelled))
@@ -121,3 +120,34 @@ def test_crowded_anchors_are_dealt_by_window(spark, monkeypatch, length):
     got = sorted((tuple(r) for r in removal_report(frame, length).collect()), key=repr)
     assert got == sorted(brute(docs, length), key=repr)
     assert groups and max(groups) <= 40
+
+
+def test_runs_of_any_length_tell_words_apart():
+    words = WordRuns([b"a b a b b a a b a b", b"b a b a"])
+    digests = WordDigests(limit=0).of(words)
+    spelled = words.letters.tobytes().split()
+    for size in range(1, 17):
+        runs = [tuple(spelled[i : i + size]) for i in range(len(spelled) - size + 1)]
+        for lane in digests:
+            found = run_hashes(lane, size).tolist()
+            assert len(found) == len(runs) and len(set(zip(found, runs))) == len(set(runs)) == len(set(found))
+
+
+def test_words_that_meet_in_polynomial_hashes_stay(spark):
+    """A Thue-Morse word and its complement have equal polynomial hashes modulo 2**64 in any base."""
+    bits = [bin(i).count("1") % 2 for i in range(1024)]
+    word, other = ("".join("ab"[b ^ flip] for b in bits) for flip in (0, 1))
+    shared = " ".join(f"w{i}" for i in range(34))
+    docs = [(1, f"{shared} {word}"), (2, f"{shared} {other}"), (3, f"{shared} {word}")]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(tuple(r) for r in removal_report(frame).collect())
+    assert got == sorted(brute(docs, 35)) and [r[2] for r in got] == [35, 0, 35]
+
+
+def test_many_equal_rows_carry_their_ranges_once(spark):
+    text = " ".join(f"w{i}" for i in range(90))
+    docs = [(7, text)] * 300
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    ranges = substrings._with_ranges(frame, 35).selectExpr("size(ranges) AS n").agg({"n": "max"}).first()[0]
+    assert ranges <= 90
+    assert {tuple(r)[1:3] for r in removal_report(frame).collect()} == {(90, 90)}
