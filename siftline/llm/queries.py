@@ -8,12 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from siftline.llm import (
+    bpe,
+    codes,
     embeddings,
     fingerprints,
     licenses,
     mixing,
     packing,
     quality,
+    ranked,
     simhash,
     substrings,
     url_lists,
@@ -209,3 +212,83 @@ def op7_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = pages.select(url_lists.url_host(F.col("url")).alias("host")).where("host <> ''").distinct()
     entries = spark.sql(_ENTRY_ROWS.replace("FROM hosts", "FROM {hosts}"), hosts=hosts)
     return url_lists.judge(captures, entries, "page_id")
+
+
+# --- Ranked search, vector codes, byte-level BPE ---------------------------------------------
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_LEXICAL_TERMS = rf"unnest(regexp_extract_all({_LOWERED}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))"
+
+RANKED_SQL = f"""
+WITH docs AS (SELECT row_number() OVER () AS d, doc_id, text FROM documents),
+found AS (SELECT d, term, count(*) AS tf FROM (SELECT d, {_LEXICAL_TERMS} AS term FROM docs) GROUP BY d, term),
+lengths AS (SELECT d, CAST(sum(tf) AS BIGINT) AS n FROM found GROUP BY d),
+totals AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM lengths),
+items AS (SELECT row_number() OVER () AS i, item_id, text FROM benchmark),
+asked AS (SELECT i, term, count(*) AS often FROM (SELECT i, {_LEXICAL_TERMS} AS term FROM items) GROUP BY i, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM found, totals WHERE term IN (SELECT term FROM asked) GROUP BY term, docs),
+parts AS (SELECT d, term, w * ((1000000000 * tf)
+    // (1000 * tf + {ranked.SATURATION} * (100 - {ranked.LENGTH_PERCENT} + ({ranked.LENGTH_PERCENT} * n * docs) // terms))) AS part
+  FROM found JOIN weights USING (term) JOIN lengths USING (d), totals),
+scored AS (SELECT i, d, CAST(sum(often * part) AS BIGINT) AS score FROM asked JOIN parts USING (term) GROUP BY i, d),
+best AS (SELECT i, doc_id, score,
+    CAST(row_number() OVER (PARTITION BY i ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS "rank"
+  FROM scored JOIN docs USING (d) WHERE score > 0)
+SELECT item_id, "rank", doc_id, score FROM best JOIN items USING (i) WHERE "rank" <= {ranked.TOP}"""
+
+
+@query(RANKED_SQL)
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _codes_sql() -> str:
+    """The rounds one after another, as they are few and their number is fixed."""
+    steps = [
+        f"""kept AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS r, vec_id, label, v FROM (
+  SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor({codes.SCALE}.0::DOUBLE * x) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0))""",
+        f"""cut AS (SELECT r, p, list_slice(v, p * len(v) // {codes.PARTS} + 1, (p + 1) * len(v) // {codes.PARTS}) AS x
+  FROM kept, range({codes.PARTS}) AS t(p))""",
+        f"book0 AS (SELECT p, CAST(r - 1 AS BIGINT) AS e, x FROM cut WHERE r <= {codes.ENTRIES})",
+    ]
+    gap = "list_sum(list_transform(list_zip(c.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    for k in range(codes.ROUNDS + 1):
+        steps.append(
+            f"""near{k} AS MATERIALIZED (SELECT c.r, c.p, any_value(c.x) AS x,
+  min(({gap} * 65536 + b.e)::HUGEINT) AS best FROM cut AS c JOIN book{k} AS b USING (p) GROUP BY c.r, c.p)"""
+        )
+        if k < codes.ROUNDS:
+            steps.append(
+                f"""book{k + 1} AS MATERIALIZED (SELECT b.p, b.e, coalesce(m.x, b.x) AS x FROM book{k} AS b LEFT JOIN (
+  SELECT p, e, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (
+    SELECT p, e, i, sum(value) AS s, count(*) AS n FROM (
+      SELECT p, CAST(best % 65536 AS BIGINT) AS e, unnest(x) AS value, generate_subscripts(x, 1) AS i FROM near{k})
+    GROUP BY p, e, i) GROUP BY p, e) AS m ON m.p = b.p AND m.e = b.e)"""
+            )
+    last = codes.ROUNDS
+    steps.append(
+        f"""coded AS (SELECT r, string_agg(format('{{:02x}}', CAST(best % 65536 AS BIGINT)), '' ORDER BY p) AS code,
+  CAST(sum(best // 65536) AS BIGINT) AS error FROM near{last} GROUP BY r)"""
+    )
+    steps.append(
+        f"""digest AS (SELECT sha256(string_agg(CAST(value AS VARCHAR), ',' ORDER BY p, e, i)) AS h FROM (
+  SELECT p, e, unnest(x) AS value, generate_subscripts(x, 1) AS i FROM book{last}))"""
+    )
+    return (
+        "WITH " + ",\n".join(steps) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256
+FROM coded JOIN kept USING (r), digest"""
+    )
+
+
+@query(_codes_sql())
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

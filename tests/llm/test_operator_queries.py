@@ -15,8 +15,8 @@ from siftline.llm.queries import ORACLES, QUERIES
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
-def test_all_ten_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(contract.queries())
 
 
@@ -82,3 +82,20 @@ def test_stages_keep_the_columns_and_take_effect(spark):
 def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF_DIR).toPandas()
     assert len(rows) and rows.sequence_id.notna().all()
+
+
+def test_round_trips(spark):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for r in table(spark, SF_DIR, "documents").collect():
+        ids = tokenizer.encode(r.text or "", add_special_tokens=False).ids
+        text = tokenizer.decode(ids, skip_special_tokens=False)
+        digests = (np.array(ids, "<u4").tobytes(), text.encode())
+        want.append((r.doc_id, len(ids), *(hashlib.sha256(d).hexdigest() for d in digests)))
+    got = [tuple(r) for r in QUERIES["op13_byte_bpe"](spark, SF_DIR).collect()]
+    assert sorted(got) == sorted(want)
