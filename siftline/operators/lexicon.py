@@ -78,6 +78,7 @@ _WORDS = {
 
 # Years of experience that are too many, and how posts put them; of a span the first number counts.
 YEARS_FROM = 3
+YEARS_WORDS = (" years ", " лет ")
 YEARS_FORMS = (
     r" ([0-9]+)\+ (?:years|лет)(?= )",
     r" ([0-9]+) (?:[0-9]+\+? )?years of (?:commercial|experience)(?= )",

@@ -9,14 +9,14 @@ from siftline.operators.lookup import BroadcastBound, lookup_join, one_per_key
 
 
 def with_channel(
-    matches: DataFrame, channels: DataFrame, bound: BroadcastBound = BroadcastBound()
+    matches: DataFrame, channels: DataFrame, bound: BroadcastBound = BroadcastBound(), stored: bool = False
 ) -> DataFrame:
     """Left join with the channel dimension; ``channel_found`` tells the two sides apart.
 
-    A channel that has several rows counts once.
+    A channel that has several rows counts once; a ``stored`` table has one each.
     """
-    dim = one_per_key(channels.select("channel_id", "title", "username")).withColumn("_found", F.lit(True))
-    joined = lookup_join(matches, dim, "left", bound=bound)
+    dim = channels if stored else one_per_key(channels.select("channel_id", "title", "username"))
+    joined = lookup_join(matches, dim.withColumn("_found", F.lit(True)), "left", bound=bound, stored=stored)
     return joined.withColumn("channel_found", F.coalesce("_found", F.lit(False))).drop("_found")
 
 

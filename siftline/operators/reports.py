@@ -17,7 +17,7 @@ def backlog_by_channel(
     """
     blank = F.col("blank") if "blank" in posts.columns else is_blank(F.col("message"))
     narrow = posts.select("channel_id", "msg_id", blank.alias("blank"))
-    marked = lookup_join(narrow, marks.select("channel_id", "last_msg_id"), "left", bound=bound)
+    marked = lookup_join(narrow, marks.select("channel_id", "last_msg_id"), "left", bound=bound, stored=False)
     pending = (F.col("msg_id") > F.coalesce("last_msg_id", F.lit(0))) & ~F.col("blank")
     return marked.groupBy("channel_id").agg(
         F.count("*").alias("total"), F.count_if(pending).alias("pending")

@@ -1,165 +1,97 @@
 """The screening rules as a lexical job: features, first trigger and verdict.
 
-A stand-in for the model, not its equal. All work is local to the post: no
-token is exploded and nothing is shuffled. Posts are cut into segments (lines
-and list items), each reduced to its words with blanks around them, so a term
-is found by a plain substring test.
+A stand-in for the model, not its equal. All work is local to the post: posts
+are cut into segments (lines and list items), each reduced to its words with
+blanks around them, and one automaton finds all terms of the lexicon in one
+walk over them. The lexicon is a list of terms or a table of any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+from collections.abc import Callable, Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from siftline.operators import lexicon as L
 from siftline.operators.lexicon import DEFAULT_LEXICON, Term
-
-# Runs of characters that neither belong to a word nor end a segment.
-GAP = r"[^\p{L}\p{N}+#\n,;•|]++"
-SEGMENT_END = r"[\n,;•|]"
-_BAR = "|"
-HEAD = 3
+from siftline.operators.lookup import BroadcastBound
+from siftline.operators.terms import Lexicon, lexicon_parts, post_flags
 
 REJECTIONS = ("R-A", "R-B", "R-C", "R-D", "R-E", "R-F")
 INCLUSIONS = ("I-1", "I-2", "I-3")
 
-
-def segmented(message: Column) -> Column:
-    """Words with one blank between them and a bar between segments, in their own case.
-
-    A bar is no word character, so no term spans two segments.
-    """
-    words = F.regexp_replace(message, GAP, " ")
-    return F.concat(F.lit(" "), F.regexp_replace(words, SEGMENT_END, f" {_BAR} "), F.lit(" "))
-
-
-def needle(term: Term) -> str:
-    text = term.text if term.case_sensitive else term.text.lower()
-    return f" {text[:-1]}" if text.endswith("*") else f" {text} "
-
-
-def mentions(own: Column, folded: Column, terms: Iterable[Term]) -> Column:
-    """True where segmented text holds a term; ``folded`` is the text in lower case."""
-    tests = [F.contains(own if t.case_sensitive else folded, F.lit(needle(t))) for t in terms]
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def _by_group(lexicon: Iterable[Term]) -> dict[str, list[Term]]:
-    groups: dict[str, list[Term]] = {}
-    for term in lexicon:
-        groups.setdefault(term.group, []).append(term)
-    return groups
+#: Segments that speak of an engineer and of no other role; that speak of Go and not as a bonus.
+ENGINEER_SEGMENT = ((L.ROLE_ENGINEER, L.GO), (L.ROLE_OTHER,))
+PLAIN_GO_SEGMENT = ((L.GO,), (L.BONUS,))
 
 
-def _head(term: Term) -> str | None:
-    """First letters a word must share with the term's first word; None if too few."""
-    first = needle(term).lower().split()[0]
-    if term.text.endswith("*") and " " not in term.text and len(first) < HEAD:
-        return None
-    return first[:HEAD]
+def years_asked() -> Callable[[str], tuple[str, ...]]:
+    """Names the group of years for segmented text in lower case that asks for ``YEARS_FROM`` of them or more."""
+    forms = [re.compile(form) for form in L.YEARS_FORMS]
+    words, least, group = L.YEARS_WORDS, L.YEARS_FROM, (L.YEARS,)
 
+    def asked(folded: str) -> tuple[str, ...]:
+        if any(w in folded for w in words) and any(int(n) >= least for f in forms for n in f.findall(folded)):
+            return group
+        return ()
 
-def _cut(posts: DataFrame, lexicon: Iterable[Term]) -> DataFrame:
-    """Post keys, the segmented text in both cases, and ``_heads``.
+    return asked
 
-    ``_heads`` holds the word beginnings the post shares with the lexicon: a
-    term is only searched for in posts that have its beginning.
-    """
-    message = F.coalesce("message", F.lit(""))
-    own = posts.select("channel_id", "msg_id", segmented(message).alias("_own"))
-    both = own.withColumn("_folded", F.lower("_own"))
-    heads = sorted({_head(t) for t in lexicon} - {None})
-    starts = F.transform(F.split("_folded", " "), lambda word: F.left(word, F.lit(HEAD)))
-    shared = F.array_intersect(starts, F.array(*(F.lit(h) for h in heads)).cast("array<string>"))
-    return both.withColumn("_heads", shared)
-
-
-def _whole(terms: Iterable[Term]) -> Column:
-    """True where the cut post holds one of the terms."""
-    tests = []
-    for term in terms:
-        test = mentions(F.col("_own"), F.col("_folded"), [term])
-        head = _head(term)
-        tests.append(test if head is None else F.array_contains("_heads", head) & test)
-    return reduce(lambda a, b: a | b, tests, F.lit(False))
-
-
-def enough_years(folded: Column) -> Column:
-    """True where segmented text in lower case asks for ``YEARS_FROM`` years or more, however many."""
 
-    def too_many(number: Column) -> Column:
-        # Beyond 64 bits is more than enough.
-        return F.coalesce(number.try_cast("bigint"), F.lit(L.YEARS_FROM)) >= L.YEARS_FROM
+def _lexicon(
+    lexicon: Iterable[Term] | DataFrame, groups: Iterable[str] | None, bound: BroadcastBound
+) -> Lexicon | list[Lexicon]:
+    return lexicon_parts(lexicon, groups, bound) if isinstance(lexicon, DataFrame) else Lexicon.of(lexicon, groups)
 
-    found = [F.exists(F.regexp_extract_all(folded, F.lit(form), F.lit(1)), too_many) for form in L.YEARS_FORMS]
-    return reduce(lambda a, b: a | b, found)
 
+def _mentions(lexicon: Lexicon | list[Lexicon], group: str) -> Column:
+    one = lexicon if isinstance(lexicon, Lexicon) else lexicon[0]
+    return F.col("flags").bitwiseAND(one.mask([group])) != 0
 
-def _group_hit(group: str, terms: Iterable[Term]) -> Column:
-    hit = _whole(terms)
-    return hit | enough_years(F.col("_folded")) if group == L.YEARS else hit
 
-
-def _only_if(gate: Column, costly: Column) -> Column:
-    return F.when(gate, costly).otherwise(F.lit(False))
-
-
-def rule_hits(posts: DataFrame, lexicon: Iterable[Term]) -> DataFrame:
+def rule_hits(
+    posts: DataFrame, lexicon: Iterable[Term] | DataFrame, bound: BroadcastBound = BroadcastBound()
+) -> DataFrame:
     """One row per post and lexicon group that the post mentions."""
-    groups = _by_group(lexicon)
-    hits = F.array_compact(F.array(*(F.when(_group_hit(g, terms), g) for g, terms in groups.items())))
-    return _cut(posts, lexicon).select("channel_id", "msg_id", F.explode(hits).alias("rule_id"))
-
-
-def rule_screen(posts: DataFrame, lexicon: Iterable[Term] = DEFAULT_LEXICON) -> DataFrame:
+    known = _lexicon(lexicon, None, bound)
+    groups = (known if isinstance(known, Lexicon) else known[0]).groups
+    flagged = post_flags(posts, known, extra=years_asked() if L.YEARS in groups else None)
+    names = F.array_compact(F.array(*(F.when(_mentions(known, g), g) for g in groups)))
+    return flagged.select("channel_id", "msg_id", F.explode(names.cast("array<string>")).alias("rule_id"))
+
+
+def rule_screen(
+    posts: DataFrame,
+    lexicon: Iterable[Term] | DataFrame = DEFAULT_LEXICON,
+    bound: BroadcastBound = BroadcastBound(),
+) -> DataFrame:
     """Per post: ``first_trigger`` (null if none fired), the inclusion checks, ``match``.
 
     Roles and bonus phrases are judged per segment, so a post with several
-    roles passes when one of them does; the rest looks at the whole post.
-    The first two rules settle most posts, and only the others are searched
-    for more. The inclusion checks are null for rejected posts, since the
-    rules do not reach them.
+    roles passes when one of them does; the rest looks at the whole post. The
+    inclusion checks are null for rejected posts, since the rules do not reach
+    them. Terms of other groups than the rules have are ignored.
     """
-    given = _by_group(lexicon)
-    groups = {g: given.get(g, []) for g in L.GROUPS}
-    f = {g: F.col(f"_{g}") for g in L.GROUPS}
-    segments = F.arrays_zip(
-        F.split("_own", rf"\{_BAR}").alias("own"), F.split("_folded", rf"\{_BAR}").alias("folded")
-    )
-
-    def has(segment: Column, group: str) -> Column:
-        return mentions(segment["own"], segment["folded"], groups[group])
-
-    engineer_segment = F.exists(
-        segments,
-        lambda s: (has(s, L.ROLE_ENGINEER) | has(s, L.GO)) & ~has(s, L.ROLE_OTHER),
-    )
-    plain_go_segment = F.exists(segments, lambda s: has(s, L.GO) & ~has(s, L.BONUS))
-
-    first = (L.ROLE_OTHER, L.GO)
-    rest = [g for g in L.GROUPS if g not in first]
-    roles = (
-        _cut(posts, [t for terms in groups.values() for t in terms])
-        .select("*", *(_whole(groups[g]).alias(f"_{g}") for g in first))
-        .withColumn("_a", _only_if(f[L.ROLE_OTHER], ~engineer_segment))
-    )
-    still_open = f[L.GO] & ~F.col("_a")
-    flagged = roles.select(
-        "*", *(_only_if(still_open, _group_hit(g, groups[g])).alias(f"_{g}") for g in rest)
-    ).withColumn("_c", _only_if(f[L.BONUS] & f[L.OTHER_LANGUAGE], ~plain_go_segment))
+    if isinstance(lexicon, DataFrame):
+        lexicon = lexicon.where(F.col("group").isin(*L.GROUPS))
+    known = _lexicon(lexicon, L.GROUPS, bound)
+    flagged = post_flags(posts, known, (ENGINEER_SEGMENT, PLAIN_GO_SEGMENT), years_asked())
+    f = {g: _mentions(known, g) for g in L.GROUPS}
+    engineer_segment, plain_go_segment = (F.col("held").bitwiseAND(1 << i) != 0 for i in (0, 1))
+    bonus_only = f[L.BONUS] & f[L.OTHER_LANGUAGE] & f[L.GO] & ~plain_go_segment
     rejected = {
-        "R-A": F.col("_a"),
+        "R-A": f[L.ROLE_OTHER] & ~engineer_segment,
         "R-B": ~f[L.GO],
-        "R-C": F.col("_c"),
+        "R-C": bonus_only,
         "R-D": (f[L.SENIOR] & ~f[L.JUNIOR]) | f[L.YEARS],
         "R-E": f[L.OTHER_CITY] & ~f[L.ASTANA] & ~f[L.REMOTE],
         "R-F": f[L.NOT_VACANCY] & ~f[L.ROLE_ENGINEER],
     }
     included = {
         "I-1": f[L.JUNIOR] | ~f[L.SENIOR],
-        "I-2": f[L.GO] & ~F.col("_c"),
+        "I-2": f[L.GO] & ~bonus_only,
         "I-3": f[L.REMOTE]
         | f[L.ASTANA]
         | (f[L.KAZAKHSTAN] & ~f[L.OTHER_CITY])

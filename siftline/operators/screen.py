@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from siftline import constants as K
 from siftline.functions.text import is_blank
-from siftline.operators.lookup import BroadcastBound, lookup_join, one_per_key
+from siftline.operators.lookup import BroadcastBound, fits_broadcast, lookup_join, one_per_key
+from siftline.session import store
 
 EPOCH = dt.datetime(1970, 1, 1)
 
@@ -43,7 +44,7 @@ def channel_peer_only(posts: DataFrame) -> DataFrame:
 def watched_only(
     posts: DataFrame, watch: DataFrame, bound: BroadcastBound = BroadcastBound()
 ) -> DataFrame:
-    return lookup_join(posts, watch.select("channel_id"), "left_semi", bound=bound)
+    return lookup_join(posts, watch.select("channel_id"), "left_semi", bound=bound, stored=False)
 
 
 def non_blank(posts: DataFrame) -> DataFrame:
@@ -106,10 +107,12 @@ def cutover(posts: DataFrame, until: dt.datetime) -> tuple[DataFrame, DataFrame]
 
 
 def after_high_water(
-    posts: DataFrame, marks: DataFrame, bound: BroadcastBound = BroadcastBound()
+    posts: DataFrame, marks: DataFrame | None, bound: BroadcastBound = BroadcastBound()
 ) -> DataFrame:
     """Keep posts above their channel's mark; a channel without mark starts at 0."""
-    marked = lookup_join(posts, marks.select("channel_id", "last_msg_id"), "left", bound=bound)
+    if marks is None:
+        return posts.where(F.col("msg_id") > 0)
+    marked = lookup_join(posts, marks.select("channel_id", "last_msg_id"), "left", bound=bound, stored=False)
     return marked.where(F.col("msg_id") > F.coalesce("last_msg_id", F.lit(0))).drop("last_msg_id")
 
 
@@ -130,11 +133,11 @@ def missing_channels(watch: DataFrame, channels: DataFrame) -> DataFrame:
 
 
 def resolved_history(
-    history: DataFrame, resolved: DataFrame, bound: BroadcastBound = BroadcastBound()
+    history: DataFrame, resolved: DataFrame, bound: BroadcastBound = BroadcastBound(), stored: bool = False
 ) -> DataFrame:
-    """History of resolved channels only, with the channel's names."""
-    dim = one_per_key(resolved.select("channel_id", "title", "username"))
-    return lookup_join(history, dim, "inner", bound=bound)
+    """History of resolved channels only, with the channel's names. A ``stored`` table has a row per channel."""
+    dim = resolved if stored else one_per_key(resolved.select("channel_id", "title", "username"))
+    return lookup_join(history, dim, "inner", bound=bound, stored=stored)
 
 
 def oldest_first(posts: DataFrame, partitions: int | None = None) -> DataFrame:
@@ -148,3 +151,25 @@ def oldest_first(posts: DataFrame, partitions: int | None = None) -> DataFrame:
         posts.repartitionByRange(partitions, *by) if partitions else posts.repartitionByRange(*by)
     )
     return ranged.sortWithinPartitions(*by)
+
+
+def places(posts: DataFrame, partitions: int | None = None) -> DataFrame:
+    """``channel_id, msg_id, place``: 1, 2, ... by rising id within each channel.
+
+    Two levels: the rows of ``oldest_first`` are stored, each partition tells
+    how many rows of a channel it holds and where they begin, and sums over the
+    earlier partitions (a row per channel and partition it meets) give the
+    rest. A channel of any size covers as many tasks as it needs.
+    """
+    laid = oldest_first(posts.select("channel_id", "msg_id"), partitions)
+    rows = store(laid.withColumn("_at", F.monotonically_increasing_id()), "places")
+    # The id of a row is its partition and its row there.
+    row = F.col("_at").bitwiseAND((1 << 33) - 1)
+    rows = rows.withColumns({"_part": F.shiftright("_at", 33), "_row": row})
+    own = rows.groupBy("channel_id", "_part").agg(F.min("_row").alias("_begin"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy("channel_id").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0))
+    firsts = store(own.select(F.struct("channel_id", "_part").alias("_key"), (before - F.col("_begin")).alias("_shift")), "firsts")
+    keyed = rows.withColumn("_key", F.struct("channel_id", "_part"))
+    placed = keyed.join(F.broadcast(firsts), "_key") if fits_broadcast(firsts) else keyed.join(firsts, "_key")
+    return placed.select("channel_id", "msg_id", (F.col("_row") + F.col("_shift") + 1).alias("place"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from siftline import constants as K
 from siftline import schemas
 from siftline.functions.replies import parse_replies
+from siftline.operators.lookup import BroadcastBound, wide_join
 from siftline.session import path_exists
 
 KEY = ["channel_id", "msg_id"]
@@ -30,11 +31,11 @@ def with_verdicts(posts: DataFrame, replies: DataFrame) -> DataFrame:
 def store_verdicts(scored: DataFrame, path: str) -> DataFrame:
     """Write scored posts with their verdicts once, and read them back.
 
-    Takes rows scored with ``keep_post``. The text stays with the matches, so
-    what follows needs no second scan of the posts and no join with them.
+    Takes rows scored with ``keep_post``. The text stays with matches and failed
+    calls, so what follows needs no second scan of the posts and no join with them.
     """
     parsed = parse_replies(scored, keep=("raw", "calls"))
-    text = F.when(F.col("match"), F.col("post"))
+    text = F.when(F.coalesce(F.col("match"), F.lit(False)) | failed_calls(), F.col("post"))
     parsed.withColumn("message", text).drop("post").write.mode("overwrite").parquet(path)
     return read_verdicts(scored.sparkSession, path)
 
@@ -54,11 +55,18 @@ def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
     return reader.parquet(path)
 
 
+def failed_calls() -> Column:
+    """True for verdicts whose model call failed: those a retry may mend."""
+    return F.coalesce(F.col("error").isin(K.ERR_QUOTA, K.ERR_CALL_FAILED), F.lit(False))
+
+
 def matches_only(verdicts: DataFrame) -> DataFrame:
     return verdicts.where(F.col("match"))
 
 
-def matched_posts(posts: DataFrame, replies: DataFrame) -> DataFrame:
-    """Matches with their post, parsing and filtering replies before the join."""
+def matched_posts(
+    posts: DataFrame, replies: DataFrame, bound: BroadcastBound = BroadcastBound()
+) -> DataFrame:
+    """Matches with their post. Replies are parsed and filtered once, and texts of other posts stay put."""
     hits = matches_only(parse_replies(replies)).select(*KEY, "model", "reason")
-    return posts.join(hits, KEY)
+    return wide_join(posts, hits, KEY, bound)

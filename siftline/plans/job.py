@@ -9,13 +9,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from siftline.operators.reports import run_summary, run_summary_by_channel, watch_coverage
+from siftline.operators.reports import run_summary, watch_coverage
 from siftline.operators.scoring import CallPolicy, Scorer
 from siftline.operators.screen import missing_channels
 from siftline.params import ScreeningParams, SinkPaths
-from siftline.plans.backfill import backfill, sweep_verdicts, swept_since
+from siftline.plans.backfill import backfill, swept_since
 from siftline.sources.channels import watch_list
-from siftline.sources.progress import Sweep
+from siftline.sources.progress import Sweep, SweepState
 from siftline.streaming.live import start_live
 
 
@@ -64,8 +64,7 @@ def run_job(
     overlap = catch_up = swept = None
     totals = (0, 0)
     if sweep:
-        scored = run_summary_by_channel(sweep_verdicts(spark, sinks, sweep))
-        total = run_summary(scored).first()
+        total = run_summary(SweepState(spark, sinks.state).totals(sweep)).first()
         totals = (total.analysed or 0, total.matched or 0)
         # What arrived while the sweep ran is no old backlog, also after a restart; nor are
         # files that came too late for the sweep.

@@ -20,8 +20,9 @@ from siftline.operators import screen as C
 from siftline.operators import verdicts as V
 from siftline.operators.lexicon import Term
 from siftline.operators.quota import MINUTE_US, quota_schedule, retry_plan
-from siftline.operators.rules import needle, rule_hits, rule_screen
+from siftline.operators.rules import rule_hits, rule_screen
 from siftline.operators.scoring import CallFailed, CallPolicy, call_log, score_posts
+from siftline.operators.terms import needle
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.plans import tables as T
 from siftline.plans.backfill import backfill, sweep_verdicts
@@ -283,14 +284,8 @@ def cutover(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM ({T.TEXTS_SQL}) AS t"""
 )
 def oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O1: each post's place in its channel, from where the operator puts it.
-
-    The id of a row is its partition and its row there, so it rises in the operator's order.
-    """
-    ordered = C.oldest_first(T.texts(spark, sf_dir).select("channel_id", "msg_id"))
-    placed = ordered.withColumn("_at", F.monotonically_increasing_id())
-    by_place = Window.partitionBy("channel_id").orderBy("_at")
-    return placed.withColumn("place", F.row_number().over(by_place).cast("bigint")).drop("_at")
+    """O1: each post's place in its channel, from where the operator puts it."""
+    return C.places(T.texts(spark, sf_dir))
 
 
 # --- Channel dimension ---------------------------------------------------------
@@ -933,6 +928,38 @@ def rule_screening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_text(rule_screen(T.texts(spark, sf_dir), STAND_IN), "i1", "i2", "i3")
 
 
+_WORDS_OF = r"regexp_extract_all(lower(s), '[\p{L}\p{N}+#]+')"
+
+
+def phrases_sql(source: str, keys: str) -> str:
+    """Words and pairs of neighbours within a segment, in lower case."""
+    return rf"""SELECT DISTINCT {keys} term FROM (
+      SELECT {keys} unnest(ws || list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1])) AS term
+      FROM (SELECT {keys} {_WORDS_OF} AS ws FROM (
+        SELECT {keys} unnest(regexp_split_to_array({trimmed('message')}, '[\n,;•|]')) AS s FROM ({source}) AS a) AS b) AS c) AS d"""
+
+
+@query(
+    f"""SELECT DISTINCT channel_id, msg_id, "group" AS rule_id
+    FROM ({phrases_sql(T.TEXTS_SQL, 'channel_id, msg_id,')}) AS p
+    JOIN (SELECT term, CASE WHEN contains(term, ' ') THEN 'pair' ELSE 'word' END || length(term) % 9 AS "group"
+      FROM ({phrases_sql('SELECT text AS message FROM benchmark', '')}) AS b) AS t USING (term)"""
+)
+def lexicon_table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """M2 with a lexicon that is a table: every word and pair of words of the benchmark, in 18 groups."""
+    segments = F.explode(F.split(utrim(F.col("text")), "[\n,;•|]")).alias("s")
+    words = F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}\p{N}+#]+"), F.lit(0)).alias("ws")
+    held = T.table(spark, sf_dir, "benchmark").select(segments).select(words)
+    pairs = F.transform(
+        F.filter(F.arrays_zip(F.col("ws").alias("a"), F.slice("ws", 2, 1 << 30).alias("b")), lambda z: z["b"].isNotNull()),
+        lambda z: F.concat_ws(" ", z["a"], z["b"]),
+    )
+    terms = held.select(F.explode(F.concat("ws", pairs)).alias("text")).distinct()
+    kind = F.when(F.contains("text", F.lit(" ")), "pair").otherwise("word")
+    group = F.concat(kind, (F.length("text") % 9).cast("string"))
+    return rule_hits(T.texts(spark, sf_dir), terms.select(group.alias("group"), "text", F.lit(False).alias("case_sensitive")))
+
+
 @query(
     """SELECT p_partkey, p_size >= 3 AND p_partkey % 5 <> 4 OR p_size - 1 >= 3 AND p_partkey % 5 = 4
       AS rejected FROM part"""
@@ -1179,24 +1206,26 @@ HISTORY_SQL = f"""SELECT p.* FROM ({T.POSTS_SQL}) AS p JOIN ({RESOLVED_SQL}) AS
   WHERE kind = 'message' AND msg_id > 0"""
 
 
-def _sweep(spark: SparkSession, sf_dir: str, name: str):
-    """A sweep over the whole month of the tables, in two slices."""
+def _sweep(spark: SparkSession, sf_dir: str, name: str, *runs: dict):
+    """A sweep over the whole month of the tables, in two slices and one run or several."""
     sinks = _sinks(spark, name)
     params = ScreeningParams(
         model=OFFLINE_MODEL, rpm=0, destination=DESTINATION, since=dt.date(2024, 1, 1)
     )
-    sweep = backfill(
-        spark,
-        T.posts(spark, sf_dir),
-        T.channels(spark, sf_dir),
-        params,
-        sinks,
-        length_scorer,
-        now=dt.datetime(2024, 2, 1),
-        slice_days=16,
-        time=_utc_time(),
-        watch=T.watch(spark, sf_dir),
-    )
+    for options in runs or ({},):
+        sweep = backfill(
+            spark,
+            T.posts(spark, sf_dir),
+            T.channels(spark, sf_dir),
+            params,
+            sinks,
+            options.pop("make_scorer", length_scorer),
+            now=dt.datetime(2024, 2, 1),
+            slice_days=16,
+            time=_utc_time(),
+            watch=T.watch(spark, sf_dir),
+            **options,
+        )
     return sinks, sweep
 
 
@@ -1233,3 +1262,56 @@ def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """G2 over the replies a sweep stored."""
     sinks, sweep = _sweep(spark, sf_dir, "summary")
     return G.run_summary_by_channel(sweep_verdicts(spark, sinks, sweep))
+
+
+@query(
+    f"""SELECT channel_id, count(*) FILTER (WHERE error IS NULL) AS analysed,
+      count(*) FILTER (WHERE "match") AS matched FROM ({scored_sql(HISTORY_SQL)}) AS v
+    GROUP BY channel_id"""
+)
+def sweep_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sweep's totals from what its rounds added up, without reading verdicts again."""
+    posts = T.updates(spark, sf_dir).count()
+    sinks, sweep = _sweep(spark, sf_dir, "totals", {"round_posts": max(1, posts // 4)})
+    return SweepState(spark, sinks.state).totals(sweep)
+
+
+@query(
+    as_text_sql(
+        f"""SELECT channel_id, msg_id, "match", error, CAST(1 AS BIGINT) AS times, 'later' AS ended
+        FROM ({scored_sql(HISTORY_SQL)}) AS v""",
+        "match",
+    )
+)
+def resumed_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K3, T4: a sweep that ends after a third of its posts and is resumed; each post is scored once."""
+    third = max(1, T.updates(spark, sf_dir).count() // 3)
+    first = {"round_posts": third, "most_rounds": 1}
+    sinks, sweep = _sweep(spark, sf_dir, "resumed", first, {"round_posts": third})
+    state = "later" if len(sweep.committed) > 1 and sweep.finished else "at once"
+    times = F.count("*").over(Window.partitionBy("channel_id", "msg_id"))
+    scored = sweep_verdicts(spark, sinks, sweep).select(
+        "channel_id", "msg_id", "match", "error", times.alias("times"), F.lit(state).alias("ended")
+    )
+    return as_text(scored, "match")
+
+
+def _mended_scorer(system: str):
+    """The stand-in model when it is up again."""
+    return lambda text: f'{{"match": false, "reason": "later, {len(text)} characters"}}'
+
+
+@query(
+    as_text_sql(
+        f"""SELECT channel_id, msg_id, coalesce("match", false) AS "match",
+          coalesce(reason, 'later, ' || n || ' characters') AS reason
+        FROM (SELECT v.*, length({trimmed('message')}) AS n FROM ({scored_sql(HISTORY_SQL)}) AS v
+          JOIN ({T.TEXTS_SQL}) AS t USING (channel_id, msg_id)) AS w""",
+        "match",
+    )
+)
+def retried_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Q4, T4: posts whose calls failed in the first run are tried again by the second, and only they."""
+    sinks, sweep = _sweep(spark, sf_dir, "retried", {}, {"make_scorer": _mended_scorer})
+    kept = sweep_verdicts(spark, sinks, sweep)
+    return as_text(kept.select("channel_id", "msg_id", "match", "reason"), "match")

@@ -19,9 +19,10 @@ MATCHES = (
 )
 OUTBOX = "destination STRING, text STRING, dedup_id BIGINT"
 MARKS = "channel_id BIGINT, last_msg_id BIGINT"
-PROGRESS = f"generation INT, since DATE, {MARKS}"
+PARTIALS = f"{MARKS}, analysed BIGINT, matched BIGINT, failed BIGINT"
+PROGRESS = f"generation INT, since DATE, round BIGINT, {PARTIALS}"
 RUNS = (
-    "generation INT, since DATE, until TIMESTAMP_NTZ, event STRING, "
-    "slice_from TIMESTAMP_NTZ, slice_to TIMESTAMP_NTZ, at TIMESTAMP_NTZ"
+    "generation INT, since DATE, until TIMESTAMP_NTZ, event STRING, slice_days INT, "
+    "round BIGINT, unit_from BIGINT, unit_to BIGINT, at TIMESTAMP_NTZ"
 )
 STATE_FILE = "since STRING, channels MAP<STRING, BIGINT>, done BOOLEAN"

@@ -20,12 +20,13 @@ def deliver(
     part: str,
     time: Column | None = None,
     bound: BroadcastBound = BroadcastBound(),
+    stored: bool = False,
 ) -> None:
     """Log first, then the outbox: a match is on record before it is announced.
 
     Each writer reads the matches of the stored table with its own columns only.
     """
-    hits = with_channel(matches_only(verdicts), channels, bound)
+    hits = with_channel(matches_only(verdicts), channels, bound, stored)
     found = hits.where(F.col("channel_found"))
     write_match_log(match_records(found, source, time), sinks.match_log, part)
     write_part(outbox_messages(found, params.destination), sinks.outbox, part)

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import sys
+import uuid
 
 import pytest
 from pyspark import cloudpickle
@@ -22,7 +23,7 @@ from siftline.plans.job import run_job
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log
 from siftline.sources.channels import read_channels
 from siftline.sources.posts import read_history, read_live, write_posts_by_day
-from siftline.sources.progress import SweepState
+from siftline.sources.progress import BUCKETS, SweepState
 from siftline.streaming import live as live_module
 from siftline.streaming.live import live_posts, start_live
 
@@ -89,7 +90,8 @@ def expected_matches(spark, until):
 def test_sweep_logs_marks_and_summary(spark, tmp_path):
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=3)
     sweep = run(spark, sinks, now)
-    assert sweep.done and sweep.generation == 1 and len(sweep.committed) == 3
+    assert sweep.generation == 1 and sweep.slices == 3 and len(sweep.committed) == 1
+    assert sweep.finished and not sweep.gaps() and not sweep.done  # some calls failed
     assert log_rows(spark, sinks) == expected_matches(spark, now)
     outbox = read_outbox(spark, sinks.outbox).collect()
     assert len(outbox) == len(log_rows(spark, sinks))
@@ -102,19 +104,20 @@ def test_sweep_logs_marks_and_summary(spark, tmp_path):
     assert {r.channel_id: r.last_msg_id for r in marks.collect()} == want
     by_channel = run_summary_by_channel(B.sweep_verdicts(spark, sinks, sweep))
     total = run_summary(by_channel).first()
+    assert sorted(by_channel.collect()) == sorted(SweepState(spark, sinks.state).totals(sweep).collect())
     assert total.matched == len(outbox)
     assert total.analysed == good.where(F.trim(F.translate("message", "\n", "")) != "").count()
 
 
 def test_finished_sweep_is_left_alone_and_new_date_starts_over(spark, tmp_path):
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=2)
-    first = run(spark, sinks, now)
+    first = run(spark, sinks, now, passes=1)
     before = log_rows(spark, sinks)
     again = run(spark, sinks, now + dt.timedelta(days=1))
-    assert again == first and log_rows(spark, sinks) == before
+    assert again == first and first.done and log_rows(spark, sinks) == before
     other = ScreeningParams(**{**PARAMS.__dict__, "since": dt.date(2024, 1, 2)})
     second = run(spark, sinks, now, params=other)
-    assert second.generation == 2 and len(second.committed) == 1
+    assert second.generation == 2 and second.slices == 1
     # Back to the first date: its state is gone, so it runs again.
     assert run(spark, sinks, now).generation == 3
 
@@ -132,10 +135,38 @@ def test_ids_need_not_rise_with_dates(spark, tmp_path):
     assert log_rows(spark, sinks) == want
 
 
-@pytest.mark.parametrize("cut_at", ["score", "deliver", "commit", "event"])
-def test_rerun_after_a_cut_equals_one_clean_run(spark, tmp_path, monkeypatch, cut_at):
+def counting(folder):
+    """A scorer that leaves a file per call, named by the text's number."""
+
+    def make(system):
+        def reply(text):
+            (folder / f"{text.split()[0]}-{uuid.uuid4().hex}").touch()
+            return scorer(system)(text)
+
+        return reply
+
+    return make
+
+
+def numbered_posts(spark):
+    return make_posts(spark).withColumn(
+        "message", F.when(F.trim(F.translate("message", "\n", "")) == "", F.col("message")).otherwise(F.concat("msg_id", F.lit(" "), "message"))
+    )
+
+
+@pytest.mark.parametrize(
+    ("cut_at", "slice_days"), [("plan", 1), ("score", None), ("deliver", 1), ("commit", None), ("event", 2)]
+)
+def test_a_cut_sweep_repeats_one_round_at_most(spark, tmp_path, monkeypatch, cut_at, slice_days):
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=3)
-    calls = {"n": 0}
+    calls, marks = {"n": 0}, tmp_path / "calls"
+    marks.mkdir()
+
+    def go(until):
+        return B.backfill(
+            spark, numbered_posts(spark), make_channels(spark), PARAMS, sinks, counting(marks), UNPACED,
+            until, slice_days, round_posts=14,
+        )
 
     def cut(original):
         def wrapped(*args, **kwargs):
@@ -151,28 +182,95 @@ def test_rerun_after_a_cut_equals_one_clean_run(spark, tmp_path, monkeypatch, cu
             patch.setattr(B, "verdicts_once", cut(B.verdicts_once))
         elif cut_at == "deliver":
             patch.setattr(B, "deliver", cut(B.deliver))
-        elif cut_at == "commit":
-            patch.setattr(SweepState, "commit", cut(SweepState.commit))
+        elif cut_at in ("commit", "plan"):
+            patch.setattr(SweepState, cut_at, cut(getattr(SweepState, cut_at)))
         else:
-            # Marks are written, the event that makes them count is not.
+            # What the round adds is written, the event that makes it count is not.
             original = SweepState._event
 
-            def event(self, sweep, kind, span):
-                if kind == "slice":
+            def event(self, sweep, kind, *more, **named):
+                if kind == "round":
                     calls["n"] += 1
                     if calls["n"] == 2:
                         raise RuntimeError("cut")
-                return original(self, sweep, kind, span)
+                return original(self, sweep, kind, *more, **named)
 
             patch.setattr(SweepState, "_event", event)
         with pytest.raises(RuntimeError, match="cut"):
-            run(spark, sinks, now)
+            go(now)
     state = SweepState(spark, sinks.state).newest()
-    assert not state.done and len(state.committed) == 1
+    assert not state.finished and len(state.committed) == 1 and state.gaps()
     # The resumed run keeps the frozen end, although it starts later.
-    sweep = run(spark, sinks, now + dt.timedelta(days=5))
-    assert sweep.done and sweep.until == now
+    sweep = go(now + dt.timedelta(days=5))
+    assert sweep.finished and sweep.until == now and len(sweep.committed) > 2
+    assert not (tmp_path / "state" / "staged" / f"sweep={sweep.generation}").exists()
     assert log_rows(spark, sinks) == expected_matches(spark, now)
+    made = [f.name.split("-")[0] for f in marks.iterdir()]
+    assert len(made) == len(set(made)) > 14  # no post is paid for twice
+    clean = sinks_at(tmp_path / "clean")
+    once = B.backfill(spark, make_posts(spark), make_channels(spark), PARAMS, clean, scorer, UNPACED, now, slice_days)
+    for read in (SweepState.marks, SweepState.totals):
+        pair = [sorted(map(tuple, read(SweepState(spark, s.state), w).collect())) for s, w in ((sinks, sweep), (clean, once))]
+        assert pair[0] == pair[1] != []
+
+
+def test_rounds_split_large_slices_and_join_small_ones():
+    posts = {0: 10, 1: 10, 2: 1000, 4: 30}
+    gaps = [(0, 3 * BUCKETS), (3 * BUCKETS + 7, 6 * BUCKETS)]
+    ranges = B.round_ranges(gaps, posts, 100)
+    assert [x for r in ranges for x in range(*r)] == [x for g in gaps for x in range(*g)]
+    size = lambda a, b: sum(posts.get(u // BUCKETS, 0) / BUCKETS for u in range(a, b))
+    assert max(size(*r) for r in ranges) <= 101 and len(ranges) == 12
+    assert B.round_ranges(gaps, {}, None) == gaps
+
+
+def test_failed_posts_are_tried_again_by_later_runs(spark, tmp_path):
+    sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=3)
+
+    def mended(system):
+        def reply(text):
+            assert "fail" in text
+            if text != "yes fail":
+                raise CallFailed(503, "down")
+            return '{"match": true, "reason": "r"}'
+
+        return reply
+
+    def still_down(system):
+        def reply(text):
+            raise CallFailed(429, "down") if "fail" in text else AssertionError(text)
+
+        return reply
+
+    state = SweepState(spark, sinks.state)
+    first = run(spark, sinks, now, round_posts=20)
+    failed = make_posts(spark).where(
+        (F.col("kind") == "message") & F.col("channel_id").isin(10, 11) & (F.col("message") == "yes fail") & (F.col("date") < C.ntz(now))
+    )
+    ids = sorted(r.msg_id for r in failed.collect())
+    assert not first.done and state.failures(first) == len(ids) > 2
+    policy = CallPolicy(rpm=0, max_retries=0)
+    second = B.backfill(spark, make_posts(spark), make_channels(spark), PARAMS, sinks, still_down, policy, now)
+    assert not second.done and state.failures(second) == len(ids) and log_rows(spark, sinks) == expected_matches(spark, now)
+    third = run(spark, sinks, now, make=mended)
+    assert third.done and state.failures(third) == 0 and third.finished == first.finished
+    extra = [r for r in log_rows(spark, sinks) if r not in expected_matches(spark, now)]
+    assert sorted(m for _, m, _ in extra) == ids
+    verdicts = B.sweep_verdicts(spark, sinks, third)
+    assert verdicts.where("error = 'call_failed'").count() == 0
+    assert verdicts.count() == verdicts.select("channel_id", "msg_id").distinct().count()
+    assert sorted(run_summary_by_channel(verdicts).collect()) == sorted(state.totals(third).collect())
+    assert run(spark, sinks, now, make=lambda s: None) == third
+
+
+def test_the_posts_are_scanned_once_whatever_the_slices(spark, tmp_path, monkeypatch):
+    sinks, now, scans = sinks_at(tmp_path), DAY + dt.timedelta(days=3), []
+    seen = B._PostSource._pending
+    monkeypatch.setattr(B._PostSource, "_pending", lambda self, *a: scans.append(a) or seen(self, *a))
+    run(spark, sinks, now)
+    assert len(scans) == 1
+    run(spark, sinks_at(tmp_path / "rounds"), now, round_posts=20)
+    assert len(scans) == 2
 
 
 def test_resume_does_not_call_the_model_again_for_stored_verdicts(spark, tmp_path, monkeypatch):
@@ -192,7 +290,7 @@ def test_resume_does_not_call_the_model_again_for_stored_verdicts(spark, tmp_pat
     assert log_rows(spark, sinks) == expected_matches(spark, now)
     stored = read_verdicts(spark, sinks.verdicts).collect()
     assert {r.error for r in stored} == {None, "call_failed", "empty_post"}
-    assert all((r.message is not None) == bool(r.match) for r in stored)
+    assert all((r.message is not None) == (bool(r.match) or r.error == "call_failed") for r in stored)
 
 
 def test_no_date_no_sweep_and_range_error(spark, tmp_path):
@@ -221,7 +319,7 @@ def test_state_file_is_taken_over(spark, tmp_path):
 
 def test_state_file_round_trip(spark, tmp_path):
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=2)
-    sweep = run(spark, sinks, now)
+    sweep = run(spark, sinks, now, passes=1)
     state, path = SweepState(spark, sinks.state), str(tmp_path / "exported")
     state.write_state_file(sweep, path)
     (line,) = [f.read_text() for f in (tmp_path / "exported").glob("*.json") if f.read_text()]
@@ -433,7 +531,7 @@ def test_job_sweeps_then_goes_live_and_loses_nothing(spark, tmp_path):
     assert log_rows(spark, sinks) == sorted(history + live) and live
     # A later start finds the sweep finished; posts that came while it ran are still no backlog.
     second = go("two")
-    assert second.sweep == first.sweep
+    assert second.sweep.finished == first.sweep.finished
     assert log_rows(spark, sinks) == sorted(history + live + live)
 
 
@@ -503,7 +601,7 @@ def test_moments_with_a_zone_become_utc(spark):
 
 def test_state_rows(spark, tmp_path):
     sinks, now = sinks_at(tmp_path), DAY + dt.timedelta(days=2)
-    sweep = run(spark, sinks, now)
+    sweep = run(spark, sinks, now, passes=1)
     SweepState(spark, sinks.state).write_state_rows(sweep, str(tmp_path / "rows"))
     rows = [json.loads(x) for f in (tmp_path / "rows").glob("*.json") for x in f.read_text().splitlines()]
     marks = {r.channel_id: r.last_msg_id for r in SweepState(spark, sinks.state).marks(sweep).collect()}

@@ -1,7 +1,11 @@
+import random
+
 import pytest
 
 from siftline.operators.lexicon import DEFAULT_LEXICON, GROUPS, Term
+from siftline.operators.lookup import BroadcastBound
 from siftline.operators.rules import rule_hits, rule_screen
+from siftline.operators.terms import lexicon_parts
 
 CASES = [
     ("Junior Go developer, remote", None),
@@ -86,6 +90,43 @@ def test_hits_equal_a_word_by_word_search(spark, lexicon):
     assert got == {i: hits for i, hits in want.items() if hits}
 
 
+def term_table(spark, terms):
+    return spark.createDataFrame([tuple(t) for t in terms], "`group` STRING, text STRING, case_sensitive BOOLEAN").repartition(4)
+
+
+@pytest.mark.parametrize("size", [64 << 20, 3000])
+def test_a_lexicon_table_of_any_size_gives_the_same(spark, size):
+    bound = BroadcastBound(size)
+    table = term_table(spark, DEFAULT_LEXICON)
+    assert (len(lexicon_parts(table, bound=bound)) > 1) == (size < 10_000)
+    want = sorted(map(tuple, rule_screen(frame(spark)).collect()))
+    assert sorted(map(tuple, rule_screen(frame(spark), table, bound).collect())) == want
+    want = sorted(map(tuple, rule_hits(frame(spark), DEFAULT_LEXICON).collect()))
+    assert sorted(map(tuple, rule_hits(frame(spark), table, bound).collect())) == want
+
+
+def test_thousands_of_terms(spark):
+    rng = random.Random(2)
+    words = [f"t{i}" for i in range(3000)]
+    lexicon = [Term(f"g{i % 40}", w) for i, w in enumerate(words)]
+    lexicon += [Term("pairs", f"{rng.choice(words)} {rng.choice(words)}") for _ in range(2000)] + [Term("caps", "T5", True), Term("starts", "t29*")]
+    rows = [(1, i, ", ".join(" ".join(rng.choices(words + ["T5", "x"], k=9)) for _ in range(6))) for i in range(60)]
+    posts = spark.createDataFrame(rows + [(2, 1, None), (2, 2, "")], "channel_id BIGINT, msg_id BIGINT, message STRING")
+    got = {}
+    for r in rule_hits(posts, term_table(spark, lexicon)).collect():
+        got.setdefault((r.channel_id, r.msg_id), set()).add(r.rule_id)
+    want = {(c, i): _plain_hits(text, lexicon) for c, i, text in rows}
+    assert got == {k: v for k, v in want.items() if v}
+    with pytest.raises(ValueError):
+        rule_hits(posts, [Term(f"g{i}", "x") for i in range(70)])
+
+
+def test_null_terms_are_left_out(spark):
+    rows = [("a", "go", None), (None, "go", False), ("b", None, False), ("c", " ", False), ("d", "*", False)]
+    table = spark.createDataFrame(rows, "`group` STRING, text STRING, case_sensitive BOOLEAN")
+    assert {r.rule_id for r in rule_hits(frame(spark), table).collect()} == {"a"}
+
+
 def test_rules_move_no_rows(spark):
     plan = rule_screen(frame(spark))._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Generate" not in plan
