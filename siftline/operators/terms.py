@@ -8,12 +8,13 @@ size, and a larger one is walked part by part.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from siftline.operators.lexicon import Term
 from siftline.operators.lookup import BroadcastBound
@@ -22,18 +23,41 @@ from siftline.operators.lookup import BroadcastBound
 MOST_GROUPS = 60
 BAR = "|"
 
-# Runs of characters that neither belong to a word nor end a segment.
-GAP = r"[^\p{L}\p{N}+#\n,;•|]++"
-SEGMENT_END = r"[\n,;•|]"
+#: Beside letters and digits, these belong to a word; those end a segment.
+WORD_MARKS = "+#"
+SEGMENT_ENDS = "\n,;•|"
 
 
-def segmented(message: Column) -> Column:
-    """Words with one blank between them and a bar between segments, in their own case.
+class Segmenter:
+    """Texts as words with one blank between them and a bar between segments, in their own case.
 
-    A bar is no word character, so no term spans two segments.
+    A word is letters, digits and ``WORD_MARKS``. A bar is no word character, so
+    no term spans two segments. ASCII goes by one table; what else a text holds
+    that is no letter is looked up once per character and task.
     """
-    words = F.regexp_replace(message, GAP, " ")
-    return F.concat(F.lit(" "), F.regexp_replace(words, SEGMENT_END, f" {BAR} "), F.lit(" "))
+
+    def __init__(self) -> None:
+        table = bytearray(range(256))
+        for code in range(128):
+            if not (chr(code).isalnum() or chr(code) in WORD_MARKS):
+                table[code] = ord(BAR) if chr(code) in SEGMENT_ENDS else ord(" ")
+        self._ascii = bytes(table)
+        self._known: dict[str, str | None] = {}
+
+    def _stands_for(self, char: str) -> str | None:
+        """What replaces a character beyond ASCII: nothing if it belongs to a word."""
+        if char not in self._known:
+            word = char < "\x80" or unicodedata.category(char)[0] in "LN"
+            self._known[char] = None if word else BAR if char in SEGMENT_ENDS else " "
+        return self._known[char]
+
+    def __call__(self, text: str) -> str:
+        if not text.isascii():
+            for char in set(text):
+                if other := self._stands_for(char):
+                    text = text.replace(char, other)
+        words = text.encode().translate(self._ascii).replace(b"|", b" | ").split()
+        return f" {b' '.join(words).decode()} "
 
 
 def needle(term: Term) -> str:
@@ -72,7 +96,14 @@ class Finder:
     """Flags of the groups that the segments of a text mention."""
 
     def __init__(self, lexicon: Lexicon):
-        self.automata = [a for a in (_automaton(lexicon.own), _automaton(lexicon.folded))]
+        self.automata = _automaton(lexicon.own), _automaton(lexicon.folded)
+        self.segmented = Segmenter()
+
+    def texts(self, column: pa.Array) -> Iterator[tuple[str, str]]:
+        """Texts of a column in segments, in their own case and folded; null is empty."""
+        for text in column.to_pylist():
+            own = self.segmented(text or "")
+            yield own, own.lower()
 
     def segments(self, own: str, folded: str) -> dict[int, int]:
         """Flags by segment, for those that mention anything."""
@@ -133,18 +164,17 @@ def post_flags(
     parts = [lexicon] if isinstance(lexicon, Lexicon) else lexicon
     mask = parts[0].mask
     wanted = [(mask(some), mask(none)) for some, none in conditions]
-    own = posts.select("channel_id", "msg_id", segmented(F.coalesce("message", F.lit(""))).alias("own"))
-    both = own.withColumn("folded", F.lower("own"))
+    texts = posts.select("channel_id", "msg_id", "message")
     kinds = dict(posts.dtypes)
     keys = f"channel_id {kinds['channel_id']}, msg_id {kinds['msg_id']}"
     if len(parts) > 1:
-        return _from_parts(both, parts, wanted, extra, keys)
+        return _from_parts(texts, parts, wanted, extra, keys)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(parts[0])
         for batch in batches:
             flags, held = [], []
-            for text, low in zip(batch.column("own").to_pylist(), batch.column("folded").to_pylist()):
+            for text, low in finder.texts(batch.column("message")):
                 found = set(finder.segments(text, low).values())
                 all_, met = 0, 0
                 for f in found:
@@ -156,7 +186,7 @@ def post_flags(
                 held.append(met)
             yield _batch(batch, flags, held)
 
-    return both.mapInArrow(find, f"{keys}, flags bigint, held bigint")
+    return texts.mapInArrow(find, f"{keys}, flags bigint, held bigint")
 
 
 def _batch(batch: pa.RecordBatch, flags: list[int], held: list[int]) -> pa.RecordBatch:
@@ -164,7 +194,7 @@ def _batch(batch: pa.RecordBatch, flags: list[int], held: list[int]) -> pa.Recor
     return pa.RecordBatch.from_arrays(columns, names=["channel_id", "msg_id", "flags", "held"])
 
 
-def _from_parts(both: DataFrame, parts: list[Lexicon], wanted: list[tuple[int, int]], extra, keys: str) -> DataFrame:
+def _from_parts(texts: DataFrame, parts: list[Lexicon], wanted: list[tuple[int, int]], extra, keys: str) -> DataFrame:
     """One pass per part gives flags per segment; what belongs to no segment has the place -1."""
 
     def pass_(lexicon: Lexicon, more) -> DataFrame:
@@ -172,7 +202,7 @@ def _from_parts(both: DataFrame, parts: list[Lexicon], wanted: list[tuple[int, i
             finder = Finder(lexicon)
             for batch in batches:
                 rows, places, flags = [], [], []
-                for row, (text, low) in enumerate(zip(batch.column("own").to_pylist(), batch.column("folded").to_pylist())):
+                for row, (text, low) in enumerate(finder.texts(batch.column("message"))):
                     found = finder.segments(text, low)
                     found[-1] = lexicon.mask(more(low)) if more else 0
                     rows.extend([row] * len(found))
@@ -184,7 +214,7 @@ def _from_parts(both: DataFrame, parts: list[Lexicon], wanted: list[tuple[int, i
                     names=["channel_id", "msg_id", "place", "flags"],
                 )
 
-        return both.mapInArrow(find, f"{keys}, place int, flags bigint")
+        return texts.mapInArrow(find, f"{keys}, place int, flags bigint")
 
     found = pass_(parts[0], extra)
     for lexicon in parts[1:]:

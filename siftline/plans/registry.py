@@ -1023,16 +1023,28 @@ def paced_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         batches.append(
             scored.select(F.lit(number).alias("batch"), F.col("raw").cast("bigint").alias("slot"))
         )
-    calls = reduce(DataFrame.unionByName, batches)
-    before = F.lag("slot").over(Window.partitionBy("batch").orderBy("slot"))
+    # Gaps within an hour's slots, then between the hours of a batch: no batch is one group.
+    hour = F.floor(F.col("slot") / 3600).alias("hour")
+    slots = reduce(DataFrame.unionByName, batches).groupBy("batch", hour, "slot").agg(F.count("*").alias("n"))
+    before = F.lag("slot").over(Window.partitionBy("batch", "hour").orderBy("slot"))
+    gap = F.when(F.col("n") > 1, F.lit(0).cast("bigint")).otherwise(F.col("slot") - before)
+    hours = slots.withColumn("gap", gap).groupBy("batch", "hour").agg(
+        F.sum("n").alias("calls"),
+        F.count("*").alias("slots"),
+        F.min("gap").alias("gap"),
+        F.min("slot").alias("first"),
+        F.max("slot").alias("last"),
+        F.bit_or(F.call_function("shiftleft", F.lit(1), (F.col("slot") % 4).cast("int"))).alias("lanes"),
+    )
+    between = F.col("first") - F.lag("last").over(Window.partitionBy("batch").orderBy("hour"))
     return (
-        calls.withColumn("gap", F.col("slot") - before)
+        hours.withColumn("between", between)
         .groupBy("batch")
         .agg(
-            F.count("*").alias("calls"),
-            F.count_distinct("slot").alias("slots"),
-            F.min("gap").cast("int").alias("least_gap"),
-            (F.count_distinct(F.col("slot") % 4) == 4).cast("int").alias("lanes_used"),
+            F.sum("calls").alias("calls"),
+            F.sum("slots").alias("slots"),
+            F.least(F.min("gap"), F.min("between")).cast("int").alias("least_gap"),
+            (F.bit_or("lanes") == 15).cast("int").alias("lanes_used"),
         )
     )
 

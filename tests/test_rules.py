@@ -5,7 +5,7 @@ import pytest
 from siftline.operators.lexicon import DEFAULT_LEXICON, GROUPS, Term
 from siftline.operators.lookup import BroadcastBound
 from siftline.operators.rules import rule_hits, rule_screen
-from siftline.operators.terms import lexicon_parts
+from siftline.operators.terms import Segmenter, lexicon_parts
 
 CASES = [
     ("Junior Go developer, remote", None),
@@ -121,6 +121,18 @@ def test_thousands_of_terms(spark):
         rule_hits(posts, [Term(f"g{i}", "x") for i in range(70)])
 
 
+def test_segments_equal_those_of_a_pattern():
+    import regex
+
+    rng = random.Random(4)
+    own = Segmenter()
+    for _ in range(500):
+        text = "".join(rng.choice("aB1+#_ \n,;•|.-é日\u0301\u2003«»½٣\x00\x1c") for _ in range(rng.randrange(40)))
+        words = regex.sub(r"[^\p{L}\p{N}+#\n,;•|]+", " ", text)
+        plain = f" {' '.join(regex.sub(r'[\n,;•|]', ' | ', words).split())} "
+        assert own(text) == plain
+
+
 def test_null_terms_are_left_out(spark):
     rows = [("a", "go", None), (None, "go", False), ("b", None, False), ("c", " ", False), ("d", "*", False)]
     table = spark.createDataFrame(rows, "`group` STRING, text STRING, case_sensitive BOOLEAN")
