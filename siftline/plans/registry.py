@@ -32,6 +32,7 @@ from siftline.sources.channels import watch_ids
 from siftline.sources.posts import parse_posts, read_live
 from siftline.sources.progress import SweepState
 from siftline.streaming.live import live_posts, start_live
+from siftline.streaming.retries import settle, start_retries
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -1186,6 +1187,11 @@ def live_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents as a stream, drained; the match log read back."""
+    sinks = _drained(spark, sf_dir, "live")
+    return _zoneless(read_match_log(spark, sinks.match_log))
+
+
+def _drained(spark: SparkSession, sf_dir: str, name: str, keep_failed: bool = False) -> SinkPaths:
     schema = "doc_id BIGINT, text STRING, source STRING"
     # A pattern, since a stream takes no single file as its folder.
     stream = read_live(spark, f"{sf_dir}/[d]ocuments.parquet", schema)
@@ -1194,7 +1200,7 @@ def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("doc_id").alias("msg_id"),
         F.col("text").alias("message"),
     ).join(T.updates(spark, sf_dir), "msg_id")
-    sinks = _sinks(spark, "live")
+    sinks = _sinks(spark, name)
     running = start_live(
         posts,
         C.joined_only(T.channels(spark, sf_dir)),
@@ -1202,14 +1208,59 @@ def stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
         _live_params(),
         sinks,
         length_scorer,
-        checkpoint=scratch_path(spark, "live-checkpoint"),
-        name="live",
+        checkpoint=scratch_path(spark, f"{name}-checkpoint"),
+        name=name,
         trigger={"availableNow": True},
         as_of=C.ntz(SINCE),
         until=SINCE,
         time=_utc_time(),
+        keep_failed=keep_failed,
     )
     running.awaitTermination()
+    return sinks
+
+
+def _half_mended_scorer(system: str):
+    """The stand-in model, up again but for every seventh length."""
+
+    def reply(text: str) -> str:
+        if len(text) % 7 == 0:
+            raise CallFailed(503, "service unavailable")
+        return f'{{"match": true, "reason": "later, {len(text)} characters"}}'
+
+    return reply
+
+
+LIVE_SCORED_SQL = f"""SELECT v.*, length({trimmed('message')}) AS n FROM ({scored_sql(LIVE_POSTS_SQL)}) AS v
+  JOIN ({T.TEXTS_SQL}) AS t USING (channel_id, msg_id)"""
+
+
+@query(
+    log_sql(
+        f"""SELECT * FROM (SELECT channel_id, msg_id, coalesce(reason, 'later, ' || n || ' characters') AS reason
+          FROM ({LIVE_SCORED_SQL}) AS w WHERE "match" OR (error IS NOT NULL AND n % 7 <> 0)) AS y
+        JOIN ({JOINED_SQL}) AS r USING (channel_id)""",
+        "live",
+    )
+)
+def retried_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed posts of the live flow wait in keyed state, are tried again, and are logged once."""
+    sinks = _drained(spark, sf_dir, "retried-live", keep_failed=True)
+    running = start_retries(
+        spark,
+        C.joined_only(T.channels(spark, sf_dir)),
+        _live_params(),
+        sinks,
+        _half_mended_scorer,
+        checkpoint=scratch_path(spark, "retries-checkpoint"),
+        name="retries",
+        trigger={"processingTime": "200 milliseconds"},
+        time=_utc_time(),
+        attempts=2,
+        wait_scale=0.01,
+    )
+    if not settle(running, 600):
+        raise RuntimeError("posts are still waiting")
     return _zoneless(read_match_log(spark, sinks.match_log))
 
 

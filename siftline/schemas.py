@@ -13,6 +13,7 @@ VERDICTS = (
     f"channel_id BIGINT, msg_id BIGINT, model STRING, raw STRING, calls {CALLS}, "
     "match BOOLEAN, reason STRING, error STRING, message STRING"
 )
+FAILED = "channel_id BIGINT, msg_id BIGINT, message STRING, attempt INT, wait_us BIGINT"
 MATCHES = (
     "time TIMESTAMP, channel_id BIGINT, channel STRING, msg_id BIGINT, "
     "reason STRING, link STRING, source STRING"

@@ -23,6 +23,7 @@ from siftline.operators.verdicts import KEY, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
 from siftline.sources.progress import Span
+from siftline.streaming.retries import write_failed_once
 
 
 def live_posts(
@@ -63,6 +64,7 @@ def start_live(
     catch_up: Span | None = None,
     swept: DataFrame | None = None,
     swept_until: dt.datetime | None = None,
+    keep_failed: bool = False,
 ) -> StreamingQuery:
     """Start the stream, to be restarted from the same ``checkpoint``.
 
@@ -71,7 +73,8 @@ def start_live(
     rows added since the start.
 
     Each batch scores its posts once into the verdict table and reads them
-    back; a batch repeated after a failure replaces its own parts.
+    back; a batch repeated after a failure replaces its own parts. With
+    ``keep_failed`` failed posts are left for ``streaming.retries``.
     """
     policy = policy or CallPolicy(rpm=params.rpm)
 
@@ -97,6 +100,8 @@ def start_live(
         verdicts = verdicts_once(session, f"{sinks.verdicts}/{part}", score)
         dim = channels() if callable(channels) else channels
         deliver(verdicts, dim, params, sinks, K.SOURCE_LIVE, part, time)
+        if keep_failed:
+            write_failed_once(verdicts, sinks, part)
 
     writer = (
         live_posts(posts, watch, params, as_of, until, catch_up)

@@ -3,6 +3,7 @@
 import datetime as dt
 import json
 import sys
+import time
 import uuid
 
 import pytest
@@ -20,12 +21,13 @@ from siftline.operators.verdicts import read_verdicts
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.plans import backfill as B
 from siftline.plans.job import run_job
-from siftline.sinks.tables import read_match_log, read_outbox, write_match_log
+from siftline.sinks.tables import read_match_log, read_outbox, write_match_log, write_part
 from siftline.sources.channels import read_channels
 from siftline.sources.posts import read_history, read_live, write_posts_by_day
 from siftline.sources.progress import BUCKETS, SweepState
 from siftline.streaming import live as live_module
 from siftline.streaming.live import live_posts, start_live
+from siftline.streaming.retries import failed_rows, failed_table, settle, start_retries
 
 # The workers do not have the tests on their path.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -650,3 +652,44 @@ def test_batch_cut_off_after_scoring_makes_no_call_twice(spark, tmp_path, monkey
     # Another checkpoint is another stream: its batch 0 is its own.
     drain(scorer, "other")
     assert log_rows(spark, sinks) == sorted(want * 2)
+
+
+def test_failed_posts_wait_out_a_restart_and_come_once(spark, tmp_path):
+    sinks, held = sinks_at(tmp_path), str(tmp_path / "checkpoint")
+    rows = [(10, i, "yes fail" if i % 3 == 0 else "yes", 1, 12_000_000) for i in range(1, 7)]
+    failed = spark.createDataFrame(rows, schemas.FAILED)
+    write_part(failed, failed_table(sinks), "stream=a/batch=0")
+    params = ScreeningParams(model=MODEL, rpm=0)
+
+    def start():
+        return start_retries(
+            spark, make_channels(spark), params, sinks, scorer, held, "retries", UNPACED,
+            {"processingTime": "200 milliseconds"}, attempts=2, pause_s=1,
+        )
+
+    def waiting(query):
+        progress = query.lastProgress
+        return sum(s.numRowsTotal for s in progress.stateOperators) if progress else 0
+
+    query = start()
+    while not waiting(query):
+        time.sleep(0.1)
+    query.stop()
+    assert log_rows(spark, sinks) == []
+    # The batch that wrote them is done again.
+    write_part(failed, failed_table(sinks), "stream=a/batch=0-again")
+    assert settle(start(), 200)
+    tried = read_verdicts(spark, sinks.verdicts).groupBy("msg_id").count().collect()
+    # Two tries of those that fail: attempt 1 and attempt 2.
+    assert {r.msg_id: r["count"] for r in tried} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2}
+    assert log_rows(spark, sinks) == [(10, i, "live") for i in (1, 2, 4, 5)]
+
+
+def test_waits_of_failed_posts(spark):
+    calls = [(0, 429, "retry in 7s", 0)], [(0, 503, "down", 0)], [(0, 429, "slow", 0)]
+    errors = (K.ERR_QUOTA, K.ERR_CALL_FAILED, K.ERR_QUOTA)
+    rows = [(1, i, MODEL, None, c, None, None, e, "text") for i, (c, e) in enumerate(zip(calls, errors))]
+    rows.append((1, 9, MODEL, "{}", [], False, "", None, None))
+    verdicts = spark.createDataFrame(rows, schemas.VERDICTS)
+    got = {r.msg_id: (r.attempt, r.wait_us) for r in failed_rows(verdicts, F.lit(2), pause_s=5).collect()}
+    assert got == {0: (2, 8_000_000), 1: (2, 5_000_000), 2: (2, 81_000_000)}

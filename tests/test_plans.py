@@ -9,7 +9,7 @@ from siftline.operators import screen as C
 from siftline.plans.registry import QUERIES, SINCE, UNTIL
 
 SF_DIR = "/root/testdata/sf0.001"
-WRITERS = {"outbox", "match_log", "stream_matches", "backfill_matches", "progress_marks", "sweep_summary", "sweep_totals", "resumed_sweep", "retried_sweep"}
+WRITERS = {"outbox", "match_log", "stream_matches", "backfill_matches", "progress_marks", "sweep_summary", "sweep_totals", "resumed_sweep", "retried_sweep", "retried_stream"}
 ROW_LOCAL = (
     "verdicts", "two_line_verdicts", "json_verdicts", "page_objects", "rule_screening",
     "lexicon_hits", "scored_posts", "excerpts", "diagnostics", "prompt_requests",
