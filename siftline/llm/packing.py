@@ -18,7 +18,7 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import chain, islice
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from siftline.llm.common import slices, store
 CAPACITY = 2048
 END_ID = 0
 #: Distinct words whose ids a task keeps; beyond it the memory starts anew.
-KEPT_WORDS = 200_000
+KEPT_WORDS = 400_000
 #: Pieces of one length that are ranked in one group.
 GROUP_ROWS = 256
 
@@ -41,18 +41,51 @@ PIECES = (
 #: The steps by which a word vocabulary of this kind cuts a text into pre-tokens.
 WORD_STEPS = (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"])
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: A word that such steps cut in two at most: small Latin letters, then ASCII marks.
-LETTERS_THEN_MARKS = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+)([!-&(-/:-@\[-`{-~]*)")
-#: Letter runs that are tokenised in one call, blanks between them.
-JOINED = 200
+#: Words, each with a line end, that such steps cut in two at most: small Latin letters, then ASCII marks.
+#: (In UTF-8 no byte of the class but the first of a letter's two can precede its second.)
+CUT = re.compile(rb"([a-z\xc3\x9f-\xb6\xb8-\xbf]+)([!-&(-/:-@\[-`{-~]*)\n|([^\n]*)\n")
+#: Small letters whose capital, 0x20 below in the last byte, is no small letter: all but sharp s and y with two dots.
+ENDINGS = frozenset([*range(0x61, 0x7B), *range(0xA0, 0xB7), *range(0xB8, 0xBF)])
 
 
-class _Index(dict):
-    """Numbers of words in order of arrival."""
+class LetterMerges:
+    """Ids of words of small Latin letters, very many in one call, by the vocabulary's own merges.
 
-    def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self)
-        return number
+    Such a vocabulary knows a word's last byte as a symbol of its own. Words
+    here hold no capitals, so the capital of the last letter stands for that
+    symbol, and a rank of merges over bytes gives the same ids: rank and id
+    rise alike, and every entry is the encoding of itself.
+    """
+
+    def __init__(self, vocabulary: dict[str, int], suffix: str):
+        import tiktoken
+
+        plain, of_letter = frozenset([*range(0x61, 0x7B), 0xC3, *range(0x9F, 0xC0)]), _byte_letters()
+        ranks = {}
+        for token, number in vocabulary.items():
+            ended = token.endswith(suffix)
+            letters = token.removesuffix(suffix) if ended else token
+            data = bytearray(of_letter.get(c, 0) for c in letters)
+            if not data or not plain.issuperset(data) or (ended and data[-1] not in ENDINGS):
+                continue
+            if ended:
+                data[-1] -= 0x20
+            ranks[bytes(data)] = number
+        self.encoding = tiktoken.Encoding("letters", pat_str=r"[^\n]+", mergeable_ranks=ranks, special_tokens={})
+
+    def ids(self, words: list[bytes]) -> np.ndarray:
+        """Ids of words one after another; each must end in one of ``ENDINGS``."""
+        data = bytearray(b"\n".join([*words, b""]))
+        view = np.frombuffer(data, np.uint8)
+        view[np.flatnonzero(view == 0x0A) - 1] -= 0x20
+        return np.array(self.encoding.encode_ordinary(data.decode()), np.int64)
+
+
+def _byte_letters() -> dict[str, int]:
+    """Bytes by the letter that stands for each: itself if it can be seen, else from U+0100 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = iter(range(0x100, 0x200))
+    return {chr(b) if b in seen else chr(next(hidden)): b for b in range(256)}
 
 
 class WordIds:
@@ -69,48 +102,63 @@ class WordIds:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        steps = json.loads(self.tokenizer.to_str())
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
         cuts = [
             [step["type"] for step in (steps[part] or {}).get(inner, ())]
             for part, inner in (("normalizer", "normalizers"), ("pre_tokenizer", "pretokenizers"))
         ]
         split = steps["pre_tokenizer"]["pretokenizers"][0] if cuts[1] else {}
+        suffix = steps["model"].get("end_of_word_suffix")
         self.by_word = (
-            cuts == list(WORD_STEPS)
-            and split["pattern"] == {"Regex": WORD_PATTERN}
-            and bool(steps["model"].get("end_of_word_suffix"))
+            cuts == list(WORD_STEPS) and split["pattern"] == {"Regex": WORD_PATTERN} and bool(suffix)
         )
         if self.by_word:
-            suffix = steps["model"]["end_of_word_suffix"]
-            vocabulary = self.tokenizer.get_vocab()
-            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            vocabulary = steps["model"]["vocab"]
+            merged = [m if isinstance(m, str) else " ".join(m) for m in steps["model"]["merges"]]
+            numbers = [vocabulary[m.replace(" ", "")] for m in merged]
+            rising = all(a < b for a, b in zip(numbers, numbers[1:]))
+            self.letters = LetterMerges(vocabulary, suffix) if rising else None
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
             self._clear()
 
     def _clear(self) -> None:
-        self.index = _Index()
-        self.parts: dict[bytes, list[int]] = {b"": []}
+        # Words are one or two parts; parts have their ids one after another. Part 0 is empty.
+        self.index: dict[bytes, int] = {}
+        self.halves = np.zeros((0, 2), np.int64)
+        self.parts: dict[bytes, int] = {b"": 0}
         self.ids = np.zeros(0, np.int64)
-        self.begin = np.zeros(0, np.int64)
-        self.count = np.zeros(0, np.int64)
+        self.begin = np.zeros(1, np.int64)
+        self.count = np.zeros(1, np.int64)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, words: list[bytes]) -> None:
-        cut = [(m.groups() if (m := LETTERS_THEN_MARKS.fullmatch(w)) else (b"", w)) for w in words]
-        letters = list({a for a, _ in cut if a not in self.parts})
-        groups = [letters[i : i + JOINED] for i in range(0, len(letters), JOINED)]
-        for group, ids in zip(groups, self._whole([b" ".join(g).decode() for g in groups])):
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            self.parts.update(zip(group, (ids[a:b] for a, b in zip([0, *stops], stops))))
-        others = list({b for _, b in cut if b not in self.parts})
-        self.parts.update(zip(others, self._whole([o.decode() for o in others])))
-        found = [self.parts[a] + self.parts[b] if a and b else self.parts[a or b] for a, b in cut]
-        count = np.fromiter(map(len, found), np.int64, len(found))
+    def _keep_parts(self, parts: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        self.parts.update(zip(parts, range(len(self.parts), len(self.parts) + len(parts))))
         self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(count) - count])
         self.count = np.concatenate([self.count, count])
-        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(found), np.int64)])
+        self.ids = np.concatenate([self.ids, ids])
+
+    def _learn(self, words: list[bytes]) -> None:
+        cut = CUT.findall(b"\n".join([*words, b""]))
+        first = [a or other for a, _, other in cut]
+        second = [b for _, b, _ in cut]
+        fresh = {a for a, _, _ in cut if a and a[-1] in ENDINGS} if self.letters else set()
+        letters = list(fresh.difference(self.parts))
+        if letters:
+            ids = self.letters.ids(letters)
+            self._keep_parts(letters, ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1))
+        others = list({*first, *second}.difference(self.parts))
+        if others:
+            found = self._whole([o.decode() for o in others])
+            count = np.fromiter(map(len, found), np.int64, len(found))
+            self._keep_parts(others, np.fromiter(chain.from_iterable(found), np.int64, count.sum()), count)
+        number = self.parts.__getitem__
+        halves = [np.fromiter(map(number, half), np.int64, len(cut)) for half in (first, second)]
+        self.index.update(zip(words, range(len(self.index), len(self.index) + len(words))))
+        self.halves = np.concatenate([self.halves, np.stack(halves, axis=1)])
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         if not self.by_word:
@@ -119,15 +167,19 @@ class WordIds:
             self._clear()
         words = [(t if b"<|" in t else t.lower()).split() for t in texts]
         sizes = [len(each) for each in words]
-        known = len(self.index)
-        at = np.fromiter(map(self.index.__getitem__, chain.from_iterable(words)), np.int64, sum(sizes))
-        if len(self.index) > known:
-            self._learn(list(islice(self.index, known, None)))
-        count = self.count[at]
+        flat = list(chain.from_iterable(words))
+        number = np.fromiter(map(self.index.get, flat, repeat(-1)), np.int64, len(flat))
+        missing = np.flatnonzero(number < 0)
+        if len(missing):
+            new = [flat[i] for i in missing.tolist()]
+            self._learn(list(set(new)))
+            number[missing] = np.fromiter(map(self.index.__getitem__, new), np.int64, len(new))
+        parts = self.halves[number].reshape(-1)
+        count = self.count[parts]
         ends = np.cumsum(count)
-        taken = np.repeat(self.begin[at] - (ends - count), count)
+        taken = np.repeat(self.begin[parts] - (ends - count), count)
         ids = self.ids[taken + np.arange(len(taken))].astype(np.uint32)
-        bounds = np.concatenate([[0], ends])[np.cumsum([0, *sizes])]
+        bounds = np.concatenate([[0], ends[1::2]])[np.cumsum([0, *sizes])]
         return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
 
 

@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings, strategies as st
 from tokenizers import Tokenizer
 
-from siftline.llm.packing import WordIds, pack, plan_packing
+from siftline.llm.packing import ENDINGS, WordIds, pack, plan_packing
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", "  ", "A<|endoftext|>B <|EndofText|> x", "é ́a\x1cb\x85Q I'LL 12ab ÀÉ İ ΣΑΣ ΑΣ\n\n\tok", "don't　we'VE"]
@@ -31,6 +31,20 @@ def test_word_memory_equals_whole_texts(name):
     assert got == [whole.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_letter_merges_equal_the_library():
+    rng = random.Random(5)
+    own = WordIds(PATH)
+    letters = "abcdefghijklmnopqrstuvwxyz" * 3 + "aeiourstn" * 9 + "ßàáâäçèéêëíñóöüÿ"
+    words = {"".join(rng.choice(letters) for _ in range(rng.randrange(1, 14))) for _ in range(60_000)}
+    # Every entry of the vocabulary is the encoding of itself.
+    words |= {t[:-4] for t in own.tokenizer.get_vocab() if t.endswith("</w>") and t[:-4].isascii() and t[:-4].isalpha()}
+    words = sorted(words)
+    whole = [e.ids for e in own.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    assert [ids.tolist() for ids in own.encode([w.encode() for w in words])] == whole
+    known = [w.encode() for w in words if w.encode()[-1] in ENDINGS]
+    assert own.letters.ids(known).tolist() == [i for w, ids in zip(words, whole) if w.encode()[-1] in ENDINGS for i in ids]
+
+
 def least_sequences(counts, capacity):
     """Sequences that pieces above a third of the capacity need, two to one at most and the longest first."""
     large = sorted(s for s, n in counts.items() for _ in range(n) if 3 * s > capacity)
