@@ -52,14 +52,13 @@ def _anchor_words(length: int) -> int:
     return length // 2 + 1
 
 
-def _anchors(words: WordRuns, digests: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows' first words, the places of their anchors, and a hash of the run at every place.
+def _anchors(words: WordRuns, runs: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows' first words, the places of their anchors, and the hash (one of ``runs``) at every place.
 
     Of equal hashes in a window the first counts, so equal windows agree.
     """
     size = _anchor_words(length)
     starts = words.run_starts(length)
-    runs = run_hashes(digests, size)
     hashes = np.zeros(len(words), np.uint64)
     hashes[: len(runs)] = runs
     if not len(starts):
@@ -91,7 +90,8 @@ def repeat_sketch(texts: DataFrame, length: int = LENGTH) -> np.ndarray | None:
         for batch in batches:
             for _, held in slices(batch.column("text"), HELD_BYTES):
                 words = WordRuns(held)
-                _, places, hashes = _anchors(words, memory.of(words)[0], length)
+                (runs,) = run_hashes(memory.of(words)[0], _anchor_words(length))
+                _, places, hashes = _anchors(words, runs, length)
                 parts.append(hashes[places[np.diff(places, prepend=-1) != 0]])
         hashes = np.concatenate(parts)
         for row in range(SKETCH_ROWS):
@@ -194,13 +194,14 @@ def _suspect_windows(keyed: DataFrame, sketch: np.ndarray, length: int) -> DataF
             for first, held in slices(batch.column("text"), HELD_BYTES):
                 words = WordRuns(held)
                 digests = memory.of(words)
-                starts, places, hashes = _anchors(words, digests[0], length)
+                runs, window = run_hashes(digests[0], _anchor_words(length), length)
+                starts, places, hashes = _anchors(words, runs, length)
                 anchors = np.flatnonzero(np.diff(places, prepend=-1))
                 passes = np.repeat(
                     _suspects(shared.value, hashes[places[anchors]]), np.diff(np.append(anchors, len(places)))
                 )
                 starts, places = starts[passes], places[passes]
-                window = np.stack([run_hashes(d, length)[starts] for d in digests], axis=1)
+                window = np.stack([window[starts], run_hashes(digests[1], length)[0][starts]], axis=1)
                 text = np.searchsorted(words.first, starts, "right") - 1
                 parts.append((text + first, starts - words.first[text], places - starts, hashes[places], window))
                 n += len(starts)

@@ -43,7 +43,7 @@ class WordRuns:
 class WordDigests(dict):
     """128-bit digests of words, each distinct word hashed once; beyond ``limit`` words it starts anew."""
 
-    def __init__(self, limit: int = 1 << 17):
+    def __init__(self, limit: int = 1 << 18):
         super().__init__()
         self.limit = limit
 
@@ -61,20 +61,23 @@ class WordDigests(dict):
 
 def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mixed(a + mixed(b ^ np.uint64(0x9E3779B97F4A7C15)))
+        return mixed(a * np.uint64(0x9E3779B97F4A7C15) + b)
 
 
-def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
-    """Hash of ``words[i : i + size]`` for every ``i``: hashes of halves are hashed again, by doubling.
+def run_hashes(words: np.ndarray, *sizes: int) -> list[np.ndarray]:
+    """Per size the hash of ``words[i : i + size]`` for every ``i``; sizes rise.
 
-    No step is linear, so texts built to meet in sums or polynomials do not meet here.
+    Hashes of halves are hashed again, by doubling. Every level is mixed, so
+    texts built to meet in sums or polynomials do not meet here.
     """
-    have, out = 1, words
-    while have * 2 <= size:
-        out = _joined(out[: max(0, len(out) - have)], out[have:])
-        have *= 2
-    rest = size - have
-    return _joined(out[: max(0, len(out) - rest)], out[rest:]) if rest else out
+    have, out, found = 1, words, []
+    for size in sizes:
+        while have * 2 <= size:
+            out = _joined(out[: max(0, len(out) - have)], out[have:])
+            have *= 2
+        rest = size - have
+        found.append(_joined(out[: max(0, len(out) - rest)], out[rest:]) if rest else out)
+    return found
 
 
 def mixed(x: np.ndarray) -> np.ndarray:

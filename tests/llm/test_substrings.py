@@ -94,7 +94,7 @@ def test_word_runs_and_hashes():
     assert np.diff(words.first).tolist() == [0, 3, 0, 3, 3]
     assert words.letters.tobytes() == b"a bc d a bc d bc d e "
     starts = words.run_starts(2)
-    found = run_hashes(WordDigests().of(words)[0], 2)[starts]
+    found = run_hashes(WordDigests().of(words)[0], 2)[0][starts]
     spelled = [words.letters[words.bounds[s] : words.bounds[s + 2]].tobytes() for s in starts]
     assert len(set(found.tolist())) == len(set(spelled)) == 3
     assert all((a == b) == (x == y) for a, x in zip(found, spelled) for b, y in zip(found, spelled))
@@ -129,7 +129,8 @@ def test_runs_of_any_length_tell_words_apart():
     for size in range(1, 17):
         runs = [tuple(spelled[i : i + size]) for i in range(len(spelled) - size + 1)]
         for lane in digests:
-            found = run_hashes(lane, size).tolist()
+            found = run_hashes(lane, size)[0].tolist()
+            assert [h.tolist() for h in run_hashes(lane, (size + 1) // 2, size)][1] == found
             assert len(found) == len(runs) and len(set(zip(found, runs))) == len(set(runs)) == len(set(found))
 
 
