@@ -265,8 +265,13 @@ def quality_scores(
 def good_documents(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, class_prior: float | None = None
 ) -> DataFrame:
-    """``docs`` that score ``threshold`` or more; texts are measured again where they lie, not joined."""
+    """``docs`` that score ``threshold`` or more; texts are measured again where they lie, not joined.
+
+    Without any trusted positive there is no classifier that could reject anything: all documents stay.
+    """
     _, model = _learnt(docs, labels, class_prior)
+    if model is None:
+        return docs
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
