@@ -6,8 +6,10 @@ positives in them (the class prior),
 
     risk = prior * mean_P[log(1 + e^-g)] + max(0, mean_U[log(1 + e^g)] - prior * mean_P[log(1 + e^g)])
 
-No label but trusted positives enters it. While the second part is above
-zero, the risk is convex and Newton steps find its minimum; a step that would
+No label but trusted positives enters it, nor the class prior: that is read
+off the scores of a first fit, as the least share of unlabelled over positive
+documents above any score, where a bound on its error is least (best bin).
+While the second part is above zero, the risk is convex and Newton steps find its minimum; a step that would
 push it below zero is shortened, as that is where a model starts to fit the
 positives by heart. Every step sums over all documents where they lie, and
 brings a few hundred numbers to the driver.
@@ -30,6 +32,10 @@ RIDGE = 1e-3
 MOST_STEPS = 25
 #: Tasks that add up the sums of the others.
 SUMMING = 16
+#: Steps of the scale of scores, in log odds, on which the class prior is read off.
+LEVELS, SPAN = 2048, 16.0
+#: The prior of the first fit, whose ranks alone are used.
+FIRST_PRIOR = 0.5
 
 _CLASSES = {
     "upper": range(0x41, 0x5B),
@@ -113,9 +119,11 @@ class QualityModel:
     prior: float
     risk: tuple[float, float]
 
+    def log_odds(self, rows: np.ndarray) -> np.ndarray:
+        return np.clip((rows - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
+
     def scores(self, rows: np.ndarray) -> np.ndarray:
-        z = np.clip((rows - self.mean) / self.scale, -8, 8) @ self.weights[:-1] + self.weights[-1]
-        return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        return 1 / (1 + np.exp(-np.clip(self.log_odds(rows), -500, 500)))
 
 
 def _summed(rows: DataFrame, width: int, sums) -> np.ndarray:
@@ -209,11 +217,28 @@ def fit(rows: DataFrame, prior: float) -> QualityModel | None:
     return QualityModel(mean, scale, weights, prior, (positive_risk, negative_risk))
 
 
-def estimated_prior(labels: DataFrame) -> float:
-    """Share of positives among the labels that may be learnt from, kept off 0 and 1."""
-    learnt = labels.where(~held_out(F.col("doc_id")) & F.col("quality").isNotNull())
-    n, good = learnt.agg(F.count("*"), F.count_if(F.col("quality") == 1)).first()
-    return min(0.98, max(0.02, (good + 0.5) / (n + 1)))
+def estimated_prior(rows: DataFrame, model: QualityModel) -> float:
+    """Share of positives in all rows, from how ``model`` ranks trusted positives and all rows.
+
+    Above any score, all rows hold at least the prior times the share of the
+    positives there. So the least ratio of both shares bounds the prior, and
+    meets it where no other rows lie. The score taken is that with the least
+    upper bound, so that thin tails do not decide. Kept off 0 and 1.
+    """
+
+    def sums(x: np.ndarray, positives: np.ndarray) -> np.ndarray:
+        level = (model.log_odds(x) + SPAN) * (LEVELS / (2 * SPAN))
+        level = np.clip(np.floor(level), 0, LEVELS - 1).astype(int)
+        return np.concatenate([np.bincount(level, w, LEVELS) for w in (None, positives)])
+
+    counts = _summed(rows, 2 * LEVELS, sums).reshape(2, LEVELS)
+    totals = counts.sum(1)
+    everything, positive = np.cumsum(counts[:, ::-1], 1) / totals[:, None]
+    noise = sum(np.sqrt(np.log(40) / (2 * n)) for n in totals)
+    some = positive > 0
+    ratios = everything[some] / positive[some]
+    best = np.argmin(ratios + noise / positive[some])
+    return round(min(0.98, max(0.02, ratios[best])), 4)
 
 
 def _learnt(docs: DataFrame, labels: DataFrame, class_prior: float | None) -> tuple[DataFrame, QualityModel | None]:
@@ -228,8 +253,10 @@ def _learnt(docs: DataFrame, labels: DataFrame, class_prior: float | None) -> tu
         ),
         "measures",
     )
-    prior = estimated_prior(labels) if class_prior is None else class_prior
-    return rows, fit(rows, prior)
+    if class_prior is not None:
+        return rows, fit(rows, class_prior)
+    first = fit(rows, FIRST_PRIOR)
+    return rows, first and fit(rows, estimated_prior(rows, first))
 
 
 def _scores(model: QualityModel | None, rows: np.ndarray) -> np.ndarray:

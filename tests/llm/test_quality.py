@@ -113,3 +113,31 @@ def test_risk_equals_a_plain_minimisation(spark):
     # A prior far too high: the plain minimum has a negative risk below 0, the model must not go there.
     held = quality.fit(rows, 0.95)
     assert plain_fit(x, positives, 0.95, quality.RIDGE, newton=False)[1] < 0 <= held.risk[1]
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.8])
+def test_prior_without_labels_of_the_other_class(spark, share):
+    from siftline.llm import quality
+
+    rng = np.random.default_rng(11)
+    n = 6000
+    good = rng.random(n) < share
+    x = rng.normal(size=(n, WIDTH)) + np.outer(good, np.linspace(0.5, 1.2, WIDTH))
+    positives = (good & (rng.random(n) < 0.3)).astype(float)
+    rows = spark.createDataFrame(
+        [(i, x[i].tolist(), float(positives[i])) for i in range(n)], "doc_id long, measures array<double>, positives double"
+    ).repartition(3)
+    found = quality.estimated_prior(rows, quality.fit(rows, quality.FIRST_PRIOR))
+    assert abs(found - good.mean()) < 0.05
+
+
+def test_prior_of_the_documents(spark, scored):
+    """The documents' own share of ones, which the estimate has not seen; labels of class 0 change nothing."""
+    docs, labels = table(spark, SF_DIR, "documents"), table(spark, SF_DIR, "labels")
+    ones = quality_scores(docs, labels.where("quality = 1")).toPandas().merge(scored, on="doc_id")
+    assert np.allclose(ones.score_x, ones.score_y, atol=1e-6)
+    from siftline.llm import quality
+
+    rows, model = quality._learnt(docs, labels, None)
+    share = labels.where("quality is not null").agg(F.avg("quality")).first()[0]
+    assert abs(model.prior - share) < 0.05, (model.prior, share)
