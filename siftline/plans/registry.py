@@ -28,10 +28,16 @@ from siftline.plans import tables as T
 from siftline.plans.backfill import backfill, sweep_verdicts
 from siftline.session import scratch_path
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log, write_part
-from siftline.sources.channels import watch_ids
-from siftline.sources.posts import parse_posts, read_live
+from siftline.sources.channels import read_channels, watch_ids
+from siftline.sources.posts import (
+    parse_posts,
+    read_history,
+    read_live,
+    read_live_json,
+    write_posts_by_day,
+)
 from siftline.sources.progress import SweepState
-from siftline.streaming.live import live_posts, start_live
+from siftline.streaming.live import live_posts, malformed_table, start_live
 from siftline.streaming.retries import settle, start_retries
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -243,6 +249,18 @@ def history_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    f"""SELECT channel_id, msg_id, date, message FROM ({T.POSTS_SQL}) AS p
+    WHERE kind = 'message' AND {RANGE}"""
+)
+def history_by_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All posts stored by day, the range read back."""
+    path = scratch_path(spark, "by-day")
+    write_posts_by_day(T.posts(spark, sf_dir), path)
+    kept = read_history(spark, path, SINCE, UNTIL)
+    return kept.select("channel_id", "msg_id", "date", "message")
+
+
 @query(
     f"""SELECT channel_id, msg_id, date FROM ({T.POSTS_SQL}) AS p
     WHERE date_trunc('second', date) >= TIMESTAMP '2024-01-02' - INTERVAL 900 SECOND"""
@@ -292,6 +310,14 @@ def oldest_first(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- Channel dimension ---------------------------------------------------------
 
 
+@query(f"SELECT * FROM ({T.CHANNELS_SQL}) AS c WHERE channel_id IN ({T.WATCH_SQL})")
+def account_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S3: the stored channels, those of the watch list."""
+    path = scratch_path(spark, "channels")
+    T.channels(spark, sf_dir).write.parquet(path)
+    return read_channels(spark, path, T.watch(spark, sf_dir))
+
+
 @query(RESOLVED_SQL)
 def channels_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """S3, J2, F9."""
@@ -1201,6 +1227,21 @@ def _drained(spark: SparkSession, sf_dir: str, name: str, keep_failed: bool = Fa
         F.col("text").alias("message"),
     ).join(T.updates(spark, sf_dir), "msg_id")
     sinks = _sinks(spark, name)
+    checkpoint = scratch_path(spark, f"{name}-checkpoint")
+    _drain(spark, sf_dir, name, posts, sinks, checkpoint, keep_failed)
+    return sinks
+
+
+def _drain(
+    spark: SparkSession,
+    sf_dir: str,
+    name: str,
+    posts: DataFrame,
+    sinks: SinkPaths,
+    checkpoint: str,
+    keep_failed: bool = False,
+) -> None:
+    """Run the live flow until nothing is left of the stream."""
     running = start_live(
         posts,
         C.joined_only(T.channels(spark, sf_dir)),
@@ -1208,7 +1249,7 @@ def _drained(spark: SparkSession, sf_dir: str, name: str, keep_failed: bool = Fa
         _live_params(),
         sinks,
         length_scorer,
-        checkpoint=scratch_path(spark, f"{name}-checkpoint"),
+        checkpoint=checkpoint,
         name=name,
         trigger={"availableNow": True},
         as_of=C.ntz(SINCE),
@@ -1217,9 +1258,50 @@ def _drained(spark: SparkSession, sf_dir: str, name: str, keep_failed: bool = Fa
         keep_failed=keep_failed,
     )
     running.awaitTermination()
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> SinkPaths:
+    """The posts as JSON lines, a fifth of them cut off, in two loads; the flow is restarted for the second."""
+    posts = T.posts(spark, sf_dir)
+    whole = F.to_json(
+        F.struct("channel_id", "msg_id", "kind", "peer_kind", "message", "date"),
+        {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
+    )
+    cut = F.concat(F.lit('{"msg_id":'), "msg_id", F.lit(',"message":'))
+    lines = posts.select(
+        (F.col("msg_id") % 2).alias("load"), F.when(F.col("msg_id") % 5 == 0, cut).otherwise(whole).alias("value")
+    )
+    path, checkpoint = scratch_path(spark, "lines"), scratch_path(spark, "lines-checkpoint")
+    sinks = _sinks(spark, "lines")
+    for load in (0, 1):
+        lines.where(F.col("load") == load).select("value").write.mode("append").text(path)
+        _drain(spark, sf_dir, "lines", read_live_json(spark, path), sinks, checkpoint)
     return sinks
 
 
+@query(
+    log_sql(
+        f"""SELECT * FROM (SELECT channel_id, msg_id, reason
+          FROM ({scored_sql(LIVE_POSTS_SQL + " AND msg_id % 5 <> 0")}) AS v WHERE "match") AS y
+        JOIN ({JOINED_SQL}) AS r USING (channel_id)""",
+        "live",
+    )
+)
+def json_stream_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches among JSON lines that came in two loads, the flow restarted between them."""
+    return _zoneless(read_match_log(spark, _json_lines(spark, sf_dir).match_log))
+
+
+@query(
+    f"""SELECT '{{"msg_id":' || msg_id || ',"message":' AS malformed
+    FROM ({T.POSTS_SQL}) AS p WHERE msg_id % 5 = 0"""
+)
+def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the same stream that are no posts, each kept once."""
+    reader = spark.read.schema("malformed STRING").option("recursiveFileLookup", "true")
+    return reader.parquet(malformed_table(_json_lines(spark, sf_dir)))
+
+
 def _half_mended_scorer(system: str):
     """The stand-in model, up again but for every seventh length."""
 

@@ -41,8 +41,8 @@ def read_live(
 def parse_posts(raw: DataFrame) -> DataFrame:
     """``value`` (JSON posts) to posts with ``malformed``: the text of a row without a post key.
 
-    Malformed rows have no ``kind``, so every filter of the flows drops them;
-    keep those with ``malformed`` apart before.
+    Malformed rows have no ``kind``, so every filter of the flows drops them.
+    The live flow stores them apart; elsewhere take those with ``malformed`` out before.
     """
     text = F.col("value").cast("string")
     parsed = raw.select(text.alias("_text"), F.from_json(text, schemas.POSTS).alias("post"))
@@ -54,6 +54,16 @@ def parse_posts(raw: DataFrame) -> DataFrame:
     )
 
 
+def read_live_json(spark: SparkSession, path: str, files_per_trigger: int = 1000) -> DataFrame:
+    """The same stream from files of JSON lines below ``path``, with ``malformed``.
+
+    The live flow writes malformed lines to ``malformed_table``. Files are
+    part of the checkpoint, so a restart neither loses nor repeats a line.
+    """
+    lines = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path)
+    return parse_posts(lines)
+
+
 def read_live_kafka(
     spark: SparkSession,
     servers: str,

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from siftline import constants as K
@@ -22,6 +22,7 @@ from siftline.operators.screen import (
 from siftline.operators.verdicts import KEY, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
+from siftline.sinks.tables import write_part
 from siftline.sources.progress import Span
 from siftline.streaming.retries import write_failed_once
 
@@ -47,6 +48,10 @@ def live_posts(
     return non_blank(watched_only(fresh, watch))
 
 
+def malformed_table(sinks: SinkPaths) -> str:
+    return f"{sinks.state}/malformed"
+
+
 def start_live(
     posts: DataFrame,
     channels: DataFrame | Callable[[], DataFrame],
@@ -74,9 +79,15 @@ def start_live(
 
     Each batch scores its posts once into the verdict table and reads them
     back; a batch repeated after a failure replaces its own parts. With
-    ``keep_failed`` failed posts are left for ``streaming.retries``.
+    ``keep_failed`` failed posts are left for ``streaming.retries``. Where
+    ``posts`` has ``malformed`` (of ``parse_posts``), such texts go to
+    ``malformed_table``; a batch is read a second time for them.
     """
     policy = policy or CallPolicy(rpm=params.rpm)
+    raw = "malformed" in posts.columns
+
+    def fresh(rows: DataFrame) -> DataFrame:
+        return live_posts(rows, watch, params, as_of, until, catch_up)
 
     def unswept(batch: DataFrame) -> DataFrame:
         if swept is None:
@@ -91,6 +102,10 @@ def start_live(
         # Spark's id of the query: the same after a restart from one checkpoint.
         stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
         part = f"stream={stream}/batch={batch_id}"
+        if raw:
+            bad = batch.where(F.col("malformed").isNotNull()).select("malformed")
+            write_part(bad, malformed_table(sinks), part)
+            batch = fresh(batch.where(F.col("malformed").isNull()).drop("malformed"))
 
         def score() -> DataFrame:
             return score_posts(
@@ -104,7 +119,7 @@ def start_live(
             write_failed_once(verdicts, sinks, part)
 
     writer = (
-        live_posts(posts, watch, params, as_of, until, catch_up)
+        (posts if raw else fresh(posts))
         .writeStream.queryName(name)
         .option("checkpointLocation", checkpoint)
         .foreachBatch(sink)

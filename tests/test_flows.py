@@ -23,10 +23,10 @@ from siftline.plans import backfill as B
 from siftline.plans.job import run_job
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log, write_part
 from siftline.sources.channels import read_channels
-from siftline.sources.posts import read_history, read_live, write_posts_by_day
+from siftline.sources.posts import read_history, read_live, read_live_json, write_posts_by_day
 from siftline.sources.progress import BUCKETS, SweepState
 from siftline.streaming import live as live_module
-from siftline.streaming.live import live_posts, start_live
+from siftline.streaming.live import live_posts, malformed_table, start_live
 from siftline.streaming.retries import failed_rows, failed_table, settle, start_retries
 
 # The workers do not have the tests on their path.
@@ -359,6 +359,34 @@ def test_stream_equals_batch_over_several_triggers(spark, tmp_path):
     assert log_rows(spark, sinks) == [r for r in found if r[0] != 13]
 
 
+def test_json_lines_equal_a_table_over_a_restart(spark, tmp_path):
+    source, sinks = tmp_path / "lines", sinks_at(tmp_path)
+    source.mkdir()
+    watch = spark.createDataFrame([(10,), (11,), (13,)], schemas.WATCH)
+    as_of = C.ntz(DAY + dt.timedelta(days=2))
+    params = ScreeningParams(model=MODEL, rpm=0, max_age_s=36 * 3600)
+    lines = [r[0] for r in make_posts(spark).select(F.to_json(F.struct("*"))).collect()]
+    bad = ["", "null", "[1]", '{"channel_id":10}', '{"channel_id":"x","msg_id":1}', "{\"msg_id\":"]
+
+    def drain():
+        start_live(
+            read_live_json(spark, str(source), files_per_trigger=1), make_channels(spark), watch, params,
+            sinks, scorer, str(tmp_path / "checkpoint"), "j", UNPACED, {"availableNow": True}, as_of,
+        ).awaitTermination()
+
+    half = len(lines) // 2
+    (source / "a.json").write_text("\n".join(lines[:half] + bad[:3]) + "\n")
+    drain()
+    (source / "b.json").write_text("\n".join(bad[3:] + lines[half:]) + "\n")
+    drain()
+    drain()
+    kept = live_posts(make_posts(spark), watch, params, as_of).where(F.col("message").isin("yes", "yes 2"))
+    want = sorted((r.channel_id, r.msg_id, "live") for r in kept.collect() if r.channel_id != 13)
+    assert log_rows(spark, sinks) == want != []
+    reader = spark.read.option("recursiveFileLookup", "true")
+    assert sorted(r.malformed for r in reader.parquet(malformed_table(sinks)).collect()) == sorted(bad)
+
+
 def test_history_is_pruned_by_day(spark, tmp_path):
     path = str(tmp_path / "by_day")
     write_posts_by_day(make_posts(spark), path)
