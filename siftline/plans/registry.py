@@ -1240,6 +1240,7 @@ def _drain(
     sinks: SinkPaths,
     checkpoint: str,
     keep_failed: bool = False,
+    **options: int,
 ) -> None:
     """Run the live flow until nothing is left of the stream."""
     running = start_live(
@@ -1256,17 +1257,22 @@ def _drain(
         until=SINCE,
         time=_utc_time(),
         keep_failed=keep_failed,
+        **options,
     )
     running.awaitTermination()
 
 
-def _json_lines(spark: SparkSession, sf_dir: str) -> SinkPaths:
-    """The posts as JSON lines, a fifth of them cut off, in two loads; the flow is restarted for the second."""
-    posts = T.posts(spark, sf_dir)
-    whole = F.to_json(
+def _json_post() -> F.Column:
+    return F.to_json(
         F.struct("channel_id", "msg_id", "kind", "peer_kind", "message", "date"),
         {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"},
     )
+
+
+def _json_lines(spark: SparkSession, sf_dir: str) -> SinkPaths:
+    """The posts as JSON lines, a fifth of them cut off, in two loads; the flow is restarted for the second."""
+    posts = T.posts(spark, sf_dir)
+    whole = _json_post()
     cut = F.concat(F.lit('{"msg_id":'), "msg_id", F.lit(',"message":'))
     lines = posts.select(
         (F.col("msg_id") % 2).alias("load"), F.when(F.col("msg_id") % 5 == 0, cut).otherwise(whole).alias("value")
@@ -1302,6 +1308,23 @@ def malformed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reader.parquet(malformed_table(_json_lines(spark, sf_dir)))
 
 
+COMPACTED_SQL = f"""SELECT * FROM (SELECT channel_id, msg_id, reason
+  FROM ({scored_sql(LIVE_POSTS_SQL)}) AS v WHERE "match") AS y
+  JOIN ({JOINED_SQL}) AS r USING (channel_id)"""
+
+
+@query(log_sql(COMPACTED_SQL, "live"))
+def compacted_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K2: the log of a stream of six batches, packed after every second one, two packs at a time."""
+    path, checkpoint = scratch_path(spark, "files"), scratch_path(spark, "files-checkpoint")
+    lines = T.posts(spark, sf_dir).select("msg_id", _json_post().alias("value")).repartition(6, "msg_id")
+    lines.select("value").write.text(path)
+    sinks = _sinks(spark, "packed")
+    stream = read_live_json(spark, path, files_per_trigger=1)
+    _drain(spark, sf_dir, "packed", stream, sinks, checkpoint, compact_every=2, fan=2)
+    return _zoneless(read_match_log(spark, sinks.match_log))
+
+
 def _half_mended_scorer(system: str):
     """The stand-in model, up again but for every seventh length."""
 

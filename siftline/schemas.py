@@ -19,6 +19,7 @@ MATCHES = (
     "reason STRING, link STRING, source STRING"
 )
 OUTBOX = "destination STRING, text STRING, dedup_id BIGINT"
+QUARANTINE = "channel_id BIGINT, msg_id BIGINT, reason STRING, source STRING, cause STRING"
 MARKS = "channel_id BIGINT, last_msg_id BIGINT"
 PARTIALS = f"{MARKS}, analysed BIGINT, matched BIGINT, failed BIGINT"
 PROGRESS = f"generation INT, since DATE, round BIGINT, {PARTIALS}"

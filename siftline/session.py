@@ -51,6 +51,19 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
+def files_below(spark: SparkSession, path: str) -> list[str]:
+    """All files below a folder, hidden ones too, as paths relative to it; none if there is no folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(target):
+        return []
+    root = system.makeQualified(target).toUri().getPath().rstrip("/") + "/"
+    found, names = system.listFiles(target, True), []
+    while found.hasNext():
+        names.append(found.next().getPath().toUri().getPath().removeprefix(root))
+    return names
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     """Delete what a job of ours stored at ``path``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

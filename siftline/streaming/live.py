@@ -22,7 +22,8 @@ from siftline.operators.screen import (
 from siftline.operators.verdicts import KEY, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.sinks.deliver import deliver
-from siftline.sinks.tables import write_part
+from siftline.sinks.packs import FAN
+from siftline.sinks.tables import compact_batches, write_part
 from siftline.sources.progress import Span
 from siftline.streaming.retries import write_failed_once
 
@@ -70,6 +71,8 @@ def start_live(
     swept: DataFrame | None = None,
     swept_until: dt.datetime | None = None,
     keep_failed: bool = False,
+    compact_every: int | None = 100,
+    fan: int = FAN,
 ) -> StreamingQuery:
     """Start the stream, to be restarted from the same ``checkpoint``.
 
@@ -81,7 +84,9 @@ def start_live(
     back; a batch repeated after a failure replaces its own parts. With
     ``keep_failed`` failed posts are left for ``streaming.retries``. Where
     ``posts`` has ``malformed`` (of ``parse_posts``), such texts go to
-    ``malformed_table``; a batch is read a second time for them.
+    ``malformed_table``; a batch is read a second time for them. Every
+    ``compact_every`` batches the outputs of earlier ones become packs of
+    ``sinks.packs``, joined ``fan`` at a time.
     """
     policy = policy or CallPolicy(rpm=params.rpm)
     raw = "malformed" in posts.columns
@@ -117,6 +122,8 @@ def start_live(
         deliver(verdicts, dim, params, sinks, K.SOURCE_LIVE, part, time)
         if keep_failed:
             write_failed_once(verdicts, sinks, part)
+        if compact_every and (batch_id + 1) % compact_every == 0:
+            compact_batches(session, sinks, f"stream={stream}", batch_id, fan)
 
     writer = (
         (posts if raw else fresh(posts))
