@@ -45,6 +45,7 @@ def run_job(
     trigger: dict | None = None,
     clock: Callable[[], dt.datetime] | None = None,
     as_of: Column | None = None,
+    compact_every: int | None = None,
 ) -> Running:
     """Sweep ``history`` up to now if a cut-off date is set, then screen ``stream``.
 
@@ -87,5 +88,6 @@ def run_job(
         catch_up=catch_up,
         swept=swept,
         swept_until=until,
+        compact_every=compact_every,
     )
     return Running(coverage.watched, coverage.missing, sweep, live, *totals)

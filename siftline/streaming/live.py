@@ -71,7 +71,7 @@ def start_live(
     swept: DataFrame | None = None,
     swept_until: dt.datetime | None = None,
     keep_failed: bool = False,
-    compact_every: int | None = 100,
+    compact_every: int | None = None,
     fan: int = FAN,
 ) -> StreamingQuery:
     """Start the stream, to be restarted from the same ``checkpoint``.
@@ -86,7 +86,8 @@ def start_live(
     ``posts`` has ``malformed`` (of ``parse_posts``), such texts go to
     ``malformed_table``; a batch is read a second time for them. Every
     ``compact_every`` batches the outputs of earlier ones become packs of
-    ``sinks.packs``, joined ``fan`` at a time.
+    ``sinks.packs``, joined ``fan`` at a time; set it only where all readers of
+    the outputs are those of ``sinks.tables``.
     """
     policy = policy or CallPolicy(rpm=params.rpm)
     raw = "malformed" in posts.columns
