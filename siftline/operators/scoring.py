@@ -12,7 +12,8 @@ import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -23,6 +24,11 @@ from siftline.functions.text import utrim
 
 Scorer = Callable[[str], str | None]
 MINUTE_US = 60_000_000
+#: Posts, and bytes of their text, whose replies a task holds at a time, beside the Arrow batch itself.
+PIECE_ROWS, PIECE_BYTES = 1000, 1 << 20
+_CALLS = pa.list_(
+    pa.struct([("attempt", pa.int32()), ("code", pa.int32()), ("message", pa.string()), ("wait_us", pa.int64())])
+)
 
 
 class CallFailed(Exception):
@@ -102,6 +108,19 @@ def _call(scorer: Scorer, text: str, pacer: _Pacer, policy: CallPolicy):
     return None, K.ERR_QUOTA, calls
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows within ``PIECE_ROWS`` and ``PIECE_BYTES``, or one longer post; nothing is copied."""
+    begin, held = 0, 0
+    for at, size in enumerate(pc.binary_length(batch.column("post")).to_pylist()):
+        size = size or 0
+        if at - begin == PIECE_ROWS or held and held + size > PIECE_BYTES:
+            yield batch.slice(begin, at - begin)
+            begin, held = at, 0
+        held += size
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def score_posts(
     posts: DataFrame,
     make_scorer: Callable[[str], Scorer],
@@ -116,48 +135,45 @@ def score_posts(
     limit the posts are spread over ``tasks`` tasks that each own an equal
     share of the slots of one grid, so the rate is a ceiling over all of them
     and over whatever runs before or after. Without one nothing is shuffled.
-    Blank posts become ``empty_post`` and are not sent.
+    Blank posts become ``empty_post`` and are not sent. A task hands on its
+    replies piece by piece, so its Python holds one Arrow batch and little more.
     """
     is_text = model.lower().startswith(K.TEXT_FAMILY_PREFIX)
     before, after = text_frame(rules) if is_text else ("", "")
     system = "" if is_text else system_text(rules)
-    narrow = posts.select("channel_id", "msg_id", utrim(F.col("message")).alias("post"))
+    narrow = posts.select(
+        F.col("channel_id").cast("bigint"), F.col("msg_id").cast("bigint"), utrim(F.col("message")).alias("post")
+    )
     step_us, tasks = 0, 1
     if policy.rpm > 0:
         tasks = policy.tasks or min(posts.sparkSession.sparkContext.defaultParallelism, policy.rpm)
         narrow = narrow.repartition(tasks)
         step_us = -(-MINUTE_US // policy.rpm)
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = make_scorer(system)
         pacer = _Pacer(step_us, TaskContext.get().partitionId() % tasks, tasks, policy)
         for batch in batches:
-            outcomes = [
-                _call(scorer, f"{before}{post}{after}", pacer, policy)
-                if post
-                else (None, K.ERR_EMPTY_POST, [])
-                for post in batch["post"]
-            ]
-            scored = pd.DataFrame(
-                {
-                    "channel_id": batch["channel_id"],
-                    "msg_id": batch["msg_id"],
-                    "model": model,
-                    "raw": [raw for raw, _, _ in outcomes],
-                    "error": [error for _, error, _ in outcomes],
-                    "calls": [
-                        [
-                            {"attempt": a, "code": c, "message": m, "wait_us": w}
-                            for a, c, m, w in calls
-                        ]
-                        for _, _, calls in outcomes
-                    ],
+            for piece in _pieces(batch):
+                texts = (post.as_py() for post in piece.column("post"))
+                outcomes = [
+                    _call(scorer, f"{before}{post}{after}", pacer, policy)
+                    if post
+                    else (None, K.ERR_EMPTY_POST, [])
+                    for post in texts
+                ]
+                columns = {
+                    "channel_id": piece.column("channel_id"),
+                    "msg_id": piece.column("msg_id"),
+                    "model": pa.repeat(pa.scalar(model), piece.num_rows),
+                    "raw": pa.array([raw for raw, _, _ in outcomes], pa.string()),
+                    "error": pa.array([error for _, error, _ in outcomes], pa.string()),
+                    "calls": pa.array([calls for _, _, calls in outcomes], _CALLS),
                 }
-            )
-            yield scored.assign(post=batch["post"]) if keep_post else scored
+                yield pa.RecordBatch.from_pydict(columns | {"post": piece.column("post")} if keep_post else columns)
 
     schema = f"{schemas.SCORED}, post STRING" if keep_post else schemas.SCORED
-    return narrow.mapInPandas(score, schema)
+    return narrow.mapInArrow(score, schema)
 
 
 def call_log(scored: DataFrame) -> DataFrame:

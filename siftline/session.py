@@ -4,9 +4,35 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: The most bytes of an Arrow batch that Spark hands to Python, and what streams start with where none is set.
+ARROW_BYTES, STREAM_ARROW_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
+
+
+@contextmanager
+def stream_settings(spark: SparkSession, **settings: str) -> Iterator[None]:
+    """Settings for the stream started within; it keeps a copy of them, and the session gets its own back.
+
+    Batches for Python are small, so that what workers hold does not depend on how many posts a batch
+    of the stream has.
+    """
+    settings = {ARROW_BYTES: spark.conf.get(ARROW_BYTES, STREAM_ARROW_BYTES), **settings}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
 
 def shared_root(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.

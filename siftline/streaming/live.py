@@ -21,6 +21,7 @@ from siftline.operators.screen import (
 )
 from siftline.operators.verdicts import KEY, verdicts_once
 from siftline.params import ScreeningParams, SinkPaths
+from siftline.session import stream_settings
 from siftline.sinks.deliver import deliver
 from siftline.sinks.packs import FAN
 from siftline.sinks.tables import compact_batches, write_part
@@ -132,4 +133,5 @@ def start_live(
         .option("checkpointLocation", checkpoint)
         .foreachBatch(sink)
     )
-    return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()
+    with stream_settings(posts.sparkSession):
+        return writer.trigger(**(trigger or {"processingTime": "10 seconds"})).start()

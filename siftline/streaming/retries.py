@@ -22,7 +22,7 @@ from siftline.functions.quota import retry_wait_us
 from siftline.operators.scoring import CallPolicy, Scorer, score_posts
 from siftline.operators.verdicts import KEY, failed_calls, store_verdicts
 from siftline.params import ScreeningParams, SinkPaths
-from siftline.session import path_exists
+from siftline.session import path_exists, stream_settings
 from siftline.sinks.deliver import deliver
 from siftline.sinks.tables import write_part
 
@@ -137,9 +137,8 @@ def start_retries(
         .option("recursiveFileLookup", "true")
         .parquet(failed_table(sinks))
     )
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)  # keyed state with timers needs it; a query keeps what it starts with
-    try:
+    # Keyed state with timers needs this store; a query keeps what it starts with.
+    with stream_settings(spark, **{_PROVIDER: _ROCKS}):
         writer = (
             due_again(failed, wait_scale)
             .writeStream.queryName(name)
@@ -147,11 +146,6 @@ def start_retries(
             .foreachBatch(sink)
         )
         return writer.trigger(**(trigger or {"processingTime": "5 seconds"})).start()
-    finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
 
 
 def settle(query: StreamingQuery, seconds: float) -> bool:

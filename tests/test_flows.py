@@ -21,11 +21,12 @@ from siftline.operators.verdicts import read_verdicts
 from siftline.params import ScreeningParams, SinkPaths
 from siftline.plans import backfill as B
 from siftline.plans.job import run_job
+from siftline.session import ARROW_BYTES, STREAM_ARROW_BYTES
 from siftline.sinks.tables import read_match_log, read_outbox, write_match_log, write_part
 from siftline.sources.channels import read_channels
 from siftline.sources.posts import read_history, read_live, read_live_json, write_posts_by_day
 from siftline.sources.progress import BUCKETS, SweepState
-from siftline.streaming import live as live_module
+from siftline.streaming import live as live_module, retries as retries_module
 from siftline.streaming.live import live_posts, malformed_table, start_live
 from siftline.streaming.retries import failed_rows, failed_table, settle, start_retries
 
@@ -713,6 +714,43 @@ def test_failed_posts_wait_out_a_restart_and_come_once(spark, tmp_path):
     assert log_rows(spark, sinks) == [(10, i, "live") for i in (1, 2, 4, 5)]
 
 
+@pytest.mark.parametrize("own", [None, "1m"])
+def test_streams_hand_small_batches_to_python(spark, tmp_path, monkeypatch, own):
+    sinks, seen = sinks_at(tmp_path), []
+    make_posts(spark).write.parquet(str(tmp_path / "in"))
+
+    def spied(module):
+        score = module.score_posts
+
+        def spy(posts, *args, **options):
+            seen.append((module.__name__, posts.sparkSession.conf.get(ARROW_BYTES)))
+            return score(posts, *args, **options)
+
+        monkeypatch.setattr(module, "score_posts", spy)
+
+    spied(live_module)
+    spied(retries_module)
+    if own:
+        spark.conf.set(ARROW_BYTES, own)
+    provider = spark.conf.get(retries_module._PROVIDER)
+    try:
+        start_live(
+            read_live(spark, str(tmp_path / "in")), make_channels(spark), make_channels(spark).select("channel_id"),
+            PARAMS, sinks, scorer, str(tmp_path / "live"), "l", UNPACED, {"availableNow": True}, as_of=F.lit(DAY), keep_failed=True,
+        ).awaitTermination()
+        retrying = start_retries(
+            spark, make_channels(spark), PARAMS, sinks, scorer, str(tmp_path / "retries"), "r", UNPACED,
+            {"processingTime": "200 milliseconds"}, attempts=2, wait_scale=0.001,
+        )
+        assert spark.conf.get(ARROW_BYTES, None) == own
+        assert spark.conf.get(retries_module._PROVIDER) == provider
+        assert settle(retrying, 200)
+    finally:
+        spark.conf.unset(ARROW_BYTES)
+    limit = own or STREAM_ARROW_BYTES
+    assert set(seen) == {(live_module.__name__, limit), (retries_module.__name__, limit)}
+
+
 def test_waits_of_failed_posts(spark):
     calls = [(0, 429, "retry in 7s", 0)], [(0, 503, "down", 0)], [(0, 429, "slow", 0)]
     errors = (K.ERR_QUOTA, K.ERR_CALL_FAILED, K.ERR_QUOTA)

@@ -1,11 +1,14 @@
 import sys
 import time
 
+import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from siftline.functions.replies import parse_replies
 from siftline.operators.scoring import (
+    PIECE_BYTES,
+    PIECE_ROWS,
     CallFailed,
     CallPolicy,
     _call,
@@ -83,6 +86,31 @@ def test_no_rate_no_shuffle(spark):
     assert "Exchange" not in plan._jdf.queryExecution().executedPlan().toString()
 
 
+def held_scorer(system):
+    held = [0]
+
+    class Reply(str):
+        def __del__(self):
+            held[0] -= 1
+
+    def reply(text):
+        held[0] += 1
+        return Reply(held[0])
+
+    return reply
+
+
+@pytest.mark.parametrize(("n", "size"), [(5000, 8), (400, PIECE_BYTES // 16), (3, 2 * PIECE_BYTES)])
+def test_a_task_holds_few_replies_at_a_time(spark, n, size):
+    text = F.concat(F.lpad(F.col("id").cast("string"), 8, "0"), F.repeat(F.lit("x"), size - 8))
+    posts = spark.range(0, n, 1, 1).select(F.lit(1).alias("channel_id"), F.col("id").alias("msg_id"), text.alias("message"))
+    scored = score_posts(posts, held_scorer, "json-1", CallPolicy(rpm=0), rules="r", keep_post=True)
+    rows = scored.select("channel_id", "msg_id", "raw", "error", F.left("post", F.lit(8)).alias("id"), F.length("post").alias("n")).collect()
+    assert sorted((r.channel_id, r.msg_id, r.error, int(r.id), r.n) for r in rows) == [(1, i, None, i, size) for i in range(n)]
+    # The replies of a piece go as those of the next one are there.
+    assert max(int(r.raw) for r in rows) <= 2 * max(1, min(PIECE_ROWS, PIECE_BYTES // size))
+
+
 def test_pacing_takes_a_slot_per_attempt():
     clock, slept = [0.0], []
 
